@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,20 +143,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: in
     return out
 
 
+def _holds_any(shared, rate: float, least: int):
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(shared.value, rate, least)
+        for texts in batches:
+            yield pd.Series([bool(index.matches(t)) for t in texts], dtype=bool)
+
+    return run
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int = 24, block_bytes: int = 4 << 20,
                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"):
     """A column that tells whether a text holds any test item, for filters."""
-    import pandas as pd
-
     found = F.lit(False)
     for items in blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            index = Index(shared.value, rate, least)
-            for texts in batches:
-                yield pd.Series([bool(index.matches(t)) for t in texts], dtype=bool)
-
-        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        found = found | F.pandas_udf(run, "boolean")(F.col(text_col))
+        found = found | _holds_any(shared, rate, least)(F.col(text_col))
     return found

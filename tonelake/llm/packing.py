@@ -5,8 +5,7 @@ into full rows and a rest.  The pieces of a block (a bounded number of tokens of
 length, and each goes to the open row with the least room that still holds it.  That row is found with a segment tree
 over room sizes 0..row length, whose nodes count the rows that have such room: one descent per piece.  A packed row
 carries the id matrix row (little-endian uint16 or uint32, padded), the cumulative segment lengths and the position of
-every id inside its segment, which restarts at each segment; a piece after a split goes on counting from its place in
-the document.
+every id inside its segment, which restarts from 0 at each segment; `parts` tells which piece of its document it is.
 
 Blocks, not the whole corpus, are packed: packing needs no order between documents, so no shuffle is made, a lost task
 is packed again from its input alone, and the waste of a block is below one row beyond what best fit leaves.
@@ -77,18 +76,18 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pack(tokenizer_path: str, seq_len: int, end_id: int, pad_id: int, dtype: str):
-    def packed(pieces: list[tuple[int, int, int, np.ndarray]], block: str) -> pa.RecordBatch:
-        pieces.sort(key=lambda p: (-len(p[3]), p[0] is None, p[0] or 0, p[1]))
-        rows = best_fit_decreasing([len(p[3]) for p in pieces], seq_len)
+    def packed(pieces: list[tuple[int, int, np.ndarray]], block: str) -> pa.RecordBatch:
+        pieces.sort(key=lambda p: (-len(p[2]), p[0] is None, p[0] or 0, p[1]))
+        rows = best_fit_decreasing([len(p[2]) for p in pieces], seq_len)
         ids = np.full((len(rows), seq_len), pad_id, dtype)
         pos = np.zeros((len(rows), seq_len), "<u4")
         cum, owners, parts = [], [], []
         for r, row in enumerate(rows):
             at, ends = 0, [0]
             for k in row:
-                _, _, offset, own = pieces[k]
+                own = pieces[k][2]
                 ids[r, at : at + len(own)] = own
-                pos[r, at : at + len(own)] = np.arange(offset, offset + len(own))
+                pos[r, at : at + len(own)] = np.arange(len(own))
                 at += len(own)
                 ends.append(at)
             cum.append(ends)
@@ -102,15 +101,15 @@ def _pack(tokenizer_path: str, seq_len: int, end_id: int, pad_id: int, dtype: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from tonelake.llm.token_counts import byte_level
+        from tonelake.llm.token_counts import token_ids
 
-        enc, task = byte_level(tokenizer_path), TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         pieces, held, block = [], 0, 0
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(enc.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0), end_id).astype(dtype)
+                ids = np.append(token_ids(tokenizer_path, text), end_id).astype(dtype)
                 for part, at in enumerate(range(0, len(ids), seq_len)):
-                    pieces.append((doc, part, at, ids[at : at + seq_len]))
+                    pieces.append((doc, part, ids[at : at + seq_len]))
                 held += len(ids)
                 if held >= BLOCK_TOKENS:
                     yield packed(pieces, f"{task:06d}-{block:04d}")

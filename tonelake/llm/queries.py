@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import packing, quality, sentencepiece_codec, token_counts, toxicity
+from tonelake.llm import (
+    decontaminate, embedding_dedup, license_scan, packing, quality, resharding, sentencepiece_codec, simhash_dedup, token_counts, toxicity,
+)
 from tonelake.llm.common import table, train_fold
 
 TOXIC_FROM, QUALITY_FROM = 0.5, 0.3
@@ -25,6 +27,23 @@ def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
+    return found.select("doc_id", simhash_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def _scored(docs: DataFrame, score, cut: float) -> DataFrame:
     return (docs.select("doc_id", (~train_fold(F.col("doc_id"))).alias("held_out"), score.alias("score"))
             .select("doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted")))
@@ -42,8 +61,24 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, quality.score(spark, machine, F.col("text")), QUALITY_FROM)
 
 
+def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old layout keeps each source in one of 24 shards, so sizes are far apart; the new one has equal bytes."""
+    old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(24))
+    out = resharding.assign(table(spark, sf_dir, "documents"), old, old_shards=24, shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit(resharding.LAW).alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_token_packing, op8_toxicity, op9_quality)}
+    return {f.__name__: f for f in (
+        op1_sentencepiece, op2_token_counts, op3_token_packing, op4_embedding_dedup, op5_license_scan, op6_decontaminate,
+        op7_simhash_dedup, op8_toxicity, op9_quality, op10_resharding, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

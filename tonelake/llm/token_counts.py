@@ -48,11 +48,43 @@ def byte_level(path: str):
     return tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=1)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def count_tokens(path: str, text: str | None) -> int:
+    if not text:
+        return 0
+    try:
+        return len(byte_level(path).encode(text, allowed_special="all"))
+    except ValueError:  # its pattern engine gives up on white space runs of millions of characters
+        return len(_library(path).encode(text, add_special_tokens=False).ids)
+
+
+def token_ids(path: str, text: str | None):
+    """Ids of a text in which special strings are ordinary text."""
+    import numpy as np
+
+    if not text:
+        return np.zeros(0, np.uint32)
+    try:
+        return byte_level(path).encode_to_numpy(text, disallowed_special=())
+    except ValueError:
+        library = _library(path)
+        library.encode_special_tokens = True
+        try:
+            return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
+        finally:
+            library.encode_special_tokens = False
+
+
 def _count(path: str, digest: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = byte_level(path)
         for batch in batches:
-            counts = [len(enc.encode(t, allowed_special="all")) if t else 0 for t in batch.column("text").to_pylist()]
+            counts = [count_tokens(path, t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest").cast(pa.binary()), pa.array([digest] * len(counts), pa.string()), pa.array(counts, pa.int64())],
                 ["digest", "tokenizer", "n_tokens"])
