@@ -4,8 +4,8 @@ Method: the old shards' sizes are supplies and the new shards' capacities demand
 nothing and a byte that moves from shard i to shard j costs `cost(i, j)`, one by default.  The cheapest flow, found by
 successive shortest paths, says how many bytes go from where to where.  Each old shard is cut into blocks, in number
 proportional to its bytes and `blocks` in all; the blocks are laid out one after the other, and each destination gets
-one run of them.  Only a block at the edge of a run is split, by its documents, so a shard misses its capacity by the
-length of a document at each edge.  Shards that neither give nor take keep their files.
+one run of them.  Only a block at the edge of a run is split, by its documents, so a shard misses its capacity by at
+most half a document at each edge; documents above 1/64 of a shard are dealt first and the others make up for them.  Shards that neither give nor take keep their files.
 
 The driver holds one number per pair of shards.  Sums over blocks and places inside a block are grouped and window
 operations on hashed blocks, so an old shard with a third of all rows is dealt to many tasks.
@@ -64,49 +64,82 @@ def capacities(total: int, shards: int) -> list[int]:
     return [total * (k + 1) // shards - total * k // shards for k in range(shards)]
 
 
-def assign(docs: DataFrame, old_shard: Column, old_shards: int, shards: int = 24, blocks: int = 12_288, overhead: int = 8,
-           cost: Callable[[int, int], int] = lambda i, j: int(i != j), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard and slot (0, 1, ... inside each shard) for every row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    old = F.pmod(F.coalesce(old_shard, F.lit(0)), F.lit(old_shards)).cast("int")
-    rows = durable(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"),
-                               F.crc32(text.cast("binary")).alias("text_crc32"), old.alias("old_shard"),
-                               F.xxhash64(F.col(id_col), text).alias("h")), "reshard")
-    supply = [0] * old_shards
-    for r in rows.groupBy("old_shard").agg(F.sum("size").alias("b")).collect():
-        supply[r.old_shard] = r.b
-    total = sum(supply)
-    flow = cheapest_flow(supply, capacities(total, shards), cost)
+def fitted(lengths: list[int], total: int) -> list[int]:
+    """Lengths of the same proportions, rounded so that they sum to the total."""
+    lengths = [max(0, x) for x in lengths]
+    given = sum(lengths)
+    if not given:
+        return [total, *[0] * (len(lengths) - 1)]
+    at, out, seen = 0, [], 0
+    for x in lengths:
+        seen += x
+        out.append(seen * total // given - at)
+        at += out[-1]
+    return out
+
 
-    # runs: where in an old shard's bytes each destination begins; what stays comes first
+def _deal(rows: DataFrame, bytes_of: list[int], runs: list[list[int]], blocks: int) -> DataFrame:
+    """rows with shard, block and inside (the place among the rows of its block and shard).
+
+    runs[i][j]: how many of the bytes_of[i] bytes of old shard i go to shard j; what stays comes first.
+    """
     starts, owners = [], []
-    for i, row in enumerate(flow):
+    for i, row in enumerate(runs):
         at, begin, owner = 0, [], []
-        for j in sorted(range(shards), key=lambda j: (j != i, j)):
+        for j in sorted(range(len(row)), key=lambda j: (j != i, j)):
             if row[j]:
                 begin.append(at)
                 owner.append(j)
                 at += row[j]
         starts.append(begin or [0])
         owners.append(owner or [0])
+    total = max(sum(bytes_of), 1)
     of_shard = lambda values: F.element_at(F.array(*values), F.col("old_shard") + 1)
-    count = of_shard([F.lit(max(1, -(-b * blocks // max(total, 1)))) for b in supply])
+    count = of_shard([F.lit(max(1, -(-b * blocks // total))) for b in bytes_of])
     placed = rows.withColumn("block", F.pmod("h", count).cast("int"))
 
+    sums = placed.groupBy("old_shard", "block").agg(F.sum("size").alias("b"))  # `blocks` rows and one per old shard
+    base = F.sum("b").over(Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.select("old_shard", "block", F.coalesce(base, F.lit(0)).alias("base"))
     unit = Window.partitionBy("old_shard", "block").orderBy("h", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("old_shard", "block").agg(F.sum("size").alias("b"))  # `blocks` rows and a few
-    before = sums.select("old_shard", "block", F.coalesce(F.sum("b").over(Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    at = F.col("base") + F.coalesce(F.sum("size").over(unit), F.lit(0))
+    # a row belongs to the run in which its middle lies
+    at = F.col("base") + F.coalesce(F.sum("size").over(unit), F.lit(0)) + F.floor(F.col("size") / 2)
     begins = of_shard([F.array(*[F.lit(x).cast("long") for x in b]) for b in starts])
     owner = of_shard([F.array(*map(F.lit, o)) for o in owners])
-    told = (placed.join(F.broadcast(before), ["old_shard", "block"]).withColumn("at", at)
+    inside = F.row_number().over(Window.partitionBy("old_shard", "block", "shard").orderBy("at")) - 1
+    return (placed.join(F.broadcast(before), ["old_shard", "block"]).withColumn("at", at)
             .withColumn("shard", F.element_at(owner, F.size(F.filter(begins, lambda s: s <= F.col("at")))))
-            .withColumn("inside", F.row_number().over(Window.partitionBy("old_shard", "block", "shard").orderBy("at")) - 1))
-    told = durable(told, "reshard-blocks")
-    segments = told.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"))  # `blocks` rows and one per run
-    slots = segments.select("shard", "old_shard", "block", F.coalesce(F.sum("n").over(
-        Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    return (told.join(F.broadcast(slots), ["shard", "old_shard", "block"])
+            .withColumn("inside", inside)
+            .select("doc_id", "size", "text_crc32", "old_shard", "big", "block", "shard", "inside"))
+
+
+def assign(docs: DataFrame, old_shard: Column, old_shards: int, shards: int = 24, blocks: int = 12_288, overhead: int = 8,
+           cost: Callable[[int, int], int] = lambda i, j: int(i != j), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, old_shard, shard and slot (0, 1, ... inside each shard) for every row."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    old = F.pmod(F.coalesce(old_shard, F.lit(0)), F.lit(old_shards)).cast("int")
+    rows = durable(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"),
+                               F.crc32(text.cast("binary")).alias("text_crc32"), old.alias("old_shard"),
+                               F.xxhash64(F.col(id_col), text).alias("h")), "reshard")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    rows = rows.withColumn("big", F.col("size") > total // shards // 64)
+    held = {big: [0] * old_shards for big in (True, False)}
+    for r in rows.groupBy("old_shard", "big").agg(F.sum("size").alias("b")).collect():
+        held[r.big][r.old_shard] = r.b
+    flow = cheapest_flow([a + b for a, b in zip(held[True], held[False], strict=True)], capacities(total, shards), cost)
+
+    # large documents first; the small ones then make up for what those miss by
+    large = durable(_deal(rows.filter("big"), held[True], [fitted(f, b) for f, b in zip(flow, held[True], strict=True)], blocks), "reshard-large")
+    left = [list(f) for f in flow]
+    for r in large.groupBy("old_shard", "shard").agg(F.sum("size").alias("b")).collect():
+        left[r.old_shard][r.shard] -= r.b
+    small = durable(_deal(rows.filter("not big"), held[False], [fitted(f, b) for f, b in zip(left, held[False], strict=True)], blocks), "reshard-small")
+    told = large.unionByName(small)
+
+    segments = told.groupBy("shard", "big", "old_shard", "block").agg(F.count("*").alias("n"))  # 2 * `blocks` rows and one per run
+    first = F.sum("n").over(Window.partitionBy("shard").orderBy("big", "old_shard", "block").rowsBetween(Window.unboundedPreceding, -1))
+    slots = segments.select("shard", "big", "old_shard", "block", F.coalesce(first, F.lit(0)).alias("first"))
+    return (told.join(F.broadcast(slots), ["shard", "big", "old_shard", "block"])
             .select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("inside")).cast("long").alias("slot")))
 
 
