@@ -1 +1 @@
-"""PySpark engine for analysing the tone of public event text."""
+"""Spark-native analytics of the language of public software-development events."""
