@@ -10,8 +10,8 @@ returns how many vectors each of its vectors links to and a spanning forest of i
 Equal vectors of a label are one class from the start, with its size as its weight.  Pivots number one per `per_cell`
 classes of a label, `max_pivots` at most in all, which bounds what is broadcast; they are the classes of smallest hash.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label,
-link with nothing and are their own component; vectors of different lengths never link; a repeated vec_id counts as
+Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label
+or an id, link with nothing and are their own component; vectors of different lengths never link; a repeated vec_id counts as
 so many vectors.
 """
 
@@ -30,33 +30,34 @@ from tonelake.llm.simhash_dedup import in_blocks
 
 
 def _classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
+    """All rows, with a flag of those that can link, and the distinct vectors of each label among them."""
     v = F.col(vector_col).cast("array<double>")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     sound = (F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))
     rows = rows.withColumn("norm", F.when(F.coalesce(sound, F.lit(False)), norm))
-    usable = F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False))
+    usable = F.col("vec_id").isNotNull() & F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False))
     rows = rows.select("vec_id", "label", "v", usable.alias("usable"))
     classes = rows.filter("usable").groupBy("label", "v").agg(F.min("vec_id").alias("cid"), F.count("*").alias("weight"))
     return rows, classes
 
 
-def _pivots(classes: DataFrame, per_cell: int, max_pivots: int) -> tuple[dict, np.ndarray | None]:
-    """(label, length) -> numbers of its pivots, and all pivots.  What is collected is bounded by max_pivots."""
-    size = classes.groupBy("label", F.size("v").alias("n")).agg(F.count("*").alias("rows")).filter(F.col("rows") > per_cell)
+def _pivots(classes: DataFrame, per_cell: int, max_pivots: int) -> dict:
+    """(label, length) -> its pivots.  What is collected is bounded by max_pivots."""
+    classes = classes.withColumn("n", F.size("v"))
+    size = classes.groupBy("label", "n").agg(F.count("*").alias("rows")).filter(F.col("rows") > per_cell)
     total = size.agg(F.sum(F.ceil(F.col("rows") / per_cell))).first()[0]
     if not total:
-        return {}, None
+        return {}
     share = min(1.0, max_pivots / float(total))
-    wanted = (classes.join(size, (size["label"] == classes["label"]) & (size["n"] == F.size(classes["v"])))
-              .select(classes["label"], "n", "v", "cid", (F.ceil(F.col("rows") / per_cell) * share).alias("k"), "rows"))
+    wanted = classes.join(size, ["label", "n"]).withColumn("k", F.ceil(F.col("rows") / per_cell) * share)
     # a class is a pivot with probability k / rows, by its hash; the outer limit holds the bound for any hash values
     picked = (wanted.filter(F.pmod(F.xxhash64("cid", F.lit("pivot")), F.lit(1 << 30)) < F.col("k") / F.col("rows") * (1 << 30))
               .orderBy(F.xxhash64("cid")).limit(2 * max_pivots).select("label", "n", "cid", "v").collect())
     of: dict = {}
     for r in sorted(picked, key=lambda r: r.cid):
         of.setdefault((r.label, r.n), []).append(np.array(r.v) / np.linalg.norm(r.v))
-    return {k: np.array(p) for k, p in of.items()}, None
+    return {k: np.array(p) for k, p in of.items()}
 
 
 def _assign(shared, reach: float):
@@ -127,7 +128,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, per_cell: int = 8192,
     spark = vectors.sparkSession
     rows, classes = _classes(vectors, id_col, vector_col, label_col)
     classes = durable(classes, "vector-classes")
-    pivots, _ = _pivots(classes, per_cell, max_pivots)
+    pivots = _pivots(classes, per_cell, max_pivots)
     shared = spark.sparkContext.broadcast(pivots)
     reach = 2 * math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
     placed = durable(classes.select("label", "v", "cid", "weight").mapInPandas(

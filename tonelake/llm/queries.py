@@ -81,5 +81,48 @@ def queries() -> dict:
         op7_simhash_dedup, op8_toxicity, op9_quality, op10_resharding, pipeline)}
 
 
+_OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+       AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT l.v, r.c FROM reach r JOIN links l ON l.u = r.id),
+heads AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id),
+degrees AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, COALESCE(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v LEFT JOIN heads ON id = vec_id LEFT JOIN degrees ON u = vec_id"""
+
+
+def _op5_sql(per_template: int = 8, lookups: int = 64, share: float = 0.75) -> str:
+    rows = [(t, x.label, k, w) for t, x in enumerate(license_scan.TEMPLATES) for k, w in enumerate(x.words.split(" "))]
+    phrases = [(t, x.label, m) for t, x in enumerate(license_scan.TEMPLATES) for m in x.mandatory]
+    values = lambda xs: ", ".join("(" + ", ".join(f"'{y}'" if isinstance(y, str) else str(y) for y in x) + ")" for x in xs)
+    return f"""
+WITH tpl(t, label, k, w) AS (VALUES {values(rows)}), need(t, label, phrase) AS (VALUES {values(phrases)}),
+base(phrase, label, len) AS (VALUES {values((p, b, len(p.split(" "))) for p, b in license_scan.BASE.items())}),
+d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(COALESCE(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')), ' ') AS ws FROM documents),
+p AS (SELECT doc_id, CASE WHEN ws = [''] THEN [] ELSE ws END AS ws, ' ' || array_to_string(ws, ' ') || ' ' AS p FROM d),
+words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM p),
+places AS (SELECT w.doc_id, w.i, b.label FROM words w JOIN p USING (doc_id), base b WHERE w.w = split_part(b.phrase, ' ', 1) AND array_to_string(p.ws[w.i + 1 : w.i + b.len], ' ') = b.phrase),
+df AS (SELECT w, count(DISTINCT doc_id) AS n FROM words WHERE w IN (SELECT w FROM tpl) GROUP BY w),
+ranked AS (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY COALESCE(n, 0), w) AS r FROM (SELECT DISTINCT t, w FROM tpl) LEFT JOIN df USING (w)),
+idx AS (SELECT tpl.* FROM tpl JOIN ranked USING (t, w) WHERE r <= {per_template}),
+size AS (SELECT t, label, count(*) AS places, count(DISTINCT w) AS kinds FROM idx GROUP BY t, label),
+found AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY n, w) AS r FROM (SELECT DISTINCT doc_id, w FROM words WHERE w IN (SELECT w FROM idx)) JOIN df USING (w)),
+rare AS (SELECT doc_id, w FROM found WHERE r <= {lookups}),
+near AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, t, count(*) AS n FROM rare JOIN (SELECT DISTINCT t, w FROM idx) USING (w) GROUP BY doc_id, t) JOIN size USING (t) WHERE n >= {share} * kinds),
+votes AS (SELECT doc_id, t, max(n) AS best FROM (SELECT doc_id, t, i - k AS o, count(*) AS n FROM words JOIN rare USING (doc_id, w) JOIN near USING (doc_id) JOIN idx USING (w) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+told AS (SELECT doc_id, label, best / places AS v FROM votes JOIN size USING (t) JOIN p USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM need WHERE need.t = votes.t AND NOT contains(p.p, ' ' || need.phrase || ' '))),
+every AS (SELECT doc_id, label FROM told WHERE v >= {share} UNION SELECT doc_id, label FROM places),
+b AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
+m AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id),
+s AS (SELECT doc_id, max(v) AS v FROM told GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, COALESCE(n, 0) AS n_base, a AS first_word, z AS last_word, COALESCE(b.labels, '') AS base_labels,
+       COALESCE(m.labels, '') AS labels, CASE WHEN n > 0 THEN 1.0 ELSE least(1.0, COALESCE(v, 0)) END::DOUBLE AS score
+FROM p LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need models, tokenizers, XXH64 or approximate matching; tests hold them against plain versions."""
+    return {"op4_embedding_dedup": _OP4_SQL, "op5_license_scan": _op5_sql()}

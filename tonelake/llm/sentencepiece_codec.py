@@ -81,7 +81,7 @@ def piece_edges(v: Vocabulary, codes: np.ndarray) -> np.ndarray:
     pad[:n] = codes
     table = np.full((17, n), -1, np.int32)
     top = np.uint64(0xFFFF)
-    shift = lambda r, k: np.concatenate([r[k:] + np.uint64(1), np.zeros(k, np.uint64)])  # noqa: E731  0: past the end
+    shift = lambda r, k: np.concatenate([r[k:] + np.uint64(1), np.zeros(min(k, len(r)), np.uint64)])  # noqa: E731  0: past the end
     key4 = (pad[:n] << np.uint64(48)) | (pad[1 : n + 1] << np.uint64(32)) | (pad[2 : n + 2] << np.uint64(16)) | pad[3 : n + 3]
     levels = [(4, *_ranked(key4))]
     for width in (4, 8):
