@@ -61,7 +61,7 @@ def test_reading(spark, folder):
     assert len(env) == len(EVENTS) == seen.get["events"]
     old = [e for e in env if e.created_at.year == 2012]
     assert {e.repo_name for e in old} == {"bob/old", "eve/thing", "o/n"} and all(e.created_at == datetime(2012, 3, 11, 6, 55, 31) for e in old)
-    bob = next(e for e in old if e.actor_login == "Bob")
+    bob = next(e for e in old if e.actor_login == "bob")
     assert bob.actor_id == ids.synthetic_id("actor:", "bob") and bob.repo_id == ids.synthetic_id("repo:", "bob/old") and bob.public
 
 

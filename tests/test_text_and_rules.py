@@ -31,8 +31,7 @@ def test_normalize_options():
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_normalize_settles(text):
-    once = normalize(text, "off")
-    assert normalize(once, "off") == once
+    assert not set(normalize(text)) & set("4@01!35$7")
     assert fold_spaces(fold_spaces(text)) == fold_spaces(text)
     assert sanitize(sanitize(text)) == sanitize(text)
 
@@ -40,7 +39,7 @@ def test_normalize_settles(text):
 def test_zones():
     t = "a ```x y``` b `c`\n> q\nend"
     found = [(k, t.encode()[a:b].decode()) for k, a, b in zones(t)]
-    assert found == [("code_fence", "x y"), ("code_inline", "c"), ("quote", "> q")]
+    assert found == [("code_fence", "x y"), ("code_inline", "c"), ("quote", "q")]
     assert ("code_inline", 5, 8) in zones(t, inline_in_fence=True)
     assert zones("ü `ö`")[0] == ("code_inline", 4, 6)  # bytes, not characters
 
@@ -54,7 +53,7 @@ def test_scripts(spark):
     got = {r.t: (r.s, r.l) for r in df.select("t", s.alias("s"), lang.alias("l")).collect()}
     assert got["a" * 20] == ("Latin", "") and got["あ" * 20] == ("Hiragana", "ja") and got["あ" * 19] == ("Hiragana", "")
     assert [got[c * 20][1] for c in "한שกα"] == ["ko", "he", "th", "el"]
-    assert got["漢字" * 10 + "の"][1] == "ja" and got[""] == ("", "") and got["123"] == ("", "")
+    assert got["漢字" * 10 + "の"] == ("Han", "ja") and got[""] == ("", "") and got["123"] == ("", "")
 
 
 def scan(text, pack=PACK, **options):
@@ -68,6 +67,9 @@ def test_detector_by_hand():
     assert scan("cobol is awful") == [("cobol is awful", "lang_rage", 2, "none")]
     assert ("stupid buildbot", "bot_rage", 2, "none") in scan("stupid buildbot")
     assert scan("so broken linker") == [("so broken", "tooling_rage", 1, "upgraded")]
+    assert scan("it is awful", Pack(templates=PACK.templates, slots={"TARGET_LANG": {}, "TARGET_BOT": {}})) == [("it is awful", "lang_rage", 2, "none")]
+    far = Detector(PACK).scan("linker so broken swing compiler")[0]
+    assert (far["target_name"], far["target_distance"]) == ("swing", 6)  # from the middle to the start
     assert scan("so broken " + "x" * 80 + " linker") == [("so broken", "generic", 1, "none")]
     assert scan("`moron`")[0][2] == 1 and scan("moron")[0][2] == 2 and scan("> moron")[0][2] == 1
     assert scan(None) == [] and scan("") == []

@@ -45,12 +45,16 @@ def owner_of(repo: Column) -> Column:
 
 
 def canonical_repo(name: Column) -> Column:
-    """owner/name in lower case, from a name, a web address or an ssh address, without .git and slashes around."""
+    """owner/name in lower case, the last two parts of a name, a web address or an ssh address, without .git."""
     s = F.lower(F.trim(name))
-    s = F.regexp_replace(s, r"^git@[^:/]+:", "")
-    s = F.regexp_replace(s, r"^[a-z+]+://(?:[^@/]*@)?[^/]+/(?:repos/)?", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"[?#].*$", ""), r"^/+|/+$", "")
-    return F.regexp_replace(s, r"\.git$", "")
+    s = F.when(F.startswith(s, F.lit("http")), F.regexp_replace(s, r"[?#].*$", "")).otherwise(F.regexp_replace(s, r"^[^/:]*@[^:]*:", ""))
+    s = F.regexp_replace(s, r"^/+|(?:\.git|/)+$", "")
+    return F.substring_index(s, "/", -2)
+
+
+def trimmed(c: Column) -> Column:
+    """Without any Unicode white space at either end."""
+    return F.regexp_replace(c, r"^[\s\p{Z}\x85]+|[\s\p{Z}\x85]+$", "")
 
 
 def boolish(c: Column) -> Column:

@@ -16,19 +16,9 @@ from pyspark.sql import functions as F
 
 # Look-alike characters and the letters they stand for.
 LEET_FROM, LEET_TO = "4@01!35$7", "aaoiiesst"
-# Scripts, their ranges as regular expressions, and the language of a text in them.
-SCRIPTS = {
-    "Hiragana": ("\\u3040-\\u309F", "ja"),
-    "Katakana": ("\\u30A0-\\u30FF", "ja"),
-    "Hangul": ("\\uAC00-\\uD7AF\\u1100-\\u11FF", "ko"),
-    "Arabic": ("\\u0600-\\u06FF\\u0750-\\u077F", "ar"),
-    "Hebrew": ("\\u0590-\\u05FF", "he"),
-    "Thai": ("\\u0E00-\\u0E7F", "th"),
-    "Greek": ("\\u0370-\\u03FF", "el"),
-    "Cyrillic": ("\\u0400-\\u04FF", ""),
-    "Han": ("\\u4E00-\\u9FFF", ""),
-    "Latin": ("A-Za-z\\u00C0-\\u024F", ""),
-}
+# Scripts in the order that breaks ties, and the languages that the presence of a script tells, by precedence.
+SCRIPTS = ("Hiragana", "Katakana", "Hangul", "Han", "Arabic", "Hebrew", "Thai", "Greek", "Cyrillic", "Georgian", "Armenian", "Devanagari", "Latin")
+LANG_OF_SCRIPT = {"Hiragana": "ja", "Katakana": "ja", "Hangul": "ko", "Arabic": "ar", "Hebrew": "he", "Thai": "th", "Greek": "el"}
 LEAST_LETTERS = 20
 
 _control = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
@@ -36,7 +26,7 @@ _leet = str.maketrans(LEET_FROM, LEET_TO)
 _space = re.compile(r"\s+")
 _fence = re.compile(r"```(.*?)```", re.S)
 _inline = re.compile(r"`([^`]*)`")
-_quoted = re.compile(r"^[ \t]*>[^\n]*", re.M)
+_quoted = re.compile(r"^[ \t]*> *([^ \n][^\n]*)", re.M)
 
 
 def sanitize(text: str) -> str:
@@ -55,7 +45,6 @@ def normalize(text: str | None, leet: str = "reference") -> str | None:
         return None
     s = unicodedata.normalize("NFKC", sanitize(text)).casefold()
     s = "".join(c for c in s if unicodedata.category(c) not in ("Mn", "Cf"))
-    s = unicodedata.normalize("NFKC", s)
     if leet == "reference":
         s = s.translate(_leet)
     elif leet == "word_internal":
@@ -89,20 +78,20 @@ def squash_repeats(c: Column) -> Column:
 
 
 def zones(text: str, inline_in_fence: bool = False) -> list[tuple[str, int, int]]:
-    """(type, start, end) of fenced code, inline code and quoted lines, in byte offsets.
+    """(type, start, end) of fenced code, inline code and quoted lines, in byte offsets, without their marks.
 
     inline_in_fence also tags a fence's content as inline code."""
     at = _byte_offsets(text)
     found, fences = [], [m.span() for m in _fence.finditer(text)]
-    found += [("code_fence", at[m.start(1)], at[m.end(1)]) for m in _fence.finditer(text)]
+    found += [("code_fence", at[m.start(1)], at[m.end(1)]) for m in _fence.finditer(text) if m[1]]
     if inline_in_fence:
         found += [("code_inline", s, e) for _, s, e in found]
     hidden = list(text)
     for a, b in fences:
         hidden[a:b] = "\0" * (b - a)
     rest = "".join(hidden)
-    found += [("code_inline", at[m.start(1)], at[m.end(1)]) for m in _inline.finditer(rest) if "\0" not in m[0]]
-    found += [("quote", at[m.start()], at[m.end()]) for m in _quoted.finditer(text)]
+    found += [("code_inline", at[m.start(1)], at[m.end(1)]) for m in _inline.finditer(rest) if m[1] and "\0" not in m[0]]
+    found += [("quote", at[m.start(1)], at[m.end(1)]) for m in _quoted.finditer(text)]
     return found
 
 
@@ -119,12 +108,12 @@ def _byte_offsets(text: str) -> list[int]:
 
 
 def script_and_lang(c: Column) -> tuple[Column, Column]:
-    """The script of most letters (ties by name) and, of 20 letters or more, the language it tells; built-in functions."""
-    counts = F.array(*[F.struct((-F.regexp_count(c, F.lit(f"[{r}]"))).alias("n"), F.lit(s).alias("s"), F.lit(lang).alias("l")) for s, (r, lang) in SCRIPTS.items()])
-    first = F.element_at(F.array_sort(counts), 1)
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    # kana among Han characters is Japanese all the same
-    kana = F.regexp_count(c, F.lit("[\\u3040-\\u30FF]"))
+    """The script of most letters, and of texts of 20 letters or more the language that a script's presence tells."""
+    count = {s: F.regexp_count(c, F.lit(rf"[\p{{L}}&&\p{{Is{s}}}]")) for s in SCRIPTS}
+    ranked = F.array(*[F.struct((-count[s]).alias("n"), F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(SCRIPTS)])
+    first = F.array_min(ranked)
     script = F.when(first["n"] < 0, first["s"]).otherwise("")
-    lang = F.when(letters < LEAST_LETTERS, "").when(kana > 0, "ja").when(first["n"] < 0, first["l"]).otherwise("")
-    return script, lang
+    lang = F.when(F.regexp_count(c, F.lit(r"\p{L}")) < LEAST_LETTERS, "")
+    for s, code in LANG_OF_SCRIPT.items():
+        lang = lang.when(count[s] > 0, code)
+    return script, lang.otherwise("")

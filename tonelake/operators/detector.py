@@ -22,7 +22,6 @@ from tonelake.functions.ids import hit_uuid_col
 from tonelake.functions.scalars import severity_of, stored_category
 from tonelake.functions.text import _byte_offsets, zones
 from tonelake.operators.aggregates import best_per_key
-from tonelake.schemas import CATEGORIES
 from tonelake.sources.rulepack import Pack
 
 HIT = ("struct<term:string,category:string,level:int,source:string,span_start:int,span_end:int,zones:array<string>,pre_context:string,"
@@ -30,7 +29,10 @@ HIT = ("struct<term:string,category:string,level:int,source:string,span_start:in
 # Which target a slot names, and the category of anger at it.
 TARGET_OF_SLOT = {"TARGET_BOT": "bot", "TARGET_TOOL": "tool", "TARGET_LANG": "lang", "TARGET_FRAMEWORK": "framework"}
 RAGE_OF_TARGET = {"bot": "bot_rage", "tool": "tooling_rage", "lang": "lang_rage", "framework": "lang_rage"}
+KINDS = (*TARGET_OF_SLOT.values(), "none")
 PREFERRED = {"bot_rage": ("bot",), "tooling_rage": ("tool",), "lang_rage": ("lang", "framework")}
+# Categories from the least to the most specific.
+SPECIFIC = ("generic", "self_own", "lang_rage", "tooling_rage", "bot_rage")
 
 
 @dataclass(frozen=True)
@@ -95,13 +97,14 @@ class Detector:
                         yield x, x.term, "lemma", False, a, b
 
     def _target(self, named: list[tuple], a: int, b: int, prefer: tuple[str, ...]) -> tuple | None:
-        """The nearest name within the window in bytes: preferred kinds, then distance, start and length decide."""
-        best = None
-        kinds = list(TARGET_OF_SLOT.values())
+        """The name that begins nearest to the hit's middle, of those wholly within the window in bytes around it.
+
+        Preferred kinds come first; then distance, start, length and the order of kinds decide."""
+        best, window, middle = None, self.options.window, (a + b) // 2
         for s, e, name, kind, alias in named:
-            distance = max(s - b, a - e, 0)
-            if distance <= self.options.window:
-                rank = (kind not in prefer, distance, s, -len(name), kinds.index(kind) if kind in kinds else 9)
+            if s >= a - window and e <= b + window:
+                distance = abs(middle - s)
+                rank = (kind not in prefer, distance, s, -len(name), KINDS.index(kind))
                 if best is None or rank < best[0]:
                     best = (rank, kind, alias, name, s, e, distance)
         return best and best[1:]
@@ -125,7 +128,10 @@ class Detector:
             level = max(1, rule.severity + self.options.zone_delta * len(tags))
             category, action = rule.category, "none"
             target = self._target(named, s, e, PREFERRED.get(category, ()))
-            if target and category == "generic" and frustration:
+            gated = w > 0 and len(self.names) > 0  # a pack that names no targets can't miss one
+            if not gated:
+                target = None
+            elif target and category == "generic" and frustration:
                 category, action = RAGE_OF_TARGET[target[0]], "upgraded"
             elif not target and category in PREFERRED:
                 category, action = "generic", "downgraded"
@@ -159,16 +165,18 @@ def detect(text: Column, pack: Pack, options: Options = Options()) -> Column:
 
 
 def hits(utterances: DataFrame, pack: Pack, version: int, options: Options = Options()) -> DataFrame:
-    """One row per winning hit, in the stored form and with its id: of equal span and term a template wins over a lemma, then the
-    larger category rank, then the higher level."""
-    own = utterances.withColumn("h", F.explode(detect(F.col("text_normalized"), pack, options)))
+    """One row per winning hit, in the stored form and with its id: of equal span and term a template wins over a
+    lemma, then the more specific category, then the hit that was found first."""
+    own = utterances.select("*", F.posexplode(detect(F.col("text_normalized"), pack, options)).alias("found", "h"))
     own = own.select(
+        "found",
         F.col("id").alias("utterance_id"), "created_at", "source", "repo_hid", "actor_hid", "lang_code", "h.term", stored_category(F.col("h.category")).alias("category"),
         severity_of(F.col("h.level")).alias("severity"), "h.ctx_action", "h.target_type", "h.target_id", "h.target_name",
         F.col("h.target_start").alias("target_span_start"), F.col("h.target_end").alias("target_span_end"), "h.target_distance",
         "h.span_start", "h.span_end", F.lit(version).alias("detector_version"), F.col("h.source").alias("detector_source"),
-        "h.pre_context", "h.post_context", "h.zones", F.col("h.level").alias("level"))
-    rank = F.struct((F.col("detector_source") == "template").alias("a"), F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category")).alias("b"), F.col("level").alias("c"))
-    best = best_per_key(own, ["utterance_id", "term", "span_start", "span_end"], rank).drop("level")
+        "h.pre_context", "h.post_context", "h.zones")
+    specific = F.array_position(F.array(*map(F.lit, SPECIFIC)), F.col("category"))
+    rank = F.struct((F.col("detector_source") == "template").alias("a"), specific.alias("b"), (-F.col("found")).alias("c"))
+    best = best_per_key(own, ["utterance_id", "term", "span_start", "span_end"], rank).drop("found")
     key = [F.col(c) for c in ("utterance_id", "term", "category", "severity", "span_start", "span_end")]
     return best.withColumn("id", hit_uuid_col(*key)).withColumns({"ingest_batch_id": F.lit(version).cast("bigint"), "ver": F.lit(version).cast("bigint")})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.functions.ids import hid, utterance_uuid_col
-from tonelake.functions.scalars import coarse_source
+from tonelake.functions.scalars import coarse_source, trimmed
 from tonelake.functions.text import normalize_col, script_and_lang
 
 # Where the texts of each event type are, and what a piece is called.
@@ -20,7 +20,7 @@ PIECES = {
 
 
 def _piece(detail: Column, text: Column) -> Column:
-    return F.struct(detail.alias("detail"), F.trim(text, F.lit(" \t\r\n")).alias("text"))
+    return F.struct(detail.alias("detail"), trimmed(text).alias("text"))
 
 
 def pieces(envelopes: DataFrame) -> DataFrame:

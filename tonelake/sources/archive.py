@@ -50,11 +50,11 @@ def _text(path: str) -> Column:
 
 def envelopes(events: DataFrame) -> DataFrame:
     """line, v, type, public, created_at, actor_id, actor_login, repo_id, repo_name; ids that are missing are negative digests of the name."""
-    url = F.coalesce(_text("$.repo.url"), _text("$.repository.url"), _text("$.url"))
-    owner = F.coalesce(_text("$.repository.owner.login"), _text("$.repository.owner.name"), _text("$.repository.owner"))
+    url = F.coalesce(_text("$.repo.url"), _text("$.repository.url"))
+    owner = F.coalesce(_text("$.repository.owner.login"), _text("$.repository.owner"))
     # old shapes name the owner apart from the repository
-    old = F.when(F.contains(_text("$.repository.name"), F.lit("/")), _text("$.repository.name")).when(owner.isNotNull(), F.concat(owner, F.lit("/"), _text("$.repository.name")))
-    named = canonical_repo(F.coalesce(_text("$.repo.full_name"), _text("$.repo.name"), _text("$.repository.full_name"), old, url))
+    old = F.when(owner.isNotNull(), F.concat(owner, F.lit("/"), _text("$.repository.name"))).otherwise(_text("$.repository.name"))
+    named = canonical_repo(F.coalesce(F.nullif(_text("$.repo.name"), F.lit("/")), old, url))
     login = F.coalesce(_text("$.actor.login"), _text("$.actor_attributes.login"), _text("$.actor"))
     at = _text("$.created_at")
     time = F.coalesce(F.try_to_timestamp(at), F.try_to_timestamp(at, F.lit("yyyy/MM/dd HH:mm:ss Z")))
@@ -62,5 +62,6 @@ def envelopes(events: DataFrame) -> DataFrame:
         "line", "v", _text("$.type").alias("type"), boolish(_get("$.public")).alias("public"), F.date_trunc("millisecond", time).alias("created_at"),
         F.coalesce(_get("$.actor.id", "long"), F.lit(0)).alias("actor_id"), login.alias("actor_login"),
         F.coalesce(_get("$.repo.id", "long"), _get("$.repository.id", "long"), F.lit(0)).alias("repo_id"), named.alias("repo_name"))
-    return (df.withColumn("actor_id", F.when(F.col("actor_id") != 0, F.col("actor_id")).otherwise(synthetic_id_col("actor:", F.lower(F.trim("actor_login")))))
+    df = df.withColumn("actor_login", F.when(F.col("actor_id") != 0, F.col("actor_login")).otherwise(F.lower(F.trim("actor_login"))))
+    return (df.withColumn("actor_id", F.when(F.col("actor_id") != 0, F.col("actor_id")).otherwise(synthetic_id_col("actor:", F.col("actor_login"))))
             .withColumn("repo_id", F.when(F.col("repo_id") != 0, F.col("repo_id")).otherwise(synthetic_id_col("repo:", F.col("repo_name")))))
