@@ -743,3 +743,71 @@ def _(spark, sf):
                  F.lit("comment").alias("source"), ids.hid("repo", F.col("source")).alias("repo_hid"), ids.hid("actor", F.col("doc_id") % 100).alias("actor_hid"),
                  F.col("lang").alias("lang_code"), text.normalize_col(F.col("text")).alias("text_normalized"))
     return _edge(hits(u, from_json([OWN]), 1)).drop("zones", "pre_context", "post_context")
+
+
+# ---------------------------------------------------------------- further shapes
+
+@query("j04_left_using", "SELECT n.day, n.lang, n.utterances, COALESCE(h.hits, 0) AS hits FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS lang, count(*) AS utterances FROM events GROUP BY 1, 2) n LEFT JOIN (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS lang, count(*) AS hits FROM events WHERE value > 200 GROUP BY 1, 2) h USING (day, lang)")
+def _(spark, sf):
+    e = read(spark, sf, "events")
+    keys = [F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("lang")]
+    hits = e.filter("value > 200").groupBy(*keys).agg(F.count("*").alias("hits"))
+    return e.groupBy(*keys).agg(F.count("*").alias("utterances")).join(hits, ["day", "lang"], "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
+
+
+@query("j09_scalar_fallback", "SELECT COALESCE((SELECT min(year(o_orderdate)) FROM orders WHERE o_totalprice < 0), (SELECT min(year(l_shipdate)) FROM lineitem)) AS first_year")
+def _(spark, sf):
+    a = read(spark, sf, "orders").filter("o_totalprice < 0").agg(F.min(F.year("o_orderdate")).alias("a"))
+    b = read(spark, sf, "lineitem").agg(F.min(F.year("l_shipdate")).alias("b"))
+    return a.crossJoin(b).select(F.coalesce("a", "b").cast("long").alias("first_year"))
+
+
+@query("j16_consented_catalogue", with_facts("SELECT r.full_name, c.consent_id, c.action FROM repositories r JOIN receipts c ON c.principal_key = r.k WHERE c.principal = 'repo' AND c.state = 'active'"))
+def _(spark, sf):
+    r = facts.repositories(spark, sf).select("full_name", F.regexp_extract("full_name", r"repo(\d+)$", 1).cast("long").alias("principal_key"))
+    c = facts.receipts(spark, sf).filter("principal = 'repo' AND state = 'active'")
+    return r.join(c, "principal_key").select("full_name", "consent_id", "action")
+
+
+@query("f06_optional_by_sentinel", "SELECT '' AS asked, count(*) AS n FROM events UNION ALL SELECT 'click', count(*) FROM events WHERE event_type = 'click'")
+def _(spark, sf):
+    out = None
+    for asked in ("", "click"):
+        e = read(spark, sf, "events")
+        part = (e.filter(F.col("event_type") == asked) if asked else e).agg(F.lit(asked).alias("asked"), F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("t03_sorted_categories", with_facts("SELECT category, count(*) FILTER (severity = 'strong') AS strong, count(*) AS total FROM crimes GROUP BY 1 ORDER BY strong DESC, category LIMIT 3"))
+def _(spark, sf):
+    return agg.severity_pivot(facts.crimes(spark, sf), F.col("category")).select("category", "strong", "total").orderBy(F.desc("strong"), "category").limit(3)
+
+
+@query("l04_fold_spaces", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\\s*[\\r\\n]\\s*', chr(10), 'g'), '[ \\t\\f\\v]+', ' ', 'g'), ' ' || chr(10))) AS digest FROM documents WHERE NOT regexp_matches(text, '[\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{3000}]')")
+def _(spark, sf):
+    d = read(spark, sf, "documents").filter(~F.rlike("text", F.lit("[\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{3000}]")))
+    return d.select("doc_id", F.md5(text.fold_spaces_col(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("l13_word_boundaries", "SELECT doc_id, len(regexp_extract_all(regexp_replace(lower(text), '([^\\p{L}\\p{N}\\p{Mn}\\p{Pc}])', '\\1\\1', 'g'), '(?:^|[^\\p{L}\\p{N}\\p{Mn}\\p{Pc}])(?:trash|scum)(?:$|[^\\p{L}\\p{N}\\p{Mn}\\p{Pc}])')) AS hits FROM documents")
+def _(spark, sf):
+    word = r"[\p{L}\p{N}\p{Mn}\p{Pc}]"
+    return read(spark, sf, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit(rf"(?<!{word})(?:trash|scum)(?!{word})")).cast("long").alias("hits"))
+
+
+@query("l20_stored_levels", "SELECT i AS level, CASE WHEN i <= 1 THEN 'mild' ELSE 'strong' END AS severity, CASE WHEN i = 0 THEN 'bot_rage' WHEN i = 1 THEN 'generic' WHEN i = 2 THEN 'self_own' ELSE 'generic' END AS category FROM range(4) AS r(i)")
+def _(spark, sf):
+    names = F.element_at(F.array(F.lit("bot_rage"), F.lit("harassment"), F.lit("self_own"), F.lit("other")), (F.col("id") + 1).cast("int"))
+    return spark.range(4).select(F.col("id").alias("level"), scalars.severity_of(F.col("id")).alias("severity"), scalars.stored_category(names).alias("category"))
+
+
+@query("r04_hour_ledger", "SELECT strftime(x, '%Y-%m-%d %H:%M:%S') AS hour_utc, CASE WHEN hour(x) = 1 THEN 'running' WHEN hour(x) = 2 THEN 'ok' ELSE 'pending' END AS bf_status FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-01 05:00:00', INTERVAL 1 HOUR)) AS x)")
+def _(spark, sf):
+    from tonelake.operators import ledger
+
+    at = lambda h: datetime(2024, 1, 1, h)
+    known = spark.createDataFrame([(at(1), "pending", "pending"), (at(2), "running", "pending")], "hour_utc timestamp, bf_status string, ns_status string")
+    full = ledger.seed(spark, known, "2024-01-01 00:00:00", "2024-01-01 05:00:00")
+    changes = spark.createDataFrame([(at(1), "running"), (at(2), "ok"), (at(3), "ok")], "hour_utc timestamp, bf_status string")  # the third is not allowed
+    return _edge(ledger.advance(full, changes, "bf_status").select("hour_utc", "bf_status"))

@@ -130,6 +130,14 @@ def detver_markers(crimes: DataFrame) -> DataFrame:
     return crimes.groupBy(F.col("detver").alias("version")).agg(F.date_format(F.min("created_at"), "yyyy-MM-dd").alias("first_day"))
 
 
+def yearly_trends(crimes: DataFrame, states: DataFrame, first_year: int, last_year: int, include: tuple[str, ...] = (), scope: Scope | None = None) -> dict[str, DataFrame]:
+    """The parts of the yearly answer by name; an include list leaves out the others, which are then never planned."""
+    months = monthly(crimes, states, first_year, last_year, scope)
+    parts = {"monthly": lambda: months, "seasonality": lambda: seasonality(months), "mix": lambda: category_mix(crimes, last_year),
+             "detver_markers": lambda: detver_markers(crimes), "year_over_year": lambda: year_over_year(months)}
+    return {name: make() for name, make in parts.items() if not include or name in include}
+
+
 def year_over_year(months: DataFrame, metric: str = "hits") -> DataFrame:
     """Change against the same month a year before; null where that was zero or is missing."""
     w = Window.partitionBy("month").orderBy("year")  # dense months, so the row before is the year before
