@@ -22,12 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 LONG_PART = 64  # characters from which a part is merged with a heap instead of in rounds
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1_000_000  # characters that are indexed at a time; bounds a worker's memory
 
 
 class Vocabulary:
@@ -226,18 +227,27 @@ def decode_ids(v: Vocabulary, ids) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+def _in_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in order, some of them at a time: up to BATCH_CHARS bytes of text, or one row."""
+    size = pc.fill_null(pc.binary_length(batch.column("__text")), 0).to_numpy(zero_copy_only=False)
+    at, held = 0, 0
+    for k, n in enumerate(size.tolist()):
+        if k > at and held + n > BATCH_CHARS:
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += n
+    if at < len(size):
+        yield batch.slice(at)
+
+
 def _encoded(path: str, what: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(path)
-        for batch in batches:
+        is_byte = np.zeros(len(v.score), bool)
+        is_byte[v.byte_id] = True
+        for batch in (part for whole in batches for part in _in_slices(whole)):
             texts = [t or "" for t in batch.column("__text").to_pylist()]
-            out, k = [], 0
-            while k < len(texts):
-                chars, j = 0, k
-                while j < len(texts) and (j == k or chars + len(texts[j]) <= BATCH_CHARS):
-                    chars, j = chars + len(texts[j]), j + 1
-                out += encode_texts(v, texts[k:j])
-                k = j
+            out = encode_texts(v, texts)
             rest = [batch.column(c) for c in batch.schema.names if c != "__text"]
             names = [c for c in batch.schema.names if c != "__text"]
             if what == "ids":
@@ -245,8 +255,6 @@ def _encoded(path: str, what: str):
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*rest, ids], [*names, "token_ids"])
             else:
-                is_byte = np.zeros(len(v.score), bool)
-                is_byte[v.byte_id] = True
                 yield pa.RecordBatch.from_arrays([
                     *rest,
                     pa.array([len(x) for x in out], pa.int64()),
