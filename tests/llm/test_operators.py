@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tonelake.llm import decontaminate, embedding_dedup, license_scan, packing, quality, queries, resharding, sentencepiece_codec, simhash_dedup, token_counts, toxicity
-from tonelake.llm.common import connected_components, table
+from tonelake.llm.common import bounded_sample, connected_components, table
 
 SMALL = "/root/testdata/sf0.001"
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -332,6 +332,21 @@ def test_classifiers_on_odd_tables(spark, module, label):
     assert no_docs(spark).select(module.score(spark, model, F.col("text"))).count() == 0
 
 
+def test_toxicity_prior(spark):
+    """The constant is corrected by the classes' sampling rates alone: not at all where every label is drawn."""
+    docs = spark.createDataFrame([(k, f"plain words number{k} here" if k % 4 else f"awful nasty words number{k}") for k in range(200)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    fold = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5]
+    n0, n1 = sum(k % 4 > 0 for k in fold), sum(k % 4 == 0 for k in fold)
+    every = toxicity.learn(docs, labels)
+    assert toxicity.learn(docs, labels, per_class=n0).weights == every.weights
+    for per_class in (n0 // 2, n1 // 2):
+        drawn = toxicity.fit(bounded_sample(docs, labels, "toxic", per_class, 16_384)).weights
+        own = math.log(n1 / n0) - math.log(min(n1, per_class) / per_class)
+        assert abs(toxicity.learn(docs, labels, per_class=per_class).weights[0] - drawn[0] - own) < 1e-9
+    assert toxicity.prior_shift(0, 5, 4) == toxicity.prior_shift(5, 0, 4) == toxicity.prior_shift(9, 9, 4) == 0
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(0)
     m = quality.Machine(0.1, rng.normal(size=30), rng.normal(size=(30, 3)))

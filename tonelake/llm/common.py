@@ -42,16 +42,21 @@ def train_fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 != 0
 
 
+def training_labels(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
+    """(i, y) of the training fold.  Repeated label rows count once, with the larger label."""
+    return (labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y"))
+            .filter(F.col("i").isNotNull() & F.col("y").isin(0, 1) & train_fold(F.col("i")))
+            .groupBy("i").agg(F.max("y").alias("y")))
+
+
 def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int,
                    id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
     """At most `per_class` training rows of either class as (text, label), for fitting on the driver.
 
     The rows are those with the smallest hash of the id, so the choice depends on neither partitioning nor order.
-    Texts above `max_bytes` are left to scoring.  Repeated label rows count once, with the larger label.
+    Texts above `max_bytes` are left to scoring.
     """
-    own = (labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y"))
-           .filter(F.col("i").isNotNull() & F.col("y").isin(0, 1) & train_fold(F.col("i")))
-           .groupBy("i").agg(F.max("y").alias("y")))
+    own = training_labels(labels, label, id_col)
     picked = None
     for y in (0, 1):
         part = own.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(per_class)

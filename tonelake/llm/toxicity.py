@@ -8,6 +8,9 @@ hold such a window.  A document's score is a logistic function of its largest wi
 fitted on training documents that trained neither dictionaries nor ratios (where there are too few, on the same).
 
 Fitting runs on the driver over a sample bounded by `per_class` and `max_bytes`; scoring covers every whole text.
+The sample may hold another share of either class than the training labels, so at every size the logarithm of the odds
+of toxic among all training labels, over the odds among those drawn, is added to the fitted constant (zero where all
+are drawn).
 Defined results: null and empty texts, and texts without such windows, get the lowest score there is; repeated rows
 get equal scores; without labels of both classes every score is 0.
 """
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import bounded_sample
+from tonelake.llm.common import bounded_sample, training_labels
 
 LEVEL, TILES, LONGEST = 12, 4, 24
 CACHE = 100_000  # words kept; bounds a worker's memory
@@ -135,11 +138,16 @@ def fit(rows: list[tuple[str, int]], toxic_size: int = 8192, ordinary_size: int
     return model
 
 
+def prior_shift(ordinary: int, toxic: int, per_class: int) -> float:
+    """The log odds of toxic among so many training labels, less those among the at most `per_class` drawn of each."""
+    if not ordinary or not toxic:
+        return 0.0
+    return math.log(toxic / min(toxic, per_class)) - math.log(ordinary / min(ordinary, per_class))
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 4000, max_bytes: int = 16_384) -> Model:
-    rows = bounded_sample(docs, labels, label, per_class, max_bytes)
-    # where the bound leaves ordinary rows out, the sample holds more toxic ones than the corpus: false alarms weigh more
-    bounded = sum(y == 0 for _, y in rows) > 0.9 * per_class
-    return fit(rows, shift=-1.0 if bounded else 0.0)
+    size = {r.y: r["count"] for r in training_labels(labels, label).groupBy("y").count().collect()}
+    return fit(bounded_sample(docs, labels, label, per_class, max_bytes), shift=prior_shift(size.get(0, 0), size.get(1, 0), per_class))
 
 
 def score(spark: SparkSession, model: Model, text: Column) -> Column:
