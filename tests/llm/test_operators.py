@@ -355,6 +355,12 @@ def test_sum_of_squares_identity():
     assert abs(m.score(at, x) - 1 / (1 + math.exp(-z))) < 1e-12
 
 
+@pytest.mark.parametrize("text", ["ab12 |\n" * 5_000, "né漢½ " * 9_000, "x1" * 10_000 + "y"])
+def test_letter_share_of_long_texts(text):
+    values = quality.features(text, {})[1][-quality.N_STATS:]
+    assert values[8] == sum(c.isalpha() for c in text) / len(text)
+
+
 @needs_data
 @pytest.mark.parametrize("name, label, least", [("op8_toxicity", "toxic", 0.85), ("op9_quality", "quality", 0.95)])
 def test_held_out_accuracy(spark, name, label, least):

@@ -32,7 +32,7 @@ CACHE = 100_000  # words kept; bounds a worker's memory
 def _statistics(text: str, words: list[str], count: Counter) -> list[float]:
     n, w = max(len(text), 1), max(len(words), 1)
     lines = text.split("\n")
-    alpha = sum(map(str.isalpha, text[::7])) / max(len(text[::7]), 1) if n > 20_000 else sum(map(str.isalpha, text)) / n
+    alpha = sum(map(str.isalpha, text)) / n
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False)) / w
     bigrams = len(set(zip(words, words[1:], strict=False))) / w
     return [
