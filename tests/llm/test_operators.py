@@ -184,6 +184,16 @@ def test_licences(spark):
     assert (got[9].base_labels, got[9].labels) == ("", "mit") and 0.75 <= got[9].score <= 1
 
 
+def test_licences_of_a_compendium(spark):
+    """A text with all templates' sentences has more than 64 indexed words; every label must be found."""
+    rare = " ".join(t.words for t in license_scan.TEMPLATES)
+    common = "licensed under the gnu lesser affero general public license version 3 cc by sa 4 0 this is free and unencumbered software released into the domain of creative commons"
+    docs = spark.createDataFrame([(0, rare), (1, "third party notices " + rare.replace(" ", "\n") + " end"), *((k, common) for k in range(2, 9))], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    labels = ",".join(sorted({t.label for t in license_scan.TEMPLATES}))
+    assert got[0].labels == got[1].labels == labels and got[0].score == got[1].score == 1
+
+
 def test_licences_on_odd_tables(spark):
     assert license_scan.scan(odd_docs(spark)).count() == len(ODD) + 3
     assert license_scan.scan(no_docs(spark)).count() == 0

@@ -2,10 +2,10 @@
 
 Method: the licence templates below give a positional index: for each of a template's `per_template` rarest words the
 places where it stands.  How rare a word is, its inverse document frequency, is counted over all documents.  Each text
-is cut into words; its licence words, rarest first, are looked up and the `lookups` rarest kept; each place of one in
-the text minus its place in a template is the offset at which that template would have to begin.  The offset that most
-places agree on decides: where at least `share` of the template's indexed words agree, and every mandatory phrase of
-the template stands in the text, the template's label is given.
+is cut into words and all its indexed words, of which there are no more than the templates hold, are looked up; each
+place of one in the text minus its place in a template is the offset at which that template would have to begin.  The
+offset that most places agree on decides: where at least `share` of the template's indexed words agree, and every
+mandatory phrase of the template stands in the text, the template's label is given.
 
 A text is handled where it lies: nothing is shuffled but one count per licence word and task.  What is collected is
 those counts, bounded by the number of words in the templates, whatever the number of documents.
@@ -116,7 +116,7 @@ def _offsets(hits: Column, uses: dict[str, list[int]]) -> Column:
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE, per_template: int = 8,
-         lookups: int = 64, share: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         share: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every row."""
     vocabulary = sorted({w for t in templates for w in t.words.split(" ")})
     df = document_frequency(docs, vocabulary, text_col)
@@ -135,9 +135,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dic
             .withColumn("last_phrase", F.when(any_base, F.element_at(F.regexp_extract_all("p", F.lit(pattern), F.lit(0)), -1))))
     base_labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.contains("p", F.lit(f" {phrase} ")), F.lit(label)) for phrase, label in base.items()]))))
 
-    # the rarest licence words of the text, and all places of them where they are enough for any template
-    found = F.array_intersect(F.array(*map(F.lit, index)), F.col("words"))
-    rows = rows.withColumn("rare", F.slice(found, 1, lookups))
+    # the indexed words of the text, and all places of them where they are enough for any template
+    rows = rows.withColumn("rare", F.array_intersect(F.array(*map(F.lit, index)), F.col("words")))
     near = F.lit(False)
     for t, n in enumerate(places):
         mine = sorted(w for w, uses in posting.items() if any(s == t for s, _ in uses))
