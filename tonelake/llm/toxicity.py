@@ -1,17 +1,23 @@
 """Toxicity by compression distance.
 
-Method: two zstandard dictionaries are trained, one on ordinary and one on toxic text.  A window is one lower-case word
-of four letters or more, tiled so that the coder has something to gain; its compressed lengths under both dictionaries
-(raw content, so that no entropy table favours either) tell which text it belongs to.  Thresholds are calibrated: for
-each (window length, ordinary length, toxic length) the log ratio of how often toxic and ordinary training documents
-hold such a window.  A document's score is a logistic function of its largest window ratio and of the sum of the rest,
-fitted on training documents that trained neither dictionaries nor ratios (where there are too few, on the same).
+Method: two zstandard dictionaries are trained, one on ordinary text and one on those runs of toxic text that toxic
+documents hold far more often than ordinary ones.  A window is a run of letters, lower-cased and tiled so that the coder
+has something to gain; it is compressed under either dictionary (raw content, so that no entropy table favours one), and
+the two compressed lengths are compared.  Thresholds are calibrated for each window length: each (length, ordinary length,
+toxic length) gets the log ratio of how often toxic and ordinary training documents hold such a window.  A document's
+score is a logistic function of its largest ratio and of the sum over all its windows above the threshold.
+
+Windows of 32 to 128 bytes of running text were tried first; with one toxic word in about sixty their lengths say too
+little (the README has the figures), so a window ends where its word ends.
+
+Dictionaries, ratios and the logistic function are each fitted on documents that the step before didn't see: the sample
+is halved, either half's dictionaries measure the other half, and the final dictionaries are trained on both.
 
 Fitting runs on the driver over a sample bounded by `per_class` and `max_bytes`; scoring covers every whole text.
 The sample may hold another share of either class than the training labels, so at every size the logarithm of the odds
 of toxic among all training labels, over the odds among those drawn, is added to the fitted constant (zero where all
 are drawn).
-Defined results: null and empty texts, and texts without such windows, get the lowest score there is; repeated rows
+Defined results: null and empty texts, and texts without letters, get the lowest score there is; repeated rows
 get equal scores; without labels of both classes every score is 0.
 """
 
@@ -21,7 +27,7 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,12 +38,12 @@ from pyspark.sql import functions as F
 from tonelake.llm.common import bounded_sample, training_labels
 
 LEVEL, TILES, LONGEST = 12, 4, 24
-CACHE = 100_000  # words kept; bounds a worker's memory
-words_of = re.compile(r"[^\W\d_]{4,}").findall
+CACHE = 60_000  # windows kept in each of two generations; bounds a worker's memory, changes no result
+windows_of = re.compile(r"[^\W\d_]+").findall
 
 
 def _windows(text: str | None) -> set[str]:
-    return set(words_of(text.lower())) if text else set()
+    return set(windows_of(text.lower())) if text else set()
 
 
 def _tile(word: str) -> bytes:
@@ -59,6 +65,14 @@ def _spread(samples: list[bytes], most: int) -> list[bytes]:
     return samples if len(samples) <= most else random.Random(3).sample(samples, most)
 
 
+def evidence(toxic: int, ordinary: int, n_toxic: int, n_ordinary: int) -> float:
+    """The G statistic of a window held by so many of the documents of either class."""
+    held, n = toxic + ordinary, n_toxic + n_ordinary
+    term = lambda k, expected: 2 * k * math.log(k / expected) if k else 0.0
+    return (term(toxic, held * n_toxic / n) + term(ordinary, held * n_ordinary / n)
+            + term(n_toxic - toxic, (n - held) * n_toxic / n) + term(n_ordinary - ordinary, (n - held) * n_ordinary / n))
+
+
 @dataclass
 class Model:
     ordinary: bytes = b""
@@ -71,69 +85,87 @@ class Scorer:
     def __init__(self, model: Model):
         import zstandard
 
-        self.model, self.cells, self.coders = model, {}, []
+        self.model, self.young, self.old, self.coders = model, {}, {}, []
         for raw in (model.ordinary, model.toxic):
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
     def cell(self, word: str) -> tuple[int, int, int]:
+        """The window's length, and its compressed lengths under the ordinary and the toxic dictionary."""
         raw = _tile(word)
         return min(len(raw) // TILES, LONGEST), *(len(c.compress(raw)) for c in self.coders)
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """The largest log ratio of the document's windows, and the logarithm of the sum of the other large ones."""
-        if len(self.cells) > CACHE:
-            self.cells.clear()
-        found = []
-        for w in _windows(text):
-            r = self.cells.get(w)
+    def ratio(self, word: str) -> float:
+        r = self.young.get(word)
+        if r is None:
+            r = self.old.get(word)
             if r is None:
-                r = self.cells[w] = self.model.ratio.get(self.cell(w), 0.0)
-            if r > 1:
-                found.append(r)
-        found.sort(reverse=True)
-        return (found[0], math.log1p(sum(found[1:6]))) if found else (0.0, 0.0)
+                r = self.model.ratio.get(self.cell(word), 0.0)
+            if len(self.young) >= CACHE:
+                self.old, self.young = self.young, {}
+            self.young[word] = r
+        return r
 
     def score(self, text: str | None) -> float:
-        a, b = self.features(text)
         w = self.model.weights
+        a, b = features(map(self.ratio, _windows(text)))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, w[0] + w[1] * a + w[2] * b))))
 
 
-def fit(rows: list[tuple[str, int]], toxic_size: int = 8192, ordinary_size: int = 112_640, min_share: float = 0.01, shift: float = 0.0) -> Model:
-    """min_share: the share of toxic texts that a window must occur in to be a sample of the toxic dictionary.
+def features(ratios: Iterable[float]) -> tuple[float, float]:
+    """The largest log ratio above the threshold of 1, and the logarithm of the sum of all others above it."""
+    above = [r for r in ratios if r > 1]
+    most = max(above, default=0.0)
+    return most, math.log1p(math.fsum(above) - most)
+
+
+def _train(rows: list[tuple[str, int]], ordinary_size: int, toxic_size: int, least_evidence: float) -> Model:
+    """Dictionaries from labelled texts."""
+    count, n = {0: Counter(), 1: Counter()}, Counter(y for _, y in rows)
+    for t, y in rows:
+        count[y].update(_windows(t))
+    # in sorted order, so that a fit doesn't depend on how Python hashes strings
+    telling = [(w, k) for w, k in sorted(count[1].items())
+               if k >= 2 and k * n[0] > 8 * count[0][w] * n[1] and evidence(k, count[0][w], n[1], n[0]) >= least_evidence]
+    toxic = [_tile(w) for w, k in telling for _ in range(min(k, 50))]
+    ordinary = [f" {w} ".encode("utf-8", "surrogatepass") for w, k in sorted(count[0].items()) for _ in range(min(k, 8))]
+    return Model(_dictionary(_spread(ordinary, 300_000), ordinary_size), _dictionary(toxic, toxic_size))
+
+
+def _ratios(cells: list[tuple[Counter, int]]) -> dict[tuple[int, int, int], float]:
+    seen, n = {0: Counter(), 1: Counter()}, {y: sum(k == y for _, k in cells) + 1 for y in (0, 1)}
+    for own, y in cells:
+        seen[y].update(set(own))
+    return {c: math.log((k + 0.05) / n[1]) - math.log((seen[0][c] + 0.5) / n[0]) for c, k in seen[1].items()}
+
+
+def fit(rows: list[tuple[str, int]], toxic_size: int = 8192, ordinary_size: int = 112_640, least_evidence: float = 8.0, shift: float = 0.0) -> Model:
+    """least_evidence: the G statistic from which a toxic window is a sample of the toxic dictionary.
     shift: added to the fitted constant."""
     distinct = list(dict(rows).items())
     random.Random(11).shuffle(distinct)
     if len({y for _, y in distinct}) < 2:
         return Model()
-    half = len(distinct) // 2
-    first, rest = distinct[:half], distinct[half:]
-    if {y for _, y in first} != {0, 1}:
-        first = distinct
-    count = {0: Counter(), 1: Counter()}
-    for t, y in first:
-        count[y].update(_windows(t))
-    least = max(2, min_share * sum(y for _, y in first))
-    # in sorted order, so that a fit doesn't depend on how Python hashes strings
-    toxic = [_tile(w) for w, n in sorted(count[1].items()) if n >= least and w not in count[0] for _ in range(min(n, 50))]
-    ordinary = [f" {w} ".encode("utf-8", "surrogatepass") for w, n in sorted(count[0].items()) for _ in range(min(n, 8))]
-    model = Model(_dictionary(_spread(ordinary, 300_000), ordinary_size), _dictionary(toxic, toxic_size))
-    scorer = Scorer(model)
-    cells, last = (rest[::2], rest[1::2]) if sum(y for _, y in rest) >= 200 else (rest, rest)
-    seen, n = {0: Counter(), 1: Counter()}, {y: sum(k == y for _, k in cells) + 1 for y in (0, 1)}
-    for t, y in cells:
-        seen[y].update({scorer.cell(w) for w in _windows(t)})
-    model.ratio = {c: math.log((k + 0.05) / n[1]) - math.log((seen[0][c] + 0.5) / n[0]) for c, k in seen[1].items()}
-    scorer.cells.clear()
-    x = np.array([(1.0, *scorer.features(t)) for t, _ in last])
-    y = np.array([k for _, k in last], float)
-    w = np.zeros(3)
+    halves = [distinct[0::2], distinct[1::2]]
+    if any(len({y for _, y in h}) < 2 for h in halves):
+        halves = [distinct, distinct]
+    measured = []
+    for own, other in (halves, halves[::-1]):
+        scorer = Scorer(_train(other, ordinary_size, toxic_size, least_evidence))
+        cell = {w: scorer.cell(w) for w in sorted(set().union(*(_windows(t) for t, _ in own)))}
+        measured.append([(Counter(cell[w] for w in _windows(t)), y) for t, y in own])
+    x, y = [], []
+    for own, ratio in ((measured[0], _ratios(measured[1])), (measured[1], _ratios(measured[0]))):
+        x += [(1.0, *features(r for c, k in cells.items() for r in [ratio.get(c, 0.0)] * k)) for cells, _ in own]
+        y += [k for _, k in own]
+    x, y, w = np.array(x), np.array(y, float), np.zeros(3)
     for _ in range(30):  # Newton steps of a logistic regression with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + 0.05 * w
         w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), grad)
+    model = _train(distinct, ordinary_size, toxic_size, least_evidence)
+    model.ratio = _ratios(measured[0] + measured[1])
     model.weights = (float(w[0]) + shift, float(w[1]), float(w[2]))
     return model
 
