@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,23 +15,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder that driver and executors share.
+    """A new folder below the checkpoint folder that driver and executors share; it goes when the application ends.
 
-    Only where the session names no such folder (tests on one machine) a temporary one is made.
+    Only where the session names no such folder and runs in one process (tests) a temporary one is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="tonelake-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tonelake-{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tonelake-{name}-{uuid.uuid4().hex}"
+    fs, folder = _file_system(spark, path)
+    fs.deleteOnExit(folder)
+    return path
 
 
-def durable(df: DataFrame, name: str = "step") -> DataFrame:
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, folder = _file_system(spark, path)
+    return fs.exists(folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, folder = _file_system(spark, path)
+    fs.delete(folder, True)
+
+
+def stored(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
     """Write df as Parquet into the shared folder and read it again: cuts the lineage, survives executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def durable(df: DataFrame, name: str = "step") -> DataFrame:
+    return stored(df, name)[0]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -68,18 +93,43 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     return [(r.t, r.y) for r in sorted(rows.collect(), key=lambda r: r.i)]
 
 
+def hook(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Join the trees of links i[k]-j[k]; the numbers k of links that joined two trees, which make a spanning forest.
+
+    root: for each item the smallest item known to be in its tree; changed in place.
+    """
+    used, at = [], np.arange(len(i))
+    while len(at):
+        a, b = root[i[at]], root[j[at]]
+        apart = a != b
+        at, a, b = at[apart], a[apart], b[apart]
+        if not len(at):
+            break
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        order = np.lexsort((low, high))
+        high = high[order]
+        first = np.append(True, high[1:] != high[:-1])
+        root[high[first]] = low[order][first]
+        used.append(at[order[first]])
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
+    return np.concatenate(used) if used else np.zeros(0, np.int64)
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component_id) for every id in links (u, v): the smallest id that can be reached.
 
-    Alternating large-star and small-star rounds.  Each round is a few grouped minima, which combine before the
-    shuffle, and equi-joins, which Spark can split at hot keys; each is checkpointed in the shared folder.
+    Ids may be of any type that has an order, structs too.  Alternating large-star and small-star rounds, until every
+    component is a star around its smallest id.  Each round is a few grouped minima, which combine before the shuffle,
+    and equi-joins; it is written to the shared folder, where the round before goes.
     """
     spark = links.sparkSession
-    shared_dir(spark, "cc")  # sets a checkpoint folder where the session has none
     big, small = F.greatest("u", "v"), F.least("u", "v")
-    e = links.filter("u <> v").select(big.alias("u"), small.alias("v")).distinct().checkpoint()
-    before = None
+    e, path = stored(links.filter("u <> v").select(big.alias("u"), small.alias("v")).distinct(), "links")
     while True:
+        inner = e.select(F.col("v").alias("u"), F.lit(True).alias("low")).distinct()
+        if e.groupBy("u").agg(F.count("*").alias("n")).join(inner, "u", "left").filter("n > 1 or low").isEmpty():
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -87,10 +137,24 @@ def connected_components(links: DataFrame) -> DataFrame:
         star = (large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
                                                               F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
                 .select("s.u", "s.v").filter("u <> v").select(big.alias("u"), small.alias("v")).distinct())
-        e = star.checkpoint()
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == before:
-            break
-        before = now
+        before = path
+        e, path = stored(star, "links")
+        remove(spark, before)
     return (e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
             .unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()))
+
+
+def smallest_reached(items: DataFrame, links: DataFrame, key: str, first_id: str) -> DataFrame:
+    """items (key, first_id, ...) with component_id: the smallest first_id that can be reached over links (u, v) of keys,
+    and head: the key of the item that has it.
+
+    The nodes are ordered by first_id, nulls last, so a component's smallest node holds the answer and no group of a
+    component's members is ever gathered.
+    """
+    node = F.struct(F.col(first_id).isNull().alias("none"), F.col(first_id).alias("first"), F.col(key).alias("key"))
+    nodes = items.select(F.col(key).alias("k"), node.alias("node"))
+    ends = (links.join(nodes.select(F.col("k").alias("u"), F.col("node").alias("nu")), "u")
+            .join(nodes.select(F.col("k").alias("v"), F.col("node").alias("nv")), "v").select(F.col("nu").alias("u"), F.col("nv").alias("v")))
+    heads = connected_components(ends).select(F.col("id.key").alias(key), F.col("component_id.first").alias("component_id"), F.col("component_id.key").alias("head"))
+    return (items.join(heads, key, "left").withColumn("component_id", F.when(F.col("head").isNotNull(), F.col("component_id")).otherwise(F.col(first_id)))
+            .withColumn("head", F.coalesce("head", key)))

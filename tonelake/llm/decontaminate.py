@@ -1,15 +1,16 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Method: a test item of n normalised characters may differ by k = floor(n * `rate`) edits; cut into k + 1 pieces, at
-least one piece of any match occurs unchanged.  All pieces of a block of items form one Aho-Corasick automaton, which
+Method: a test item of n normalised characters, with a space at either end so that it begins and ends with a word, may
+differ by k = floor(n * `rate`) edits; cut into k + 1 pieces, at least one piece of any match occurs unchanged.  All pieces of a block of items form one Aho-Corasick automaton, which
 finds the piece hits in a single pass over each whole text; each hit fixes where in the text the item can lie, and
-Myers' bit-parallel algorithm verifies the edit distance there.
+Myers' bit-parallel algorithm verifies the edit distance there, and from the match's end backwards tells its start.
 
 Normalising folds case and turns every run of other characters than letters and digits into one space.  Test items
 are read in blocks of `block_bytes`, each block broadcast on its own, so what is broadcast has a bound whatever the
-size of the benchmark.  Defined results: null and empty texts and items match nothing; items under `least`
-characters are matched without edits and at word boundaries; of several places of an item in one document the one of
-least distance, then the first, is told; repeated rows and items give a result each.
+size of the benchmark; each block takes a pass over the documents.  Defined results: null and empty texts and items
+match nothing; the edits of an item follow from its length alone, so items under 1 / `rate` characters have none; of
+several places of an item in one document the one of least distance, then the one that ends first, is told, with its
+shortest extent; repeated rows and items give a result each.
 """
 
 from __future__ import annotations
@@ -29,14 +30,15 @@ def normalise(text: str | None) -> str:
     return _other.sub(" ", text.casefold()).strip() if text else ""
 
 
-def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
-    """Least edit distance of the pattern to any part of the text, and where that part ends; None if above `most`."""
+def myers(pattern: str, text: str, most: int, anchored: bool = False) -> tuple[int, int] | None:
+    """Least edit distance of the pattern to any part of the text, and where that part first ends; None if above `most`.
+    anchored: only parts that begin where the text begins."""
     n = len(pattern)
     peq: dict[str, int] = {}
     for i, c in enumerate(pattern):
         peq[c] = peq.get(c, 0) | 1 << i
-    full, high = (1 << n) - 1, 1 << (n - 1)
-    up, down, score, best = full, 0, n, None
+    full, high, enter = (1 << n) - 1, 1 << (n - 1), int(anchored)
+    up, down, score, best = full, 0, n, (n, 0) if n <= most else None
     for j, c in enumerate(text):
         eq = peq.get(c, 0)
         xv = eq | down
@@ -46,7 +48,7 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
             score += 1
         elif mh & high:
             score -= 1
-        ph, mh = (ph << 1) & full, (mh << 1) & full  # nothing enters below: a match may begin anywhere
+        ph, mh = (ph << 1 | enter) & full, (mh << 1) & full  # not anchored: nothing enters below, a match may begin anywhere
         up, down = mh | (~(xv | ph) & full), ph & xv
         if score <= most and (best is None or score < best[0]):
             best = (score, j + 1)
@@ -54,7 +56,7 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
 
 
 class Index:
-    def __init__(self, items: list[tuple[int, str]], rate: float, least: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
         self.items = []  # id, text, edits
@@ -63,10 +65,9 @@ class Index:
             text = normalise(raw)
             if not text:
                 continue
-            k = int(len(text) * rate) if len(text) >= least else 0
-            at = len(self.items)
-            self.items.append((item_id, text if len(text) >= least else f" {text} ", k))
-            text = self.items[-1][1]
+            k, at = int(len(text) * rate), len(self.items)
+            text = f" {text} "
+            self.items.append((item_id, text, k))
             cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 pieces.setdefault(text[a:b], []).append((at, a))
@@ -82,30 +83,35 @@ class Index:
         if not text or not self.items:
             return []
         text = f" {text} "
-        best: dict[int, tuple[int, int, int]] = {}
+        best: dict[int, tuple[int, int]] = {}  # distance and end
         tried = set()
         for end, (length, uses) in self.automaton.iter(text):
             for at, offset in uses:
                 _, item, k = self.items[at]
-                if at in best and best[at][0] == 0:
-                    continue
                 start = end + 1 - length - offset
+                if at in best and best[at] <= (0, start + len(item)):
+                    continue
                 if 0 <= start and text.startswith(item, start):
-                    best[at] = (0, start, start + len(item))
+                    best[at] = (0, start + len(item))
                     continue
                 if k == 0 or (at, start) in tried:
                     continue
                 tried.add((at, start))
                 low = max(0, start - k)
                 found = myers(item, text[low : start + len(item) + k], k)
-                if found and (at not in best or (found[0], low + found[1]) < (best[at][0], best[at][2])):
-                    best[at] = (found[0], max(0, low + found[1] - len(item)), low + found[1])
-        return [(self.items[at][0], d, max(0, s - 1), e - 1) for at, (d, s, e) in sorted(best.items())]
+                if found and (at not in best or (found[0], low + found[1]) < best[at]):
+                    best[at] = (found[0], low + found[1])
+        out = []
+        for at, (d, e) in sorted(best.items()):
+            item_id, item, _ = self.items[at]
+            s = e - (len(item) if d == 0 else myers(item[::-1], text[max(0, e - len(item) - d) : e][::-1], d, anchored=True)[1])
+            out.append((item_id, d, s, max(s, e - 2)))  # without the spaces at either end
+        return out
 
 
-def _search(shared, rate: float, least: int):
+def _search(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, rate, least)
+        index = Index(shared.value, rate)
         for batch in batches:
             rows = []
             for k, t in enumerate(batch.column("__text").to_pylist()):
@@ -130,7 +136,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int)
         yield [(r.i, r.t) for r in part.orderBy("i", "t").collect()]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int = 24, block_bytes: int = 4 << 20,
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_bytes: int = 4 << 20,
             id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance, start and end for every test item that a document holds."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
@@ -138,26 +144,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: in
     out = None
     for items in blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(items)
-        part = src.mapInArrow(_search(shared, rate, least), f"doc_id {kind}, item_id long, distance int, start long, end long")
+        part = src.mapInArrow(_search(shared, rate), f"doc_id {kind}, item_id long, distance int, start long, end long")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _holds_any(shared, rate: float, least: int):
+def _holds_any(shared, rate: float):
     @F.pandas_udf("boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(shared.value, rate, least)
+        index = Index(shared.value, rate)
         for texts in batches:
             yield pd.Series([bool(index.matches(t)) for t in texts], dtype=bool)
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least: int = 24, block_bytes: int = 4 << 20,
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_bytes: int = 4 << 20,
                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"):
     """A column that tells whether a text holds any test item, for filters."""
     found = F.lit(False)
     for items in blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(items)
-        found = found | _holds_any(shared, rate, least)(F.col(text_col))
+        found = found | _holds_any(shared, rate)(F.col(text_col))
     return found

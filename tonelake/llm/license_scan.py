@@ -18,11 +18,14 @@ labels and a score of zero; repeated rows and ids give a row each; ties in rarit
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.llm.common import ascii_lower
+
 # Base phrases and their labels.
 BASE = {
     "under the mit license": "mit",
@@ -63,11 +66,8 @@ TEMPLATES = (
 
 
 def padded(text: Column) -> Column:
-    """The words of a text with single spaces between, before and after.
-
-    Unicode lower-casing serves for A-Z: of the other letters it makes only others that are part of words too.
-    """
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NO_WORD, " ")), F.lit(" "))
+    """The words of a text, in lower case (A-Z only), with single spaces between, before and after."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD, " ")), F.lit(" "))
 
 
 def _words_in(piece: Column) -> Column:
@@ -130,7 +130,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dic
     any_base = F.lit(False)
     for phrase in base:
         any_base = any_base | F.contains("p", F.lit(f" {phrase} "))
-    pattern = f"(?<= )(?:{'|'.join(base)})(?= )"
+    pattern = f"(?<= )(?:{'|'.join(map(re.escape, base))})(?= )"
     rows = (rows.withColumn("parts", F.when(any_base, F.split("p", pattern, -1)))
             .withColumn("last_phrase", F.when(any_base, F.element_at(F.regexp_extract_all("p", F.lit(pattern), F.lit(0)), -1))))
     base_labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.contains("p", F.lit(f" {phrase} ")), F.lit(label)) for phrase, label in base.items()]))))

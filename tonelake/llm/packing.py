@@ -107,7 +107,10 @@ def _pack(tokenizer_path: str, seq_len: int, end_id: int, pad_id: int, dtype: st
         pieces, held, block = [], 0, 0
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(token_ids(tokenizer_path, text), end_id).astype(dtype)
+                ids = np.append(token_ids(tokenizer_path, text), end_id)
+                if ids.max() > np.iinfo(dtype).max:
+                    raise ValueError(f"token ids above {np.iinfo(dtype).max} need more bytes an id")
+                ids = ids.astype(dtype)
                 for part, at in enumerate(range(0, len(ids), seq_len)):
                     pieces.append((doc, part, ids[at : at + seq_len]))
                 held += len(ids)

@@ -45,7 +45,8 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(docs: DataFrame, score, cut: float) -> DataFrame:
-    return (docs.select("doc_id", (~train_fold(F.col("doc_id"))).alias("held_out"), score.alias("score"))
+    """A row without an id has no remainder: it is never learnt from, and not held out."""
+    return (docs.select("doc_id", F.coalesce(~train_fold(F.col("doc_id")), F.lit(False)).alias("held_out"), score.alias("score"))
             .select("doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted")))
 
 
@@ -94,14 +95,14 @@ SELECT vec_id, COALESCE(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM v LEFT JOIN heads ON id = vec_id LEFT JOIN degrees ON u = vec_id"""
 
 
-def _op5_sql(per_template: int = 8, lookups: int = 64, share: float = 0.75) -> str:
+def _op5_sql(per_template: int = 8, share: float = 0.75) -> str:
     rows = [(t, x.label, k, w) for t, x in enumerate(license_scan.TEMPLATES) for k, w in enumerate(x.words.split(" "))]
     phrases = [(t, x.label, m) for t, x in enumerate(license_scan.TEMPLATES) for m in x.mandatory]
     values = lambda xs: ", ".join("(" + ", ".join(f"'{y}'" if isinstance(y, str) else str(y) for y in x) + ")" for x in xs)
     return f"""
 WITH tpl(t, label, k, w) AS (VALUES {values(rows)}), need(t, label, phrase) AS (VALUES {values(phrases)}),
 base(phrase, label, len) AS (VALUES {values((p, b, len(p.split(" "))) for p, b in license_scan.BASE.items())}),
-d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(COALESCE(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')), ' ') AS ws FROM documents),
+d AS (SELECT doc_id, string_split(trim(regexp_replace(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')), ' ') AS ws FROM documents),
 p AS (SELECT doc_id, CASE WHEN ws = [''] THEN [] ELSE ws END AS ws, ' ' || array_to_string(ws, ' ') || ' ' AS p FROM d),
 words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM p),
 places AS (SELECT w.doc_id, w.i, b.label FROM words w JOIN p USING (doc_id), base b WHERE w.w = split_part(b.phrase, ' ', 1) AND array_to_string(p.ws[w.i + 1 : w.i + b.len], ' ') = b.phrase),
@@ -109,8 +110,7 @@ df AS (SELECT w, count(DISTINCT doc_id) AS n FROM words WHERE w IN (SELECT w FRO
 ranked AS (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY COALESCE(n, 0), w) AS r FROM (SELECT DISTINCT t, w FROM tpl) LEFT JOIN df USING (w)),
 idx AS (SELECT tpl.* FROM tpl JOIN ranked USING (t, w) WHERE r <= {per_template}),
 size AS (SELECT t, label, count(*) AS places, count(DISTINCT w) AS kinds FROM idx GROUP BY t, label),
-found AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY n, w) AS r FROM (SELECT DISTINCT doc_id, w FROM words WHERE w IN (SELECT w FROM idx)) JOIN df USING (w)),
-rare AS (SELECT doc_id, w FROM found WHERE r <= {lookups}),
+rare AS (SELECT DISTINCT doc_id, w FROM words WHERE w IN (SELECT w FROM idx)),
 near AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, t, count(*) AS n FROM rare JOIN (SELECT DISTINCT t, w FROM idx) USING (w) GROUP BY doc_id, t) JOIN size USING (t) WHERE n >= {share} * kinds),
 votes AS (SELECT doc_id, t, max(n) AS best FROM (SELECT doc_id, t, i - k AS o, count(*) AS n FROM words JOIN rare USING (doc_id, w) JOIN near USING (doc_id) JOIN idx USING (w) GROUP BY 1, 2, 3) GROUP BY 1, 2),
 told AS (SELECT doc_id, label, best / places AS v FROM votes JOIN size USING (t) JOIN p USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM need WHERE need.t = votes.t AND NOT contains(p.p, ' ' || need.phrase || ' '))),

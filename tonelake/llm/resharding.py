@@ -5,13 +5,14 @@ nothing and a byte that moves from shard i to shard j costs `cost(i, j)`, one by
 successive shortest paths, says how many bytes go from where to where.  Each old shard is cut into blocks, in number
 proportional to its bytes and `blocks` in all; the blocks are laid out one after the other, and each destination gets
 one run of them.  Only a block at the edge of a run is split, by its documents, so a shard misses its capacity by at
-most half a document at each edge; documents above 1/64 of a shard are dealt first and the others make up for them.  Shards that neither give nor take keep their files.
+most half a document at each edge.  Documents are dealt by size, those above 1/8, 1/64 and 1/512 of a shard first, and
+smaller ones make up for what larger ones missed.  Shards that neither give nor take keep their files.
 
 The driver holds one number per pair of shards.  Sums over blocks and places inside a block are grouped and window
 operations on hashed blocks, so an old shard with a third of all rows is dealt to many tasks.
 
 Defined results: a null text is empty and takes `overhead` bytes; a null old shard counts as shard 0; repeated rows
-are rows of their own; rows that are equal in id, text and old shard may change places with each other.
+are rows of their own; rows that are equal in all columns may change places with each other; null ids are ids as others.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import durable
+from tonelake.llm.common import durable, exists, remove
 
 LAW = "bytes"
 
@@ -110,48 +111,68 @@ def _deal(rows: DataFrame, bytes_of: list[int], runs: list[list[int]], blocks: i
     return (placed.join(F.broadcast(before), ["old_shard", "block"]).withColumn("at", at)
             .withColumn("shard", F.element_at(owner, F.size(F.filter(begins, lambda s: s <= F.col("at")))))
             .withColumn("inside", inside)
-            .select("doc_id", "size", "text_crc32", "old_shard", "big", "block", "shard", "inside"))
+            .select("doc_id", "size", "text_crc32", "old_shard", "tier", "h", "block", "shard", "inside"))
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def assign(docs: DataFrame, old_shard: Column, old_shards: int, shards: int = 24, blocks: int = 12_288, overhead: int = 8,
            cost: Callable[[int, int], int] = lambda i, j: int(i != j), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard and slot (0, 1, ... inside each shard) for every row."""
+    """doc_id, size, text_crc32, old_shard, shard, slot (0, 1, ... inside each shard) and row_hash for every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     old = F.pmod(F.coalesce(old_shard, F.lit(0)), F.lit(old_shards)).cast("int")
     rows = durable(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"),
-                               F.crc32(text.cast("binary")).alias("text_crc32"), old.alias("old_shard"),
-                               F.xxhash64(F.col(id_col), text).alias("h")), "reshard")
+                               F.crc32(text.cast("binary")).alias("text_crc32"), old.alias("old_shard"), _row_hash(docs).alias("h")), "reshard")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    rows = rows.withColumn("big", F.col("size") > total // shards // 64)
-    held = {big: [0] * old_shards for big in (True, False)}
-    for r in rows.groupBy("old_shard", "big").agg(F.sum("size").alias("b")).collect():
-        held[r.big][r.old_shard] = r.b
-    flow = cheapest_flow([a + b for a, b in zip(held[True], held[False], strict=True)], capacities(total, shards), cost)
-
-    # large documents first; the small ones then make up for what those miss by
-    large = durable(_deal(rows.filter("big"), held[True], [fitted(f, b) for f, b in zip(flow, held[True], strict=True)], blocks), "reshard-large")
-    left = [list(f) for f in flow]
-    for r in large.groupBy("old_shard", "shard").agg(F.sum("size").alias("b")).collect():
-        left[r.old_shard][r.shard] -= r.b
-    small = durable(_deal(rows.filter("not big"), held[False], [fitted(f, b) for f, b in zip(left, held[False], strict=True)], blocks), "reshard-small")
-    told = large.unionByName(small)
-
-    segments = told.groupBy("shard", "big", "old_shard", "block").agg(F.count("*").alias("n"))  # 2 * `blocks` rows and one per run
-    first = F.sum("n").over(Window.partitionBy("shard").orderBy("big", "old_shard", "block").rowsBetween(Window.unboundedPreceding, -1))
-    slots = segments.select("shard", "big", "old_shard", "block", F.coalesce(first, F.lit(0)).alias("first"))
-    return (told.join(F.broadcast(slots), ["shard", "big", "old_shard", "block"])
-            .select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("inside")).cast("long").alias("slot")))
-
-
-def rewrite(docs: DataFrame, plan: DataFrame, path: str, rows_per_file: int = 1_000_000) -> DataFrame:
-    """Write the rows of the shards that gain or lose rows below path/shard=N; returns the shards written.
-
-    docs: rows with unique doc_id; plan: what `assign` gives.  The files of other shards stay as they are.
+    tier = sum(((F.col("size") <= F.lit(total // shards // 8 ** k)).cast("int") for k in (1, 2, 3)), F.lit(0))
+    rows = rows.withColumn("tier", tier)
+    held: dict[int, list[int]] = {}
+    for r in rows.groupBy("tier", "old_shard").agg(F.sum("size").alias("b")).collect():
+        held.setdefault(r.tier, [0] * old_shards)[r.old_shard] = r.b
+    left = cheapest_flow([sum(own) for own in zip(*held.values(), strict=True)] or [0] * old_shards, capacities(total, shards), cost)
+
+    told = None
+    for k in sorted(held):
+        part = durable(_deal(rows.filter(F.col("tier") == k), held[k], [fitted(f, b) for f, b in zip(left, held[k], strict=True)], blocks), "reshard-tier")
+        if k < 3:
+            for r in part.groupBy("old_shard", "shard").agg(F.sum("size").alias("b")).collect():
+                left[r.old_shard][r.shard] -= r.b
+        told = part if told is None else told.unionByName(part)
+    if told is None:
+        told = _deal(rows, [0] * old_shards, left, blocks)
+
+    # at most one row per run and block of each tier
+    segments = told.groupBy("shard", "tier", "old_shard", "block").agg(F.count("*").alias("n"))
+    first = F.sum("n").over(Window.partitionBy("shard").orderBy("tier", "old_shard", "block").rowsBetween(Window.unboundedPreceding, -1))
+    slots = segments.select("shard", "tier", "old_shard", "block", F.coalesce(first, F.lit(0)).alias("first"))
+    return (told.join(F.broadcast(slots), ["shard", "tier", "old_shard", "block"])
+            .select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("inside")).cast("long").alias("slot"), F.col("h").alias("row_hash")))
+
+
+def rewrite(docs: DataFrame, plan: DataFrame, path: str, rows_per_file: int = 1_000_000, id_col: str = "doc_id") -> list[int]:
+    """Write the rows of the shards that gain or lose rows below path/shard=N; returns these shards.
+
+    docs: the rows that `assign` was given, with the same columns; plan: its result.  The files of other shards stay as
+    they are, and a shard that loses all its rows loses its folder.  Repeated rows and null ids are written as often as
+    they occur: what is joined is the distinct rows to the plan's rows.  A run that is repeated leaves the same files;
+    where docs are read from `path` itself, write elsewhere and exchange the folders, since a run that breaks off
+    between two shards would have replaced part of its own input.
     """
-    moved = plan.filter("shard <> old_shard")
-    hit = moved.select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()  # as many rows as shards
-    chosen = plan.join(F.broadcast(hit), "shard", "left_semi").select("doc_id", "shard", "slot")
-    out = docs.join(chosen, "doc_id")
+    spark = docs.sparkSession
+    moved = plan.filter("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct()
+    hit = sorted(r.shard for r in moved.collect())  # as many numbers as shards
+    chosen = plan.filter(F.col("shard").isin(hit)).select(F.col("doc_id").alias("__id"), "row_hash", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    distinct = docs.select(F.col(id_col).alias("__own"), _row_hash(docs).alias("__hash"), row.alias("__row")).groupBy("__own", "__hash").agg(F.first("__row").alias("__row"))
+    out = chosen.join(distinct, F.col("__id").eqNullSafe(F.col("__own")) & (F.col("row_hash") == F.col("__hash")))
+    rest = [c for c in docs.columns if c != "shard"]
+    out = durable(out.select(F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), *[F.col("__row")[c].alias(c) for c in rest if c != "slot"]), "reshard-rows")
     (out.repartition("shard", F.floor(F.col("slot") / rows_per_file)).sortWithinPartitions("shard", "slot")
-     .write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path))
+    filled = {r.shard for r in chosen.select(F.col("__shard").alias("shard")).distinct().collect()}
+    for k in hit:
+        if k not in filled and exists(spark, f"{path}/shard={k}"):
+            remove(spark, f"{path}/shard={k}")
     return hit

@@ -3,11 +3,14 @@
 Method: a suffix array over the batch text.  The texts of a batch are normalised as the model asks and cut before
 each word mark (no piece holds a mark after another character, so no merge crosses such a cut); the distinct parts
 are concatenated, a suffix array is built by prefix doubling up to the longest piece, every piece of the vocabulary
-is binary-searched in it for its range of occurrences, and the occurrences become edges in a table by position and
-length.  Relaxing follows the merge order of BPE models: in each round every part takes its best edge that joins two
+is binary-searched in it for its range of occurrences, and the occurrences become edges, sorted by position and there
+by length.  Relaxing follows the merge order of BPE models: in each round every part takes its best edge that joins two
 neighbouring symbols (highest score, then leftmost), until no edge joins any.  A shortest path over summed scores,
 as for unigram models, doesn't give what the library gives for a BPE model, so it is not used here.
 
+An index covers at most BATCH_CHARS characters of parts at a time, so a long text needs no more memory than others; only
+a single part (a run of characters without a word mark) above that is indexed whole.
+
 Defined results: null counts as empty text and encodes to no ids; characters outside the vocabulary become byte
 pieces; `decode` gives the text back with the word mark as a space, as the library does.
 """
@@ -75,12 +78,41 @@ def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, srt, rank
 
 
-def piece_edges(v: Vocabulary, codes: np.ndarray) -> np.ndarray:
-    """table[length, position]: the id of the piece of that length that starts there, else -1."""
+class Edges:
+    """Pieces sorted by position and, where several start, by length; `at` finds those of given positions and lengths."""
+
+    def __init__(self, n: int, by_length: list[list[tuple[np.ndarray, np.ndarray]]]):
+        count = np.zeros(n + 1, np.int32)
+        self.lengths = np.zeros(n, np.uint32)  # bit k: a piece of k characters starts here
+        for k, found in enumerate(by_length):
+            for position, _ in found:
+                count[position + 1] += 1  # a position has one piece of a length at most
+                self.lengths[position] |= np.uint32(1 << k)
+        self.first = np.cumsum(count, dtype=np.int64)
+        self.ids = np.empty(int(self.first[-1]) + 1, np.int32)
+        self.ids[-1] = -1
+        filled = self.first[:-1].copy()
+        for found in by_length:
+            for position, ids in found:
+                self.ids[filled[position]] = ids
+                filled[position] += 1
+
+    def at(self, position: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The id of the piece of that length that starts there, else -1."""
+        own = self.lengths[position]
+        bit = np.uint32(1) << length.astype(np.uint32)
+        return np.where(own & bit, self.ids[self.first[position] + np.bitwise_count(own & (bit - np.uint32(1)))], -1)
+
+    def one(self, position: int, length: int) -> int:
+        own = int(self.lengths[position])
+        return int(self.ids[self.first[position] + (own & ((1 << length) - 1)).bit_count()]) if own >> length & 1 else -1
+
+
+def piece_edges(v: Vocabulary, codes: np.ndarray) -> Edges:
     n = len(codes)
     pad = np.zeros(n + 16, np.uint64)
     pad[:n] = codes
-    table = np.full((17, n), -1, np.int32)
+    by_length: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(17)]
     top = np.uint64(0xFFFF)
     shift = lambda r, k: np.concatenate([r[k:] + np.uint64(1), np.zeros(min(k, len(r)), np.uint64)])  # noqa: E731  0: past the end
     key4 = (pad[:n] << np.uint64(48)) | (pad[1 : n + 1] << np.uint64(32)) | (pad[2 : n + 2] << np.uint64(16)) | pad[3 : n + 3]
@@ -117,22 +149,25 @@ def piece_edges(v: Vocabulary, codes: np.ndarray) -> np.ndarray:
         low, high, ok = bounds(level, v.chars[mine, :width], v.length[mine])
         a, b = np.searchsorted(srt, low, "left"), np.searchsorted(srt, high, "right")
         count = np.where(ok, np.maximum(b - a, 0), 0)
-        which = np.repeat(np.arange(len(mine)), count)
-        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        table[v.length[mine][which], order[a[which] + inside]] = v.ids[mine][which]
-    return table
+        for size in np.unique(v.length[mine]):
+            some = np.flatnonzero((v.length[mine] == size) & (count > 0))
+            n_some = count[some]
+            which = np.repeat(some, n_some)
+            inside = np.arange(n_some.sum()) - np.repeat(np.cumsum(n_some) - n_some, n_some)
+            by_length[size].append((order[a[which] + inside], v.ids[mine][which]))
+    return Edges(n, by_length)
 
 
-def _heap_merge(v: Vocabulary, table: np.ndarray, a: int, b: int) -> list[int]:
+def _heap_merge(v: Vocabulary, edges: Edges, n: int, a: int, b: int) -> list[int]:
     """Starts of the symbols of one long part [a, b)."""
     nxt, prv = list(range(a + 1, b + 1)), list(range(a - 1, b - 1))
-    live, heap, n = [True] * (b - a), [], table.shape[1]
+    live, heap = bytearray(b"\1") * (b - a), []
 
     def offer(i: int) -> None:
         j = nxt[i - a]
         if j < b:
             k = nxt[j - a]
-            if k - i <= 16 and k <= n and (p := table[k - i, i]) >= 0:
+            if k - i <= 16 and k <= n and (p := edges.one(i, k - i)) >= 0:
                 heapq.heappush(heap, (-v.score[p], i, j, k))
 
     for i in range(a, b - 1):
@@ -140,7 +175,7 @@ def _heap_merge(v: Vocabulary, table: np.ndarray, a: int, b: int) -> list[int]:
     while heap:
         _, i, j, k = heapq.heappop(heap)
         if live[i - a] and nxt[i - a] == j and j < b and live[j - a] and nxt[j - a] == k:
-            live[j - a], nxt[i - a] = False, k
+            live[j - a], nxt[i - a] = 0, k
             if k < b:
                 prv[k - a] = i
             offer(i)
@@ -150,13 +185,24 @@ def _heap_merge(v: Vocabulary, table: np.ndarray, a: int, b: int) -> list[int]:
 
 
 def encode_parts(v: Vocabulary, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all parts in a row, and the number of ids of each."""
+    """Ids of all parts in a row, and the number of ids of each; BATCH_CHARS characters of parts at a time."""
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    ids, count, at = [], [], 0
+    while at < len(parts):
+        last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_CHARS, "right")))
+        for out, x in zip((ids, count), _encode_parts(v, parts[at:last]), strict=True):
+            out.append(x)
+        at = last
+    return np.concatenate(ids), np.concatenate(count)
+
+
+def _encode_parts(v: Vocabulary, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     begin = np.cumsum(size + 1) - size - 1  # a separator that no piece holds follows each part
     points = np.frombuffer("\0".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = v.code[points]
     codes[begin + size] = 0
-    table = piece_edges(v, codes)
+    edges = piece_edges(v, codes)
     score = np.append(v.score, -np.inf)
     long = np.flatnonzero(size > LONG_PART)
     inside = np.ones(len(codes), bool)
@@ -165,7 +211,7 @@ def encode_parts(v: Vocabulary, parts: list[str]) -> tuple[np.ndarray, np.ndarra
         inside[begin[k] : begin[k] + size[k]] = False
     start = np.flatnonzero(inside)  # symbols of the parts that still merge
     part = np.repeat(np.arange(len(parts)), np.where(size > LONG_PART, 0, size))
-    done = [np.concatenate([np.asarray(_heap_merge(v, table, begin[k], begin[k] + size[k]), np.int64) for k in long])] if len(long) else []
+    done = [np.concatenate([np.asarray(_heap_merge(v, edges, len(codes), begin[k], begin[k] + size[k]), np.int64) for k in long])] if len(long) else []
     ends = begin + size
     while len(start):
         end = np.append(start[1:], 0)
@@ -174,7 +220,7 @@ def encode_parts(v: Vocabulary, parts: list[str]) -> tuple[np.ndarray, np.ndarra
         reach = np.append(end[1:], 0) - start
         pair = ~last & (reach <= 16)
         best = np.full(len(start), -np.inf)
-        best[pair] = score[table[reach[pair], start[pair]]]
+        best[pair] = score[edges.at(start[pair], reach[pair])]
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         top = np.repeat(np.maximum.reduceat(best, first), np.diff(np.append(first, len(start))))
         busy = top > -np.inf
@@ -188,7 +234,7 @@ def encode_parts(v: Vocabulary, parts: list[str]) -> tuple[np.ndarray, np.ndarra
     start = np.sort(np.concatenate(done)) if done else np.zeros(0, np.int64)
     owner = np.searchsorted(begin, start, "right") - 1
     end = np.minimum(np.append(start[1:], len(codes)), ends[owner])
-    ids = table[end - start, start]
+    ids = edges.at(start, end - start)
     count = np.bincount(owner, minlength=len(parts))
     if (bad := np.flatnonzero(ids < 0)).size:  # single characters that no piece holds: their bytes
         widths, spelled = np.ones(len(ids), np.int64), []

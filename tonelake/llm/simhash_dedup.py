@@ -9,11 +9,14 @@ the radius collides in some table.  The vectors are dealt evenly, so each mask k
 
 Equal fingerprints are one class from the start.  Classes that share a bucket are compared in blocks: a bucket of n
 classes is dealt into n / `block` parts by hash and each pair of parts is one unit of work, so no task holds a whole
-large bucket; from a unit only a spanning forest of its links leaves, not its pairs.  Components come from rounds of
-star contraction over these links.
+large bucket; from a unit only a spanning forest of its links leaves, not its pairs, and of these only pairs that
+share no bucket of an earlier table.  Components come from rounds of star contraction over these links.
+
+`near_copies` is for pipelines: a covering search with short shingles and a wider radius proposes pairs, and a pair
+counts where the exact Jaccard similarity of its sets of five-word shingles is high enough.
 
 Defined results: null and empty texts have no words and so the zero fingerprint, which links like any other; fewer
-words than `width` are one shingle; repeated rows keep their own rows; ids may be repeated.
+words than `width` are one shingle; repeated rows keep their own rows; ids may be repeated, and null ids come last.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import connected_components, durable
+from tonelake.llm.common import ascii_lower, connected_components, durable, hook, smallest_reached
 
 ALL = (1 << 64) - 1
 
@@ -60,6 +63,21 @@ def fingerprint(text: Column, width: int = 4) -> Column:
     return run(text.cast("binary"))
 
 
+def _marks(text: Column, width: int, size: int) -> Column:
+    """The SimHash of each whole text over `width` words, and how many distinct shingles of `size` words it has."""
+
+    @F.pandas_udf("struct<fp long, n long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            counts = []
+            for t in texts:
+                w = t.lower().split() if t else []
+                counts.append(len(set(zip(*(w[k:] for k in range(size)), strict=False))) or int(bool(w)))
+            yield pd.DataFrame({"fp": np.array([fingerprint_of(t, width) for t in texts], np.uint64).view(np.int64), "n": counts})
+
+    return run(text.cast("binary"))
+
+
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
     """2^(radius+1) - 1 masks; any `radius` positions are all outside one of them at least."""
     vectors = (1 << (radius + 1)) - 1
@@ -83,97 +101,148 @@ def in_blocks(members: DataFrame, bucket: str, item: Column, block: int, least:
             .drop("__n", "__parts", "other"))
 
 
-def _links_of(values: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between left and right members (positions in values)."""
-    root = {int(i): int(i) for i in np.concatenate([left, right])}
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    found, rows = [], max(1, 2_000_000 // max(len(right), 1))
-    for at in range(0, len(left), rows):
-        some = left[at : at + rows]
-        near = np.bitwise_count(values[some][:, None] ^ values[right][None, :]) <= radius
-        for i, j in zip(*np.nonzero(near), strict=True):
-            p, q = find(int(some[i])), find(int(right[j]))
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                found.append((int(some[i]), int(right[j])))
-    return found
-
-
-def _compare(radius: int):
-    """Rows come sorted by unit, so the rows of one unit follow each other, maybe across batches."""
-
-    def forest(fp: np.ndarray, part: np.ndarray, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        values = fp.view(np.uint64)
-        one, two = np.flatnonzero(part == a), np.flatnonzero(part == b)
-        links = _links_of(values, one, two, radius)
-        if links:
-            at = np.array(links)
-            yield fp[at[:, 0]], fp[at[:, 1]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def settle(rows: np.ndarray, final: bool) -> tuple[pa.RecordBatch | None, np.ndarray]:
-            unit = rows[:, :3]
-            edge = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]).any(1)))
-            ends = np.append(edge[1:], len(rows))
-            if not final:
-                edge, ends = edge[:-1], ends[:-1]
-            size = ends - edge
-            us, vs = [], []
-            pairs = edge[size == 2]  # most units hold two classes: all at once
-            if len(pairs):
-                x, y = rows[pairs, 4], rows[pairs + 1, 4]
-                near = (np.bitwise_count((x ^ y).view(np.uint64)) <= radius) & ((rows[pairs, 1] == rows[pairs, 2]) | (rows[pairs, 3] != rows[pairs + 1, 3]))
-                us.append(x[near]), vs.append(y[near])
-            for s, e in zip(edge[size > 2], ends[size > 2], strict=True):
-                for x, y in forest(np.ascontiguousarray(rows[s:e, 4]), rows[s:e, 3], rows[s, 1], rows[s, 2]):
-                    us.append(x), vs.append(y)
-            rest = rows[ends[-1] if len(ends) else 0 :]
-            u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"]) if len(u) else None, rest
-
-        for batch in batches:
-            held.append(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket", "a", "b", "part", "fp")]))
-            out, rest = settle(np.concatenate(held), False)
-            held = [rest]
-            if out is not None:
-                yield out
-        if held and len(held[0]):
-            out, _ = settle(np.concatenate(held), True)
-            if out is not None:
-                yield out
-
-    return run
+def _units(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], settle) -> Iterator[pa.RecordBatch]:
+    """Hands `settle` the rows of whole units, which come sorted by their first three columns (bucket, a, b)."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]))
+        rows = np.concatenate(held)
+        edge = np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(1)))
+        yield from settle(rows[: edge[-1]], edge[:-1])
+        held = [rows[edge[-1] :]]
+    if held and len(held[0]):
+        yield from settle(held[0], np.zeros(1, np.int64))
+
+
+def _compare(radius: int, masks: list[int]):
+    tables = np.array(masks, np.uint64)
+
+    def first_shared(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Whether no table before t has the pair in one bucket."""
+        differ, first = (x ^ y).view(np.uint64), np.ones(len(x), bool)
+        for k in range(int(t.max(initial=0))):
+            first &= (t <= k) | (differ & tables[k] != 0)
+        return first
+
+    def settle(rows: np.ndarray, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size, us, vs = np.diff(np.append(edge, len(rows))), [], []
+        pairs = edge[size == 2]  # most units hold two classes: all at once
+        if len(pairs):
+            x, y = rows[pairs, 4], rows[pairs + 1, 4]
+            near = (np.bitwise_count((x ^ y).view(np.uint64)) <= radius) & ((rows[pairs, 1] == rows[pairs, 2]) | (rows[pairs, 3] != rows[pairs + 1, 3]))
+            near[near] = first_shared(x[near], y[near], rows[pairs, 5][near])
+            us.append(x[near]), vs.append(y[near])
+        for s, n in zip(edge[size > 2], size[size > 2], strict=True):
+            fp, part, a, b, t = np.ascontiguousarray(rows[s : s + n, 4]), rows[s : s + n, 3], rows[s, 1], rows[s, 2], rows[s, 5]
+            values, one, two = fp.view(np.uint64), np.flatnonzero(part == a), np.flatnonzero(part == b)
+            root, step = np.arange(n), max(1, 2_000_000 // max(len(two), 1))
+            for at in range(0, len(one), step):
+                some = one[at : at + step]
+                i, j = np.nonzero(np.bitwise_count(values[some][:, None] ^ values[two][None, :]) <= radius)
+                i, j = some[i], two[j]
+                i, j = i[i != j], j[i != j]
+                used = hook(root, i, j)
+                i, j = i[used], j[used]
+                first = first_shared(fp[i], fp[j], np.full(len(i), t))
+                us.append(fp[i[first]]), vs.append(fp[j[first]])
+        if sum(map(len, us)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    return lambda batches: _units(batches, ("bucket", "a", "b", "part", "fp", "t"), settle)
+
+
+def in_tables(items: DataFrame, masks: list[int]) -> DataFrame:
+    """items (fp, ...) with the number t of each table and the bucket there."""
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("bucket")) for t, m in enumerate(masks)])
+    return items.withColumn("place", F.explode(tables)).select(*items.columns, "place.t", "place.bucket")
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp) within the radius, enough to connect what is connected."""
-    masks = [_signed(m) for m in covering_masks(radius)]
-    keyed = distinct.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])).alias("bucket"))
-    units = in_blocks(keyed, "bucket", F.col("fp"), block)
-    sorted_units = units.select("bucket", "a", "b", "part", "fp").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    return sorted_units.mapInArrow(_compare(radius), "u long, v long").distinct()
+    masks = covering_masks(radius)
+    units = in_blocks(in_tables(distinct, masks), "bucket", F.col("fp"), block)
+    ordered = units.select("bucket", "a", "b", "part", "fp", "t").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    return ordered.mapInArrow(_compare(radius, masks), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (long) and component_id: the smallest doc_id that can be reached over links, itself included."""
     own = durable(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), width).alias("fp")), "fingerprints")
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    distinct = durable(classes, "classes")
-    links = fingerprint_links(distinct.select("fp"), radius)
-    joined = connected_components(links).select(F.col("id").alias("fp"), F.col("component_id").alias("head"))
-    labelled = distinct.join(joined, "fp", "left").select("fp", "first_id", F.coalesce("head", "fp").alias("head"))
-    smallest = labelled.groupBy("head").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(smallest, "head").select("fp", "component_id")
+    distinct = durable(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    named = smallest_reached(distinct, durable(fingerprint_links(distinct.select("fp"), radius), "links"), "fp", "first_id")
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _propose(radius: int, similarity: float):
+    def distance(fp_x, fp_y, n_x, n_y):
+        """The differing bits, or 65 where the numbers of shingles alone keep the similarity below the threshold."""
+        return np.where(np.minimum(n_x, n_y) >= similarity * np.maximum(n_x, n_y), np.bitwise_count((fp_x ^ fp_y).view(np.uint64)), 65)
+
+    def settle(rows: np.ndarray, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size, us, vs = np.diff(np.append(edge, len(rows))), [], []
+        pairs = edge[size == 2]
+        if len(pairs):
+            x, y = rows[pairs], rows[pairs + 1]
+            near = (distance(np.ascontiguousarray(x[:, 4]), np.ascontiguousarray(y[:, 4]), x[:, 5], y[:, 5]) <= radius) & ((x[:, 1] == x[:, 2]) | (x[:, 3] != y[:, 3]))
+            us.append(np.minimum(x[near, 6], y[near, 6])), vs.append(np.maximum(x[near, 6], y[near, 6]))
+        for s, n in zip(edge[size > 2], size[size > 2], strict=True):
+            unit = rows[s : s + n][np.argsort(rows[s : s + n, 6], kind="stable")]
+            fp, count, item, part, a, b = np.ascontiguousarray(unit[:, 4]), unit[:, 5], unit[:, 6], unit[:, 3], unit[0, 1], unit[0, 2]
+            for left, right in {(a, b), (b, a)}:  # each item of the left part with the nearest item before it of the right part
+                one, two = np.flatnonzero(part == left), np.flatnonzero(part == right)
+                step = max(1, 2_000_000 // max(len(two), 1))
+                for at in range(0, len(one) if len(two) else 0, step):
+                    some = one[at : at + step, None]
+                    bits = np.where(two[None, :] < some, distance(fp[some], fp[two][None, :], count[some], count[two][None, :]), 65)
+                    nearest = bits.argmin(1)
+                    hit = bits[np.arange(len(bits)), nearest] <= radius
+                    us.append(item[two[nearest[hit]]]), vs.append(item[some[hit, 0]])
+        if sum(map(len, us)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    return lambda batches: _units(batches, ("bucket", "a", "b", "part", "fp", "n", "item"), settle)
+
+
+def single_spaced(text: Column) -> Column:
+    """A text in lower case (A-Z) with one space between its words; null as the empty text."""
+    return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[ \t-\r]+", " "))
+
+
+def shingle_set(words: Column, size: int) -> Column:
+    """The hashes of the distinct shingles of a text that is given as words with single spaces between them."""
+    w = F.split(words, " ")
+    rows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, size))))
+    return F.when(words == "", F.array().cast("array<long>")).otherwise(F.array_distinct(rows))
+
+
+def near_copies(docs: DataFrame, width: int = 2, radius: int = 6, words: int = 5, similarity: float = 0.8, block: int = 2048,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without exact and near copies: one row of each group stays, that of the smallest id.
+
+    Texts that are equal but for ASCII case and white space are one item.  Items whose fingerprints of `width` words lie
+    within the radius are tried: in each bucket of each table every item against the nearest of the items before it that
+    has a like number of shingles, so that a large group of copies gives a few trials an item, not all its
+    pairs.  Items of equal `words`-word shingle sets up to the similarity (Jaccard) are linked, and groups are what links
+    connect.  Of rows that are equal in id and text one stays; nulls come after all ids.
+    """
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    digest = F.unhex(F.md5(single_spaced(F.col(text_col)).cast("binary")))
+    items = durable(docs.select(digest.alias("digest"), row.alias("least")).groupBy("digest").agg(F.min("least").alias("least"))
+                    .select(F.monotonically_increasing_id().alias("item"), "least.id", "least.row"), "items")
+    text = F.col("row")[text_col]
+    marked = durable(items.select("item", "id", _marks(text, width, words).alias("m")).select("item", "id", "m.fp", "m.n"), "marks")
+    units = in_blocks(in_tables(marked.select("fp", "n", "item"), covering_masks(radius)), "bucket", F.col("item"), block)
+    ordered = units.select("bucket", "a", "b", "part", "fp", "n", "item").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    trials = durable(ordered.mapInArrow(_propose(radius, similarity), "u long, v long").distinct(), "trials")
+    tried = trials.select(F.explode(F.array("u", "v")).alias("item")).distinct()
+    sets = durable(items.join(tried, "item", "left_semi").select("item", shingle_set(single_spaced(text), words).alias("s")), "shingles")
+    both = (trials.join(sets.select(F.col("item").alias("u"), F.col("s").alias("su")), "u")
+            .join(sets.select(F.col("item").alias("v"), F.col("s").alias("sv")), "v"))
+    common = F.size(F.array_intersect("su", "sv"))
+    links = durable(both.filter(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v"), "links")
+    copies = smallest_reached(marked.select("item", "id"), links, "item", "id").filter("head <> item").select("item")
+    return items.join(copies, "item", "left_anti").select("row.*")
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

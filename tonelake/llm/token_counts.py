@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import shared_dir
+from tonelake.llm.common import exists, shared_dir
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -123,6 +123,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
 def _read_cache(spark, path: str) -> DataFrame:
     """The cache as it is now: the list of files is fixed here, so later appends don't show."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(CACHE_SCHEMA).parquet(path) if there else spark.createDataFrame([], CACHE_SCHEMA)
+    return spark.read.schema(CACHE_SCHEMA).parquet(path) if exists(spark, path) else spark.createDataFrame([], CACHE_SCHEMA)
