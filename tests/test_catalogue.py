@@ -57,3 +57,23 @@ def test_entry_and_registry(spark):
 def test_plans_reach_the_scan(spark):
     plan = catalogue.QUERIES["v05_lang_breakdown"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint>" in plan
+
+
+def test_views_by_name(spark):
+    from tonelake.plans import views
+    from tonelake.sources import facts
+
+    views.register(facts.crimes(spark, SMALL))
+    n = spark.sql("SELECT sum(hits) AS n FROM v_cc_timeseries_daily").first().n
+    assert n == facts.crimes(spark, SMALL).count() and len([t for t in spark.catalog.listTables() if t.name.startswith("v_cc_")]) == len(views.VIEWS) == 17
+
+
+def test_parts_of_the_yearly_answer(spark):
+    from tonelake.plans import endpoints
+    from tonelake.sources import facts
+
+    c, n = facts.crimes(spark, SMALL), facts.counts(spark, SMALL)
+    every = endpoints.yearly_trends(c, n, 2023, 2024)
+    assert set(every) == {"monthly", "seasonality", "mix", "detver_markers", "year_over_year"}
+    some = endpoints.yearly_trends(c, n, 2023, 2024, include=("mix", "detver_markers"))
+    assert set(some) == {"mix", "detver_markers"} and sorted(some["mix"].collect()) == sorted(every["mix"].collect())

@@ -28,15 +28,15 @@ def event(kind, payload, at="2024-01-01T10:05:06Z", **more):
 
 
 EVENTS = [
-    event("PushEvent", {"commits": [{"sha": "1", "message": "this is trash"}, {"sha": "2", "message": "  "}, {"sha": "3", "message": "fix idiot bug"}]}),
-    event("IssuesEvent", {"issue": {"title": "it is awful", "body": None}}),
-    event("IssueCommentEvent", {"issue": {"title": "t"}, "comment": {"body": "moron"}}),
-    event("PullRequestEvent", {"pull_request": {"title": "p", "body": "scum"}}, at="2024-01-01T11:00:00Z"),
-    event("PullRequestReviewCommentEvent", {"comment": {"body": "stupid buildbot"}}),
+    event("PushEvent", {"commits": [{"sha": "1", "message": "worthless thing"}, {"sha": "2", "message": "  "}, {"sha": "3", "message": "fix clown bug"}]}),
+    event("IssuesEvent", {"issue": {"title": "soup of nothing", "body": None}}),
+    event("IssueCommentEvent", {"issue": {"title": "t"}, "comment": {"body": "flumdrub"}}),
+    event("PullRequestEvent", {"pull_request": {"title": "p", "body": "clown"}}, at="2024-01-01T11:00:00Z"),
+    event("PullRequestReviewCommentEvent", {"comment": {"body": "zibbo fell asleep"}}),
     event("CommitCommentEvent", {"comment": {"body": "fine"}}),
     event("WatchEvent", {}),
     # old shapes
-    {"type": "CommitCommentEvent", "public": 1, "created_at": "2012/03/10 22:55:31 -0800", "actor": "Bob", "repository": {"name": "old", "owner": {"login": "Bob"}}, "payload": {"comment": {"body": "trash"}}},
+    {"type": "CommitCommentEvent", "public": 1, "created_at": "2012/03/10 22:55:31 -0800", "actor": "Bob", "repository": {"name": "old", "owner": {"login": "Bob"}}, "payload": {"comment": {"body": "worthless"}}},
     {"type": "CommitCommentEvent", "public": "true", "created_at": "2012/03/10 22:55:31 -0800", "actor_attributes": {"login": "Eve"}, "repository": {"url": "https://github.com/Eve/thing.git"}, "payload": {"comment": {"body": "x"}}},
     {"type": "CommitCommentEvent", "created_at": "2012/03/10 22:55:31 -0800", "repository": {"name": "n", "owner": "o"}, "payload": {"comment": {"body": "no actor"}}},
 ]
@@ -76,12 +76,12 @@ def test_utterances(spark, folder):
     rows = table(spark, folder).collect()
     got = sorted((r.source_detail, r.ordinal, r.source, r.text_raw) for r in rows)
     assert got == sorted([
-        ("push:commit", 1, "commit", "this is trash"), ("push:commit", 2, "commit", "fix idiot bug"), ("issues:title", 1, "issue", "it is awful"),
-        ("issue_comment:title", 1, "issue", "t"), ("issue_comment:body", 1, "issue", "moron"), ("pr:title", 1, "pr", "p"), ("pr:body", 1, "pr", "scum"),
-        ("pr_review_comment:body", 1, "pr", "stupid buildbot"), ("commit_comment:body", 1, "comment", "fine"), ("commit_comment:body", 1, "comment", "trash"),
+        ("push:commit", 1, "commit", "worthless thing"), ("push:commit", 2, "commit", "fix clown bug"), ("issues:title", 1, "issue", "soup of nothing"),
+        ("issue_comment:title", 1, "issue", "t"), ("issue_comment:body", 1, "issue", "flumdrub"), ("pr:title", 1, "pr", "p"), ("pr:body", 1, "pr", "clown"),
+        ("pr_review_comment:body", 1, "pr", "zibbo fell asleep"), ("commit_comment:body", 1, "comment", "fine"), ("commit_comment:body", 1, "comment", "worthless"),
         ("commit_comment:body", 1, "comment", "x")])
     assert len({r.id for r in rows}) == len(rows)
-    first = next(r for r in rows if r.text_raw == "fix idiot bug")
+    first = next(r for r in rows if r.text_raw == "fix clown bug")
     assert first.id == ids.utterance_uuid(json.dumps(EVENTS[0]).encode(), "push:commit", 2)
 
 
@@ -109,6 +109,34 @@ def test_states_merge_in_any_order(spark, folder):
     assert sorted(whole.select(exact).collect()) == sorted(parts.select(exact).collect())
 
 
+def test_an_hour_that_empties(spark, folder, tmp_path):
+    """Facts of an hour go where a run finds none there; other hours and versions stay, and so does what retention keeps."""
+    u = table(spark, folder).cache()
+    h = hits(u, PACK, 1)
+    compact.run(h, u, str(tmp_path), 1)
+    compact.run(h.withColumn("detector_version", F.lit(2)), u, str(tmp_path), 2)
+    count = lambda v, where="true": spark.read.parquet(f"{tmp_path}/commit_crimes").filter(F.col("detver") == v).filter(where).count()
+    first, hour = count(1), "hour = '2024-01-01-10'"
+    assert count(1, hour) and count(1, hour) < first and count(2) == first
+    ten = h.filter("hour(created_at) = 10 and year(created_at) = 2024")
+    compact.run(ten.withColumn("detector_version", F.lit(9)), u, str(tmp_path), 1)  # the hour has hits, but none of this version
+    assert count(1, hour) == 0 and count(1) == first - count(2, hour) and count(2) == first
+    facts = spark.read.parquet(f"{tmp_path}/commit_crimes")
+    assert {"target_span_start", "target_span_end", "target_distance", "pre_context", "post_context"} <= set(facts.columns)
+    raw = u.withColumn("hour", compact.hour_of(F.col("created_at")))
+    sinks.overwrite_slices(raw, f"{tmp_path}/raw", "hour")
+    assert compact.prune(spark, f"{tmp_path}/raw", "full") == [] == compact.prune(spark, f"{tmp_path}/none", "aggressive")
+    assert compact.prune(spark, f"{tmp_path}/raw", "timebox:5d", datetime(2024, 1, 3)) == ["2012-03-11-06"]
+    assert spark.read.parquet(f"{tmp_path}/raw").count() == u.filter("year(created_at) = 2024").count()
+
+
+def test_sentiment_quantiles(spark):
+    u = spark.createDataFrame([(f"u{k}", "s" if k < 100 else "t", "x" * (k % 9), k / 100 if k < 100 else None) for k in range(120)], "id string, source string, text_raw string, sentiment_score float")
+    u = u.withColumns({"created_at": F.lit("2024-01-01").cast("timestamp"), "repo_hid": F.lit(None).cast("binary"), "actor_hid": F.lit(None).cast("binary"), "lang_code": F.lit("en"), "lang_reliable": F.lit(True)})
+    got = {r.source: r for r in agg.read_states(agg.merge_states(agg.hour_states(u), "source"), "source").collect()}
+    assert [round(q, 1) for q in got["s"].sent_quantiles] == [0.5, 0.9, 1.0] and got["t"].sent_quantiles is None and got["t"].sent_cnt == 0
+
+
 def test_stream_equals_batch(spark, folder, tmp_path):
     for _ in range(2):  # the second start finds nothing new
         hours.start(spark, folder, f"{tmp_path}/out", f"{tmp_path}/checkpoint", PACK).awaitTermination()
@@ -116,6 +144,10 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     batch = hits(table(spark, folder), PACK, 1)
     assert sorted(r.id for r in got.select("id").collect()) == sorted(r.id for r in batch.select("id").collect())
     assert spark.read.parquet(f"{tmp_path}/out/ledger").agg(F.sum("events")).first()[0] == len(EVENTS) + 1
+    compact.run(batch, table(spark, folder), f"{tmp_path}/batch", 1)
+    for name, key in (("commit_crimes", "hit_id"), ("utt_hour_agg", "cnt")):
+        stream, plain = (sorted((str(r.bucket_hour), r[key]) for r in spark.read.parquet(f"{tmp_path}/{x}/{name}").collect()) for x in ("out", "batch"))
+        assert stream == plain and stream
 
 
 def test_windowed_stream(spark, tmp_path):
@@ -142,8 +174,14 @@ def test_overwrite_touches_only_its_slices(spark, tmp_path):
 
 
 def test_masked_samples(spark):
-    from tonelake.plans.endpoints import samples_masked
-
-    u = spark.createDataFrame([("u", "what trash is this")], "id string, text_raw string")
-    c = spark.createDataFrame([("u", 5, 10, "trash")], "utterance_id string, span_start int, span_end int, term string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
-    assert samples_masked(c, u).first().masked == "what ***** is this"
+    """Spans count bytes of the normalized text."""
+    from tonelake.plans.endpoints import clamped, samples_latest, samples_masked
+
+    texts = {"u": "what clown is this", "v": "é what clown is thís, clown", "w": None, "x": "no hits"}
+    u = spark.createDataFrame([(i, "RAW", t) for i, t in texts.items()], "id string, text_raw string, text_normalized string")
+    rows = [("u", 5, 10), ("v", 8, 13), ("v", 24, 29), ("v", 24, 29), ("w", 0, 3), ("gone", 0, 1)]
+    c = spark.createDataFrame([(*r, "clown", "mild", k) for k, r in enumerate(rows)], "utterance_id string, span_start int, span_end int, term string, severity string, hit_id long").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    got = {r.utterance_id: (r.masked, len(r.hits)) for r in samples_masked(c, u).collect()}
+    assert got == {"u": ("what ***** is this", 1), "v": ("é what ***** is thís, *****", 2), "w": (None, 1)}
+    assert [r.hit_id for r in samples_latest(c, u, 3).orderBy("hit_id").collect()] == [0, 1, 2]
+    assert [clamped(n, 50, 200) for n in (0, -1, 1, 200, 201)] == [50, 50, 1, 200, 50] and clamped(5000, 100) == 5000

@@ -61,19 +61,43 @@ def scan(text, pack=PACK, **options):
 
 
 def test_detector_by_hand():
-    assert scan("this is trash") == [("this is trash", "generic", 1, "none"), ("trash", "generic", 1, "none")]
-    assert scan("xtrashx trashcan trash_ trash1") == []
-    assert scan("it is awful") == [("it is awful", "generic", 2, "downgraded")]
-    assert scan("cobol is awful") == [("cobol is awful", "lang_rage", 2, "none")]
-    assert ("stupid buildbot", "bot_rage", 2, "none") in scan("stupid buildbot")
-    assert scan("so broken linker") == [("so broken", "tooling_rage", 1, "upgraded")]
-    assert scan("it is awful", Pack(templates=PACK.templates, slots={"TARGET_LANG": {}, "TARGET_BOT": {}})) == [("it is awful", "lang_rage", 2, "none")]
-    far = Detector(PACK).scan("linker so broken swing compiler")[0]
-    assert (far["target_name"], far["target_distance"]) == ("swing", 6)  # from the middle to the start
-    assert scan("so broken " + "x" * 80 + " linker") == [("so broken", "generic", 1, "none")]
-    assert scan("`moron`")[0][2] == 1 and scan("moron")[0][2] == 2 and scan("> moron")[0][2] == 1
+    assert scan("such a pathetic heap") == [("pathetic heap", "generic", 1, "none")]
+    assert scan("clown") == [("clown", "harassment", 1, "none")]
+    assert scan("xclownx clowns clown_ clown1") == [] and scan("snorgle, snorgle!") == []  # inside a word; on the stop list
+    assert scan("soup of nothing") == [("soup of nothing", "generic", 2, "downgraded")]
+    assert scan("soup of plimsol") == [("soup of plimsol", "lang_rage", 2, "none")] and scan("soup of vex++") == [("soup of vex++", "lang_rage", 2, "none")]
+    assert ("zibbo helper fell asleep", "bot_rage", 2, "none") in scan("the zibbo helper fell asleep")
+    assert scan("crumbled again stitchet") == [("crumbled again", "tooling_rage", 1, "upgraded")]
+    assert scan("soup of nothing", Pack(templates=PACK.templates, slots={"TARGET_LANG": {}, "TARGET_BOT": {}})) == [("soup of nothing", "lang_rage", 2, "none")]
+    far = Detector(PACK).scan("stitchet crumbled again lanternkit quillmaker")[0]
+    assert (far["target_name"], far["target_distance"]) == ("lanternkit", 8)  # from the middle to the start
+    assert scan("crumbled again " + "x" * 80 + " stitchet") == [("crumbled again", "generic", 1, "none")]
+    assert scan("`flumdrub`")[0][2] == 1 and scan("flumdrub")[0][2] == 2 and scan("> flumdrub")[0][2] == 1
     assert scan(None) == [] and scan("") == []
-    assert len(scan("trash " * 50, max_hits=7)) == 7
+    assert len(scan("clown " * 50, max_hits=7)) == 7 and len(scan("clown " * 9000, max_hits=0)) == 9000
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["clown", "worthless", "pathetic heap", "soup of vex++", "soup of nothing", "zibbo", "snorgle", "é", "x_", "`", "```", ">", "\n", "stitchet", ",", "clowns", "crumbled again"]), max_size=12), st.sampled_from(["", " "]))
+def test_detector_against_a_plain_one(parts, gap):
+    """Spans, targets and zones of short texts by looking at every place of every word and phrase."""
+    text = gap.join(parts)
+    letter = lambda c: c.isalnum() or c == "_"
+    alone = lambda a, b: not (a and letter(text[a - 1]) or b < len(text) and letter(text[b]))
+    phrases = {"template": ["pathetic heap", "zibbo fell asleep", "soup of vex++", "soup of plimsol", "soup of nothing", "crumbled again"], "lemma": ["clown", "worthless", "flumdrub"]}
+    want = sorted((len(text[:a].encode()), len(text[: a + len(p)].encode()), p, kind) for kind, own in phrases.items() for p in own for a in range(len(text))
+                  if text.startswith(p, a) and alone(a, a + len(p)))
+    found = Detector(PACK, Options(max_hits=0)).scan(text)
+    assert sorted((h["span_start"], h["span_end"], h["term"], h["source"]) for h in found) == want
+    data, areas = text.encode(), zones(text)
+    for h in found:
+        assert data[h["span_start"] : h["span_end"]].decode() == h["term"]
+        assert h["zones"] == [z for z in ("code_fence", "code_inline", "quote") if any(k == z and h["span_end"] > a and h["span_start"] < b for k, a, b in areas)]
+        assert h["level"] == max(1, {"flumdrub": 2, "soup of nothing": 2, "soup of vex++": 2}.get(h["term"], 1) - len(h["zones"]))
+        names = [(len(text[:a].encode()), n) for n in ("zibbo", "stitchet") for a in range(len(text)) if text.startswith(n, a) and alone(a, a + len(n))]
+        near = [abs((h["span_start"] + h["span_end"]) // 2 - a) for a, n in names if a >= h["span_start"] - 64 and a + len(n) <= h["span_end"] + 64]
+        if "vex++" not in text and not (h["category"] == "tooling_rage" or h["term"].startswith("soup")):
+            assert (h["target_distance"] if near else None) == (min(near) if near else None)
 
 
 def test_lemmas_do_not_overlap():
@@ -82,13 +106,13 @@ def test_lemmas_do_not_overlap():
 
 
 def test_byte_spans_and_context():
-    h = Detector(PACK).scan("über trash ö")[0]
+    h = Detector(PACK).scan("über clown ö")[0]
     assert (h["span_start"], h["span_end"], h["pre_context"], h["post_context"]) == (6, 11, "über ", " ö")
 
 
 def test_rules():
     assert lower_pattern(r"\bFoo\S{TARGET_BOT}{0,3}") == r"\bfoo\S{TARGET_BOT}{0,3}"
-    assert PACK.expand("{TARGET_LANG}{1,2}") == r"(?:cobol|c\+\+){1,2}"
+    assert PACK.expand("{TARGET_LANG}{1,2}") == r"(?:plimsol|vex\+\+){1,2}"
     with pytest.raises(ValueError):
         PACK.expand("{NOBODY}")
     with pytest.raises(ValueError):
@@ -97,12 +121,49 @@ def test_rules():
 
 
 def test_winner_and_ids(spark):
-    pack = Pack(lemmas=[Lemma("trash", "harassment", 3)], templates=PACK.templates[:0] + [t for t in PACK.templates if t.id == "en.generic.this_is"])
-    u = spark.createDataFrame([("00000000-0000-5000-8000-000000000001", "this is trash"), ("00000000-0000-5000-8000-000000000002", None)], "id string, text_normalized string")
+    pack = Pack(lemmas=[Lemma("heap", "harassment", 3)], templates=[t for t in PACK.templates if t.id == "own.pair"])
+    u = spark.createDataFrame([("00000000-0000-5000-8000-000000000001", "pathetic heap"), ("00000000-0000-5000-8000-000000000002", None)], "id string, text_normalized string")
     u = u.selectExpr("*", "timestamp'2024-01-01' as created_at", "'pr' as source", "cast(null as binary) as repo_hid", "cast(null as binary) as actor_hid", "'en' as lang_code")
     rows = {r.term: r for r in hits(u, pack, 3).collect()}
-    assert set(rows) == {"this is trash", "trash"} and rows["trash"].category == "generic" and rows["trash"].severity == "strong"
-    assert rows["trash"].id == ids.hit_uuid(rows["trash"].utterance_id, "trash", "generic", "strong", 8, 13) and rows["trash"].id[14] == "5"
+    assert set(rows) == {"pathetic heap", "heap"} and rows["heap"].category == "generic" and rows["heap"].severity == "strong"
+    assert rows["heap"].id == ids.hit_uuid(rows["heap"].utterance_id, "heap", "generic", "strong", 9, 13) and rows["heap"].id[14] == "5"
+    # a template wins over a lemma of equal span and term
+    both = Pack(lemmas=[Lemma("pathetic heap", "harassment", 3)], templates=pack.templates)
+    assert [(r.detector_source, r.severity) for r in hits(u, both, 3).collect()] == [("template", "mild")]
+
+
+def test_detected_hits_of_documents(spark):
+    """The registered query over all documents of the smallest tables against words looked up one by one."""
+    import os
+    import re
+
+    from tonelake.plans import catalogue
+    from tonelake.sources.facts import read
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    want = []
+    for d in read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect():
+        t = normalize(d.text) or ""
+        for term, m in [(m[0], m) for p in ("worthless", "clown", "pathetic[ \n](?:heap|[a-z]+ing)") for m in re.finditer(rf"(?<![\w]){p}(?![\w])", t)]:
+            want.append((d.doc_id, term, len(t[: m.start()].encode()), len(t[: m.end()].encode())))
+    got = catalogue.QUERIES["l22_detected_hits"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((int(r.utterance_id[-12:], 16), r.term, r.span_start, r.span_end) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("leet", ["reference", "off", "word_internal"])
+def test_normalize_columns(spark, leet):
+    """ASCII texts in the JVM and others in Python come out as the plain function has them."""
+    from pyspark.sql import functions as F
+
+    from tonelake.functions.text import fold_spaces_col, normalize_col, squash_repeats
+
+    texts = ["", " a \t\r\n b  c", "Wtf! C0DE\x0b\x07x\x1f\x7f", "É \u00a0\u2028 ß", "a\u0301\u200d", None, "4@01!35$7 X4Y", "\n\n", "ok\r", "İI", "\x85a\u3000 b", "tooooo\n\n\n\nlong"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    rows = df.select("k", normalize_col(F.col("t"), leet).alias("n"), fold_spaces_col(F.col("t")).alias("f"), squash_repeats(F.col("t")).alias("s")).collect()
+    assert {r.k: r.n for r in rows} == {k: normalize(t, leet) for k, t in enumerate(texts)}
+    assert {r.k: r.f for r in rows} == {k: None if t is None else fold_spaces(t) for k, t in enumerate(texts)}
+    assert rows[11].s == "too\n\nlong"
 
 
 def test_identifiers():

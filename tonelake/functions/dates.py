@@ -42,11 +42,6 @@ def monday_zero(c: Column) -> Column:
     return F.weekday(c)
 
 
-def resolve_interval(interval: str) -> str:
-    """auto and nothing mean day."""
-    return "day" if interval in ("", "auto") else interval
-
-
 def series(spark: SparkSession, start: str, stop: str, step: str, name: str = "t") -> DataFrame:
     """Timestamps from start to stop, both included, one every step such as '1 hour'."""
     return spark.range(1).select(F.explode(F.expr(f"sequence(timestamp'{start}', timestamp'{stop}', interval {step})")).alias(name))

@@ -23,9 +23,16 @@ def hid(kind: str, key: Column) -> Column:
     return F.unhex(F.sha2(F.concat(F.lit(f"{kind}:"), key.cast("string")), 256))
 
 
-def hid_or_name(kind: str, key: Column, name: Column) -> Column:
-    """The id's key, or where the id is missing or 0 the key of the canonical name."""
-    return F.when(F.coalesce(key, F.lit(0)) != 0, hid(kind, key)).otherwise(hid(kind, name))
+def hmac_sha256(secret: bytes, message: Column) -> Column:
+    """The keyed hash of a string column, in hex; two nested digests, so it stays in the JVM."""
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytes(b ^ 0x36 for b in key)), message.cast("binary")), 256)
+    return F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in key)), F.unhex(inner)), 256)
+
+
+def challenge(secret: bytes, kind: str, subject: Column, day: Column) -> Column:
+    """The hash that a subject has to publish on a day: the same all day, another one tomorrow."""
+    return hmac_sha256(secret, F.concat_ws(":", F.lit(kind), subject, F.date_format(day, "yyyy-MM-dd")))
 
 
 def hid_hex(c: Column) -> Column:

@@ -72,6 +72,12 @@ def backoff_seconds(attempts: Column, base: int = 1, most: int = 600) -> Column:
     return F.least(F.lit(most).cast("long"), F.lit(base).cast("long") * F.pow(F.lit(2), F.least(attempts, F.lit(30))).cast("long"))
 
 
+def next_refresh(kind: str, popularity: Column, fetched: Column, last_push: Column | None = None) -> Column:
+    """When a row is due: its days after it was fetched, or a day after the last push where that comes sooner."""
+    due = fetched + F.make_dt_interval(refresh_days(kind, popularity))
+    return due if last_push is None else F.least(due, last_push + F.expr("interval 24 hours"))
+
+
 def refresh_days(kind: str, popularity: Column) -> Column:
     """How long a catalogue row stays fresh: popular repositories and actors are looked at more often."""
     if kind == "repo":

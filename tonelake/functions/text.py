@@ -1,14 +1,17 @@
 """Normalizing text, its quoted and code zones, and a hint of its language.
 
 Case folding, compatibility forms and dropping marks are not in Spark SQL, so `normalize_col` runs Python on Arrow
-batches; what follows them (look-alike digits, spaces, shadows, the language hint) also exists as built-in columns.
+batches for the texts that aren't ASCII; ASCII texts, and look-alike digits, spaces, shadows and the language hint of all
+texts, are built-in columns.
 All offsets count UTF-8 bytes.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,9 +24,13 @@ SCRIPTS = ("Hiragana", "Katakana", "Hangul", "Han", "Arabic", "Hebrew", "Thai",
 LANG_OF_SCRIPT = {"Hiragana": "ja", "Katakana": "ja", "Hangul": "ko", "Arabic": "ar", "Hebrew": "he", "Thai": "th", "Greek": "el"}
 LEAST_LETTERS = 20
 
-_control = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+# The characters of Unicode's White_Space property, as a class for Python and Java expressions.
+SPACES = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+
+_control = re.compile(CONTROL)
 _leet = str.maketrans(LEET_FROM, LEET_TO)
-_space = re.compile(r"\s+")
+_space = re.compile(f"[{SPACES}]+")
 _fence = re.compile(r"```(.*?)```", re.S)
 _inline = re.compile(r"`([^`]*)`")
 _quoted = re.compile(r"^[ \t]*> *([^ \n][^\n]*)", re.M)
@@ -36,15 +43,15 @@ def sanitize(text: str) -> str:
 
 def fold_spaces(text: str) -> str:
     """Runs of white space become one line end where they hold one, else one space; none at either end."""
-    return _space.sub(lambda m: "\n" if "\n" in m[0] or "\r" in m[0] else " ", text).strip()
+    return _space.sub(lambda m: "\n" if "\n" in m[0] or "\r" in m[0] else " ", text).strip(" \n")
 
 
 def normalize(text: str | None, leet: str = "reference") -> str | None:
     """leet: 'reference' maps look-alikes everywhere, 'word_internal' only between letters, 'off' never."""
     if text is None:
         return None
-    s = unicodedata.normalize("NFKC", sanitize(text)).casefold()
-    s = "".join(c for c in s if unicodedata.category(c) not in ("Mn", "Cf"))
+    s = sanitize(text)
+    s = s.lower() if s.isascii() else _without_marks(unicodedata.normalize("NFKC", s).casefold())
     if leet == "reference":
         s = s.translate(_leet)
     elif leet == "word_internal":
@@ -52,12 +59,34 @@ def normalize(text: str | None, leet: str = "reference") -> str | None:
     return fold_spaces(s)
 
 
+@lru_cache(maxsize=1)
+def _dropped() -> tuple[re.Pattern, re.Pattern]:
+    """Marks and format characters as classes of ranges, below and above U+FFFF (a class of both is slow)."""
+    def ranges(low: int, high: int) -> re.Pattern:
+        points = [c for c in range(low, high) if unicodedata.category(chr(c)) in ("Mn", "Cf")]
+        starts = [c for k, c in enumerate(points) if not k or points[k - 1] != c - 1]
+        ends = [c for k, c in enumerate(points) if k + 1 == len(points) or points[k + 1] != c + 1]
+        return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]+")
+
+    return ranges(0, 0x10000), ranges(0x10000, sys.maxunicode + 1)
+
+
+def _without_marks(text: str) -> str:
+    low, high = _dropped()
+    text = low.sub("", text)
+    return high.sub("", text) if text and max(text) > "\uffff" else text
+
+
 def normalize_col(c: Column, leet: str = "reference") -> Column:
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: normalize(t, leet))
 
-    return run(c)
+    if leet == "word_internal":
+        return run(c)
+    plain = F.octet_length(c) == F.char_length(c)
+    own = F.lower(F.regexp_replace(c, CONTROL, ""))
+    return F.when(plain, fold_spaces_col(leet_fold(own) if leet == "reference" else own)).otherwise(run(F.when(~plain, c)))
 
 
 def leet_fold(c: Column) -> Column:
@@ -65,7 +94,9 @@ def leet_fold(c: Column) -> Column:
 
 
 def fold_spaces_col(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*[\r\n]\s*", "\n"), r"[^\S\r\n]+", " "), F.lit(" \n"))
+    """The same; what is left of a run without a line end is no line end."""
+    lines = F.regexp_replace(c, f"[{SPACES}]*[\\r\\n][{SPACES}]*", "\n")
+    return F.trim(F.regexp_replace(lines, f"[{SPACES}&&[^\\n]]+", " "), F.lit(" \n"))
 
 
 def without_punctuation(c: Column) -> Column:
@@ -74,7 +105,7 @@ def without_punctuation(c: Column) -> Column:
 
 def squash_repeats(c: Column) -> Column:
     """At most two of a character in a row."""
-    return F.regexp_replace(c, r"(.)\1{2,}", "$1$1")
+    return F.regexp_replace(c, r"(?s)(.)\1{2,}", "$1$1")
 
 
 def zones(text: str, inline_in_fence: bool = False) -> list[tuple[str, int, int]]:

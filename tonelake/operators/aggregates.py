@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.functions.scalars import ratio
@@ -19,10 +19,9 @@ def hits_and_utterances(df: DataFrame, *keys: Column, mode: str = "exact") -> Da
     return df.groupBy(*keys).agg(F.count("*").alias("hits"), distinct_of("utterance_id", mode).alias("utterances"))
 
 
-def latest_version(df: DataFrame, keys: list[str], *newest_first: Column) -> DataFrame:
-    """One row per key, the newest: what a replacing table shows once merged."""
-    w = Window.partitionBy(*keys).orderBy(*newest_first)
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
+def latest_version(df: DataFrame, keys: list[str], *version: str) -> DataFrame:
+    """One row per key, that of the largest version columns: what a replacing table shows once merged."""
+    return best_per_key(df, keys, F.struct(*version)).select(*df.columns)
 
 
 def top_n_other(df: DataFrame, key: str, measure: str, n: int) -> DataFrame:
@@ -93,11 +92,13 @@ def merge_states(states: DataFrame, *keys: Column | str) -> DataFrame:
     return states.groupBy(*keys).agg(
         F.hll_union_agg("u_sketch").alias("u_sketch"), F.sum("cnt").alias("cnt"), F.sum("text_sum").alias("text_sum"),
         F.kll_merge_agg_double("text_q").alias("text_q"), F.sum("sent_cnt").alias("sent_cnt"), F.sum("sent_sum").alias("sent_sum"),
+        F.kll_merge_agg_double("sent_q").alias("sent_q"),
         F.min("min_at").alias("min_at"), F.max("max_at").alias("max_at"))
 
 
 def read_states(merged: DataFrame, *keys: str) -> DataFrame:
     """What merged states say: exact counts and means, estimated distinct ids and quantiles."""
-    q = F.kll_sketch_get_quantile_double("text_q", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return merged.select(*keys, F.hll_sketch_estimate("u_sketch").alias("uniq"), "cnt", "text_sum", q.alias("text_quantiles"),
-                         "sent_cnt", F.try_divide("sent_sum", "sent_cnt").alias("sent_avg"), "min_at", "max_at")
+    q = lambda sketch: F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
+    return merged.select(*keys, F.hll_sketch_estimate("u_sketch").alias("uniq"), "cnt", "text_sum", q(F.col("text_q")).alias("text_quantiles"),
+                         "sent_cnt", F.try_divide("sent_sum", "sent_cnt").alias("sent_avg"),
+                         q(F.when(F.col("sent_cnt") > 0, F.col("sent_q"))).alias("sent_quantiles"), "min_at", "max_at")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.functions.scalars import masked
@@ -25,12 +25,24 @@ def exclude_optouts(df: DataFrame, receipts: DataFrame, principal: str, key: str
     return df.join(active(receipts, principal, "opt_out").withColumnRenamed("principal_key", key), key, "left_anti")
 
 
+def purge_optouts(tables: dict[str, DataFrame], receipts: DataFrame, principal: str, key: str) -> dict[str, DataFrame]:
+    """What stays of each table about a principal (catalogue, queue, id map) after all active opt-outs."""
+    return {name: exclude_optouts(df, receipts, principal, key) for name, df in tables.items()}
+
+
 def latest_receipt(receipts: DataFrame, *keys: str) -> DataFrame:
     """The newest receipt of each key; ties go to the larger id.  A grouped max_by, so no sort is needed."""
     rest = [c for c in receipts.columns if c not in keys]
     return receipts.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("created_at", "consent_id")).alias("r")).select(*keys, "r.*")
 
 
+def statuses(asked: DataFrame, receipts: DataFrame, principal: str) -> DataFrame:
+    """One row per asked key (column principal_key): deny, allow or none, by its newest active receipt."""
+    own = receipts.filter((F.col("principal") == principal) & (F.col("state") == "active")).select("principal_key", "action", "created_at", "consent_id")
+    df = asked.join(latest_receipt(own, "principal_key"), "principal_key", "left")
+    return df.select("principal_key", F.when(F.col("action") == "opt_out", "deny").when(F.col("action") == "opt_in", "allow").otherwise("none").alias("status"))
+
+
 def status(receipts: DataFrame, principal: str, key: int) -> DataFrame:
     """Exactly one row: deny, allow or none, by the newest active receipt of a principal."""
     own = receipts.filter((F.col("principal") == principal) & (F.col("principal_key") == key) & (F.col("state") == "active"))
@@ -62,7 +74,3 @@ def claim(queue: DataFrame, claimed: DataFrame, until) -> DataFrame:
     """The queue with the claimed rows leased."""
     flag = claimed.select("id", F.lit(True).alias("__claimed"))
     return queue.join(flag, "id", "left").withColumn("lease_until", F.when(F.col("__claimed"), F.lit(until).cast("timestamp")).otherwise(F.col("lease_until"))).drop("__claimed")
-
-
-def numbered(df: DataFrame, *keys: str) -> DataFrame:
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("created_at", "consent_id")))

@@ -52,9 +52,8 @@ class Detector:
         import ahocorasick
 
         self.pack, self.options = pack, options
-        # white space, word characters and word edges are ASCII ones, while the text itself is not folded again
-        ascii_classes = lambda p: p.replace(r"\b", r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))").replace(r"\s", r"[ \t\n\r\f]").replace(r"\w", "[0-9A-Za-z_]").replace(r"\d", "[0-9]")
-        self.templates = [(t, re.compile(ascii_classes(pack.expand(t.pattern)))) for t in pack.templates]
+        # word characters, digits and word edges are ASCII ones, and the vertical tab is no white space
+        self.templates = [(t, re.compile(pack.expand(t.pattern).replace(r"\s", r"[ \t\n\r\f]"), re.ASCII)) for t in pack.templates]
         self.lemmas = ahocorasick.Automaton()
         for x in pack.lemmas:
             if x.term not in self.lemmas:

@@ -6,6 +6,7 @@ aggregates (a), windows (w), top lists (t), sets (u), sources (s), text (l), pip
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -15,17 +16,20 @@ from pyspark.sql import functions as F
 from tonelake.functions import dates, ids, scalars, text
 from tonelake.functions.ids import hid_hex
 from tonelake.operators import aggregates as agg
-from tonelake.operators import consent, joins
+from tonelake.operators import consent, joins, ledger
+from tonelake.operators.detector import Options, detect, hits
 from tonelake.operators.scope import Scope, hits_in, predicate
 from tonelake.plans import compact, endpoints, views
 from tonelake.sources import facts, sinks
 from tonelake.sources.facts import read, with_facts
+from tonelake.sources.rulepack import OWN, Lemma, Pack, from_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 FIRST, LAST = date(2024, 1, 3), date(2024, 1, 25)
 SCOPE = Scope(FIRST, LAST)
+EVERY_HIT = Options(max_hits=0)
 BERLIN = Scope(FIRST, LAST, tz="Europe/Berlin")
 WEEKS = Scope(FIRST, LAST, interval="week")
 HOURS = Scope(date(2024, 1, 3), date(2024, 1, 5), interval="hour")
@@ -358,9 +362,19 @@ def _(spark, sf):
 
 @query("e25_samples_latest", with_facts(f"SELECT {_time_sql('created_at')} AS created_at, hit_id, term, u.text_raw FROM crimes c JOIN (SELECT id, text_raw FROM utterances) u ON u.id = c.utterance_id ORDER BY c.created_at DESC, hit_id LIMIT 50"))
 def _(spark, sf):
-    u = facts.utterances(spark, sf).select(F.col("id").alias("utterance_id"), "text_raw")
-    df = facts.crimes(spark, sf).join(u, "utterance_id").orderBy(F.desc("created_at"), "hit_id").limit(50)
-    return _edge(df.select("created_at", "hit_id", "term", "text_raw"))
+    return _edge(endpoints.samples_latest(facts.crimes(spark, sf), facts.utterances(spark, sf)))
+
+
+@query("e14_samples_masked", with_facts("""SELECT strftime(u.created_at, '%Y-%m-%d %H:%M:%S') AS created_at, utterance_id, hits, CASE WHEN hits = 2 THEN left(a, 7) || '***' || substr(a, 11) ELSE a END AS masked FROM (
+SELECT utterance_id, u.created_at, hits, left(text_raw, s) || '**' || substr(text_raw, s + 3) AS a FROM (SELECT utterance_id, count(*) AS hits, any_value(utterance_id % 3) AS s FROM crimes GROUP BY 1) c JOIN utterances u ON u.id = c.utterance_id ORDER BY u.created_at DESC, utterance_id LIMIT 50) u"""))
+def _(spark, sf):
+    """Each first hit stands at byte 0, 1 or 2 of its text, and each second one at byte 7."""
+    c = facts.crimes(spark, sf)
+    second = F.col("hit_id") % 2 == 1
+    start = F.when(second, 7).otherwise((F.col("utterance_id") % 3).cast("int"))
+    c = c.withColumns({"span_start": start, "span_end": start + F.when(second, 3).otherwise(2)})
+    df = endpoints.samples_masked(c, facts.utterances(spark, sf), "text_raw")
+    return _edge(df.select("created_at", "utterance_id", F.size("hits").cast("long").alias("hits"), "masked"))
 
 
 @query("e26_list_samples", with_facts(f"SELECT {_time_sql('created_at')} AS created_at, hit_id, utterance_id, term FROM crimes WHERE {IN_RANGE} AND (created_at > TIMESTAMP '2024-01-10' OR (created_at = TIMESTAMP '2024-01-10' AND hit_id > 100)) ORDER BY crimes.created_at, hit_id LIMIT 100"))
@@ -399,14 +413,10 @@ def _(spark, sf):
     return _edge(facts.crimes(spark, sf).filter(dates.in_days(F.col("created_at"), FIRST, LAST)).agg(F.count("*").alias("n"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at")))
 
 
-@query("f04_tri_state", with_facts("SELECT 'any' AS asked, count(*) AS n FROM crimes UNION ALL SELECT 'true', count(*) FROM crimes WHERE lang_reliable UNION ALL SELECT 'false', count(*) FROM crimes WHERE NOT lang_reliable"))
+@query("f04_tri_state", with_facts("SELECT count(*) AS any, count(*) FILTER (lang_reliable) AS yes, count(*) FILTER (NOT lang_reliable) AS no FROM crimes"))
 def _(spark, sf):
-    out = None
-    for name, value in (("any", None), ("true", True), ("false", False)):
-        s = Scope(date(2000, 1, 1), date(2100, 1, 1), lang_reliable=value)
-        part = facts.crimes(spark, sf).filter(predicate(s, [], "created_at", True)).agg(F.lit(name).alias("asked"), F.count("*").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    asked = lambda value: predicate(Scope(date(2000, 1, 1), date(2100, 1, 1), lang_reliable=value), [], "created_at", True)
+    return facts.crimes(spark, sf).agg(*[F.count_if(asked(value)).alias(name) for name, value in (("any", None), ("yes", True), ("no", False))])
 
 
 @query("f05_severity_category", with_facts(f"SELECT term, count(*) AS hits FROM crimes WHERE {IN_RANGE} AND severity IN ('strong') AND category IN ('bot_rage', 'generic') GROUP BY 1"))
@@ -424,13 +434,10 @@ def _(spark, sf):
     return facts.repositories(spark, sf).filter(scalars.owner_of(F.col("full_name")) == "owner2").select("full_name", "stars")
 
 
-@query("f11_retention", with_facts("SELECT 'full' AS rule, count(*) AS n FROM utterances UNION ALL SELECT 'aggressive', 0 UNION ALL SELECT 'timebox:10d', count(*) FROM utterances WHERE date_trunc('hour', created_at) + INTERVAL 1 HOUR >= TIMESTAMP '2024-01-21'"))
+@query("f11_retention", with_facts("SELECT count(*) AS full_rows, 0 AS aggressive, count(*) FILTER (date_trunc('hour', created_at) + INTERVAL 1 HOUR >= TIMESTAMP '2024-01-21') AS timebox FROM utterances"))
 def _(spark, sf):
-    out = None
-    for rule in ("full", "aggressive", "timebox:10d"):
-        part = facts.utterances(spark, sf).filter(compact.kept(F.date_trunc("hour", "created_at"), rule, datetime(2024, 1, 31))).agg(F.lit(rule).alias("rule"), F.count("*").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    stays = lambda rule: F.count_if(compact.kept(F.date_trunc("hour", "created_at"), rule, datetime(2024, 1, 31)))
+    return facts.utterances(spark, sf).agg(stays("full").alias("full_rows"), stays("aggressive").alias("aggressive"), stays("timebox:10d").alias("timebox"))
 
 
 @query("f13_ready_queue", """SELECT o_orderkey AS id, CAST(o_custkey % 5 AS INT) AS priority FROM orders WHERE o_orderdate <= TIMESTAMP '1997-01-01' AND (o_orderkey % 3 <> 0 OR o_orderdate + INTERVAL 2 DAY < TIMESTAMP '1997-01-01') ORDER BY priority DESC, o_orderdate, id LIMIT 100""")
@@ -448,13 +455,10 @@ def _(spark, sf):
     return _edge(consent.claim(queue, consent.ready(queue, "1997-01-01 00:00:00", 10), "1997-01-02 00:00:00").select("id", "lease_until"))
 
 
-@query("p01_consent_status", with_facts("SELECT k AS key, CASE arg_max(action, (created_at, consent_id)) WHEN 'opt_out' THEN 'deny' WHEN 'opt_in' THEN 'allow' ELSE 'none' END AS status FROM (SELECT unnest([1, 4, 100000]) AS k) LEFT JOIN (SELECT * FROM receipts WHERE principal = 'repo' AND state = 'active') r ON r.principal_key = k GROUP BY k"))
+@query("p01_consent_status", with_facts("SELECT c_custkey AS key, CASE arg_max(action, (created_at, consent_id)) WHEN 'opt_out' THEN 'deny' WHEN 'opt_in' THEN 'allow' ELSE 'none' END AS status FROM customer LEFT JOIN (SELECT * FROM receipts WHERE principal = 'repo' AND state = 'active') r ON r.principal_key = c_custkey GROUP BY 1"))
 def _(spark, sf):
-    out = None
-    for key in (1, 4, 100000):
-        part = consent.status(facts.receipts(spark, sf), "repo", key).select(F.lit(key).alias("key"), "status")
-        out = part if out is None else out.unionByName(part)
-    return out
+    asked = read(spark, sf, "customer").select(F.col("c_custkey").alias("principal_key"))
+    return consent.statuses(asked, facts.receipts(spark, sf), "repo").select(F.col("principal_key").alias("key"), "status")
 
 
 @query("p02_masked_columns", """SELECT c_custkey, CASE WHEN o.k IS NOT NULL THEN c_name END AS c_name, c_mktsegment FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') o ON o.k = c_custkey""")
@@ -472,9 +476,10 @@ def _(spark, sf):
 _DETAILS = ("push:commit", "issues:title", "issue_comment:body", "pr:body", "pr_review_comment:body", "commit_comment:body", "other:x")
 
 
-@query("p05_source_coarsening", "SELECT d AS detail, CASE split_part(d, ':', 1) WHEN 'push' THEN 'commit' WHEN 'issues' THEN 'issue' WHEN 'issue_comment' THEN 'issue' WHEN 'pr' THEN 'pr' WHEN 'pr_review_comment' THEN 'pr' ELSE 'comment' END AS source FROM (SELECT unnest([" + ", ".join(f"'{d}'" for d in _DETAILS) + "]) AS d)")
+@query("p05_source_coarsening", "SELECT o_orderkey, CASE split_part(d, ':', 1) WHEN 'push' THEN 'commit' WHEN 'issues' THEN 'issue' WHEN 'issue_comment' THEN 'issue' WHEN 'pr' THEN 'pr' WHEN 'pr_review_comment' THEN 'pr' ELSE 'comment' END AS source FROM (SELECT o_orderkey, [" + ", ".join(f"'{d}'" for d in _DETAILS) + "][o_orderkey % 7 + 1] AS d FROM orders)")
 def _(spark, sf):
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, _DETAILS))).alias("detail")).select("detail", scalars.coarse_source(F.col("detail")).alias("source"))
+    detail = F.element_at(F.array(*map(F.lit, _DETAILS)), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return read(spark, sf, "orders").select("o_orderkey", scalars.coarse_source(detail).alias("source"))
 
 
 @query("x01_keys_and_labels", "SELECT DISTINCT user_id, sha256('actor:' || user_id) AS hid, left(sha256('actor:' || user_id), 6) || '...' || right(sha256('actor:' || user_id), 6) AS label FROM events")
@@ -495,12 +500,36 @@ def _(spark, sf):
     return read(spark, sf, "events").groupBy(dates.sunday_zero(ts).alias("sunday0"), dates.monday_zero(ts).alias("monday0"), F.hour(ts).alias("h"), F.date_format(ts, "yyyyMM").alias("ym")).agg(F.count("*").alias("n"))
 
 
-_REPOS = ("Owner/Name", "https://github.com/Owner/Name.git", "git@example.com:Owner/Name.git", " https://api.example.com/repos/a/b ", "/a/b/")
+# Ways to write the name of a customer's repository, each with a place for its owner and its own part.
+_REPO_FORMS = ("{}/{}", "https://github.com/{}/{}.git", "git@example.com:{}/{}.git", " https://api.example.com/repos/{}/{} ", "/{}/{}/")
+
+
+@query("x04_repo_names", "SELECT c_custkey, 'owner' || c_nationkey || '/repo' || c_custkey AS repo FROM customer")
+def _(spark, sf):
+    own = [F.format_string(f.replace("{}", "%s"), F.concat(F.lit("Owner"), "c_nationkey"), F.concat(F.lit("Repo"), "c_custkey")) for f in _REPO_FORMS]
+    written = F.element_at(F.array(*own), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return read(spark, sf, "customer").select("c_custkey", scalars.canonical_repo(written).alias("repo"))
+
+
+@query("x05_daily_challenge", "SELECT user_id, CAST(ts AS DATE) AS day, sha256(unhex('" + bytes(b ^ 0x5C for b in b"example-secret".ljust(64, b"\0")).hex() + "') || unhex(sha256(unhex('" + bytes(b ^ 0x36 for b in b"example-secret".ljust(64, b"\0")).hex() + "') || encode('actor:' || user_id || ':' || strftime(ts, '%Y-%m-%d'))))) AS hash FROM (SELECT DISTINCT user_id, date_trunc('day', ts) AS ts FROM events)")
+def _(spark, sf):
+    e = read(spark, sf, "events").select("user_id", F.to_date("ts").alias("day")).distinct()
+    return e.select("user_id", "day", ids.challenge(b"example-secret", "actor", F.col("user_id").cast("string"), F.col("day")).alias("hash"))
+
+
+@query("r11_next_refresh", with_facts("SELECT c_custkey, strftime(least(d + INTERVAL 1 DAY * CASE WHEN c_acctbal >= 1000 THEN 7 WHEN c_acctbal >= 100 THEN 14 ELSE 30 END, p + INTERVAL 24 HOUR), '%Y-%m-%d %H:%M:%S') AS due FROM customer JOIN (SELECT o_custkey AS c_custkey, min(o_orderdate) AS d, max(o_orderdate) AS p FROM orders GROUP BY 1) USING (c_custkey)"))
+def _(spark, sf):
+    o = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").cast("timestamp").alias("d"), F.max("o_orderdate").cast("timestamp").alias("p"))
+    due = scalars.next_refresh("repo", F.col("c_acctbal"), F.col("d"), F.col("p"))
+    return _edge(read(spark, sf, "customer").join(o, "c_custkey").select("c_custkey", due.alias("due")))
 
 
-@query("x04_repo_names", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(_REPOS, ("owner/name", "owner/name", "owner/name", "a/b", "a/b"), strict=True)) + ") AS t(name, repo)")
+@query("r13_purge_on_optout", with_facts("SELECT name, k FROM (SELECT 'catalogue' AS name, c_custkey AS k FROM customer UNION ALL SELECT 'queue', o_custkey FROM orders UNION ALL SELECT 'id_map', c_custkey FROM customer WHERE c_nationkey < 5) WHERE k NOT IN (SELECT principal_key FROM receipts WHERE principal = 'actor' AND action = 'opt_out' AND state = 'active')"))
 def _(spark, sf):
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, _REPOS))).alias("name")).select("name", scalars.canonical_repo(F.col("name")).alias("repo"))
+    c, o = read(spark, sf, "customer"), read(spark, sf, "orders")
+    key = lambda df, name: df.select(F.col(name).alias("k"))
+    left = consent.purge_optouts({"catalogue": key(c, "c_custkey"), "queue": key(o, "o_custkey"), "id_map": key(c.filter("c_nationkey < 5"), "c_custkey")}, facts.receipts(spark, sf), "actor", "k")
+    return functools.reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("name"), "k") for name, df in left.items()])
 
 
 @query("r11_refresh_days", with_facts("SELECT full_name, CASE WHEN stars >= 1000 THEN 7 WHEN stars >= 100 THEN 14 ELSE 30 END AS repo_days, CASE WHEN stars >= 1000 THEN 30 ELSE 60 END AS actor_days FROM repositories"))
@@ -508,9 +537,10 @@ def _(spark, sf):
     return facts.repositories(spark, sf).select("full_name", scalars.refresh_days("repo", F.col("stars")).alias("repo_days"), scalars.refresh_days("actor", F.col("stars")).alias("actor_days"))
 
 
-@query("r12_backoff", "SELECT i AS attempts, CAST(least(600, 2 * pow(2, least(i, 30))) AS BIGINT) AS seconds FROM range(40) AS r(i)")
+@query("r12_backoff", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS attempts, CAST(least(600, 2 * pow(2, least(CAST(l_quantity AS BIGINT), 30))) AS BIGINT) AS seconds FROM lineitem")
 def _(spark, sf):
-    return spark.range(40).select(F.col("id").alias("attempts"), scalars.backoff_seconds(F.col("id"), 2).alias("seconds"))
+    n = F.col("l_quantity").cast("long")
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", n.alias("attempts"), scalars.backoff_seconds(n, 2).alias("seconds"))
 
 
 # ---------------------------------------------------------------- joins, sets, sources
@@ -654,7 +684,7 @@ def _(spark, sf):
 
 @query("a23_version_dedup", "SELECT l_orderkey, l_linenumber AS version, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM lineitem) WHERE rn = 1")
 def _(spark, sf):
-    df = agg.latest_version(read(spark, sf, "lineitem"), ["l_orderkey"], F.desc("l_linenumber"), F.desc("l_partkey"), F.desc("l_suppkey"))
+    df = agg.latest_version(read(spark, sf, "lineitem"), ["l_orderkey"], "l_linenumber", "l_partkey", "l_suppkey")
     return df.select("l_orderkey", F.col("l_linenumber").alias("version"), "l_partkey")
 
 
@@ -709,40 +739,40 @@ def _(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.md5(text.leet_fold(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("l05_squash_repeats", "SELECT doc_id, strlen(regexp_replace(text, '[^\\p{L}\\p{Nd}_]', '', 'g')) AS plain FROM documents")
+@query("l05_shadows", "SELECT doc_id, md5(regexp_replace(text, '[^\\p{L}\\p{Nd}_]', '', 'g')) AS plain, md5(array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: NOT (i > 2 AND c[i] = c[i - 1] AND c[i] = c[i - 2])), lambda i: c[i]), '')) AS squashed FROM (SELECT doc_id, text, regexp_extract_all(text, '(?s).') AS c FROM documents)")
 def _(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.octet_length(text.without_punctuation(F.col("text"))).cast("long").alias("plain"))
+    t = F.col("text")
+    return read(spark, sf, "documents").select("doc_id", F.md5(text.without_punctuation(t).cast("binary")).alias("plain"), F.md5(text.squash_repeats(t).cast("binary")).alias("squashed"))
+
 
+_COUNTS_SQL = ", ".join(f"len(regexp_extract_all(text, '\\p{{{x}}}')) AS n{k}" for k, x in enumerate(text.SCRIPTS))
+_MOST_SQL = f"greatest({', '.join(f'n{k}' for k in range(len(text.SCRIPTS)))})"
 
-@query("l09_letters_and_scripts", "SELECT doc_id, len(regexp_extract_all(text, '\\p{L}')) AS letters FROM documents")
+
+@query("l09_scripts_and_languages", f"SELECT doc_id, CASE WHEN {_MOST_SQL} = 0 OR text IS NULL THEN '' " + " ".join(f"WHEN n{k} = {_MOST_SQL} THEN '{x}'" for k, x in enumerate(text.SCRIPTS)) + " END AS script, CASE WHEN letters < 20 OR text IS NULL THEN '' " + " ".join(f"WHEN n{text.SCRIPTS.index(x)} > 0 THEN '{code}'" for x, code in text.LANG_OF_SCRIPT.items()) + f" ELSE '' END AS lang FROM (SELECT doc_id, text, len(regexp_extract_all(text, '\\p{{L}}')) AS letters, {_COUNTS_SQL} FROM documents)")
 def _(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("letters"))
+    script, lang = text.script_and_lang(F.col("text"))
+    return read(spark, sf, "documents").select("doc_id", script.alias("script"), lang.alias("lang"))
 
 
-_WORDS = ("trash", "stupid", "idiot", "scum", "moron")
+_WORDS = ("worthless", "pathetic", "disgusting", "clown", "loser")
 
 
-@query("l12_lemma_hits", f"SELECT doc_id, w AS term, len(regexp_extract_all(' ' || regexp_replace(lower(text), '[^a-z]+', ' ', 'g') || ' ', '[^a-z]' || w || '[^a-z]')) AS hits FROM documents, (SELECT unnest({list(_WORDS)}) AS w) WHERE regexp_matches(lower(text), '(^|[^a-z0-9_à-ÿ])' || w || '([^a-z0-9_à-ÿ]|$)')")
+@query("l12_lemma_hits", f"SELECT doc_id, w AS term, len(regexp_extract_all(' ' || regexp_replace(lower(text), '[^a-z]+', '  ', 'g') || ' ', '[^a-z]' || w || '[^a-z]')) AS hits FROM documents, (SELECT unnest({list(_WORDS)}) AS w) WHERE regexp_matches(lower(text), '(^|[^a-z0-9_à-ÿ])' || w || '([^a-z0-9_à-ÿ]|$)')")
 def _(spark, sf):
-    from tonelake.operators.detector import detect
-    from tonelake.sources.rulepack import Lemma, Pack
-
     pack = Pack(lemmas=[Lemma(w, "generic", 1) for w in _WORDS])
-    d = read(spark, sf, "documents").select("doc_id", F.explode(detect(text.normalize_col(F.col("text"), "off"), pack)).alias("h"))
+    d = read(spark, sf, "documents").select("doc_id", F.explode(detect(text.normalize_col(F.col("text"), "off"), pack, EVERY_HIT)).alias("h"))
     return d.groupBy("doc_id", F.col("h.term").alias("term")).agg(F.count("*").alias("hits"))
 
 
 @query("l22_detected_hits")
 def _(spark, sf):
     """Hits of the small own pack in all documents, in the stored form."""
-    from tonelake.operators.detector import hits
-    from tonelake.sources.rulepack import OWN, from_json
-
     d = read(spark, sf, "documents")
     u = d.select(F.concat(F.lit("00000000-0000-5000-8000-"), F.lpad(F.hex("doc_id"), 12, "0")).alias("id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), (F.col("doc_id") % 5000).cast("int"))).alias("created_at"),
                  F.lit("comment").alias("source"), ids.hid("repo", F.col("source")).alias("repo_hid"), ids.hid("actor", F.col("doc_id") % 100).alias("actor_hid"),
                  F.col("lang").alias("lang_code"), text.normalize_col(F.col("text")).alias("text_normalized"))
-    return _edge(hits(u, from_json([OWN]), 1)).drop("zones", "pre_context", "post_context")
+    return _edge(hits(u, from_json([OWN]), 1, EVERY_HIT)).drop("zones", "pre_context", "post_context")
 
 
 # ---------------------------------------------------------------- further shapes
@@ -769,14 +799,11 @@ def _(spark, sf):
     return r.join(c, "principal_key").select("full_name", "consent_id", "action")
 
 
-@query("f06_optional_by_sentinel", "SELECT '' AS asked, count(*) AS n FROM events UNION ALL SELECT 'click', count(*) FROM events WHERE event_type = 'click'")
+@query("f06_optional_by_sentinel", "SELECT count(*) AS every, count(*) FILTER (event_type = 'click') AS clicks FROM events")
 def _(spark, sf):
-    out = None
-    for asked in ("", "click"):
-        e = read(spark, sf, "events")
-        part = (e.filter(F.col("event_type") == asked) if asked else e).agg(F.lit(asked).alias("asked"), F.count("*").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """An empty text asks for every row."""
+    asked = lambda kind: F.lit(True) if kind == "" else F.col("event_type") == kind
+    return read(spark, sf, "events").agg(F.count_if(asked("")).alias("every"), F.count_if(asked("click")).alias("clicks"))
 
 
 @query("t03_sorted_categories", with_facts("SELECT category, count(*) FILTER (severity = 'strong') AS strong, count(*) AS total FROM crimes GROUP BY 1 ORDER BY strong DESC, category LIMIT 3"))
@@ -784,30 +811,52 @@ def _(spark, sf):
     return agg.severity_pivot(facts.crimes(spark, sf), F.col("category")).select("category", "strong", "total").orderBy(F.desc("strong"), "category").limit(3)
 
 
-@query("l04_fold_spaces", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '\\s*[\\r\\n]\\s*', chr(10), 'g'), '[ \\t\\f\\v]+', ' ', 'g'), ' ' || chr(10))) AS digest FROM documents WHERE NOT regexp_matches(text, '[\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{3000}]')")
+_SPACES_SQL = "\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+
+
+@query("l04_fold_spaces", f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[{_SPACES_SQL}]*[\\r\\n][{_SPACES_SQL}]*', chr(10), 'g'), '[{_SPACES_SQL[5:]}\\t\\x0B-\\r]+', ' ', 'g'), ' ' || chr(10))) AS digest FROM documents")
 def _(spark, sf):
-    d = read(spark, sf, "documents").filter(~F.rlike("text", F.lit("[\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{3000}]")))
-    return d.select("doc_id", F.md5(text.fold_spaces_col(F.col("text")).cast("binary")).alias("digest"))
+    return read(spark, sf, "documents").select("doc_id", F.md5(text.fold_spaces_col(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("l13_word_boundaries", "SELECT doc_id, len(regexp_extract_all(regexp_replace(lower(text), '([^\\p{L}\\p{N}\\p{Mn}\\p{Pc}])', '\\1\\1', 'g'), '(?:^|[^\\p{L}\\p{N}\\p{Mn}\\p{Pc}])(?:trash|scum)(?:$|[^\\p{L}\\p{N}\\p{Mn}\\p{Pc}])')) AS hits FROM documents")
+@query("l13_word_boundaries", "SELECT doc_id, len(regexp_extract_all(regexp_replace(lower(text), '([^\\p{L}\\p{N}\\p{Mn}\\p{Pc}])', '\\1\\1', 'g'), '(?:^|[^\\p{L}\\p{N}\\p{Mn}\\p{Pc}])(?:worthless|clown)(?:$|[^\\p{L}\\p{N}\\p{Mn}\\p{Pc}])')) AS hits FROM documents")
 def _(spark, sf):
-    word = r"[\p{L}\p{N}\p{Mn}\p{Pc}]"
-    return read(spark, sf, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit(rf"(?<!{word})(?:trash|scum)(?!{word})")).cast("long").alias("hits"))
+    """The detector's own word edges, on texts that are only lower-cased."""
+    pack = Pack(lemmas=[Lemma(w, "generic", 1) for w in ("worthless", "clown")])
+    return read(spark, sf, "documents").select("doc_id", F.size(detect(F.lower("text"), pack, EVERY_HIT)).cast("long").alias("hits"))
 
 
-@query("l20_stored_levels", "SELECT i AS level, CASE WHEN i <= 1 THEN 'mild' ELSE 'strong' END AS severity, CASE WHEN i = 0 THEN 'bot_rage' WHEN i = 1 THEN 'generic' WHEN i = 2 THEN 'self_own' ELSE 'generic' END AS category FROM range(4) AS r(i)")
+@query("l20_stored_levels", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 1 THEN 'mild' ELSE 'strong' END AS severity, CASE WHEN l_linenumber % 4 = 0 THEN 'bot_rage' WHEN l_linenumber % 4 = 2 THEN 'self_own' ELSE 'generic' END AS category FROM lineitem")
 def _(spark, sf):
-    names = F.element_at(F.array(F.lit("bot_rage"), F.lit("harassment"), F.lit("self_own"), F.lit("other")), (F.col("id") + 1).cast("int"))
-    return spark.range(4).select(F.col("id").alias("level"), scalars.severity_of(F.col("id")).alias("severity"), scalars.stored_category(names).alias("category"))
+    names = F.element_at(F.array(F.lit("bot_rage"), F.lit("harassment"), F.lit("self_own"), F.lit("other")), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", scalars.severity_of(F.col("l_linenumber")).alias("severity"), scalars.stored_category(names).alias("category"))
 
 
-@query("r04_hour_ledger", "SELECT strftime(x, '%Y-%m-%d %H:%M:%S') AS hour_utc, CASE WHEN hour(x) = 1 THEN 'running' WHEN hour(x) = 2 THEN 'ok' ELSE 'pending' END AS bf_status FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-01 05:00:00', INTERVAL 1 HOUR)) AS x)")
+@query("r04_hour_ledger", "SELECT strftime(x, '%Y-%m-%d %H:%M:%S') AS hour_utc, CASE WHEN n IS NULL THEN 'pending' WHEN n % 3 = 0 THEN 'ok' ELSE 'running' END AS bf_status FROM (SELECT unnest(generate_series(date_trunc('hour', (SELECT min(ts) FROM events)), date_trunc('hour', (SELECT max(ts) FROM events)), INTERVAL 1 HOUR)) AS x) LEFT JOIN (SELECT date_trunc('hour', ts) AS x, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) USING (x)")
 def _(spark, sf):
-    from tonelake.operators import ledger
+    """Hours with errors are under way; of these, those with a number of errors that three divides get done."""
+    e = read(spark, sf, "events").select(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour_utc"), "event_type")
+    first, last = e.agg(F.min("hour_utc").cast("string"), F.max("hour_utc").cast("string")).first()
+    known = e.filter("event_type = 'error'").groupBy("hour_utc").agg(F.count("*").alias("n"))
+    full = ledger.seed(spark, known.select("hour_utc", F.lit("pending").alias("bf_status"), F.lit("pending").alias("ns_status")), first, last)
+    under_way = ledger.advance(full, known.select("hour_utc", F.lit("running").alias("bf_status")), "bf_status")
+    # hours that aren't under way can't be done
+    done = ledger.advance(under_way, full.join(known, "hour_utc", "left").filter("coalesce(n, 0) % 3 = 0").select("hour_utc", F.lit("ok").alias("bf_status")), "bf_status")
+    return _edge(done.select("hour_utc", "bf_status"))
 
-    at = lambda h: datetime(2024, 1, 1, h)
-    known = spark.createDataFrame([(at(1), "pending", "pending"), (at(2), "running", "pending")], "hour_utc timestamp, bf_status string, ns_status string")
-    full = ledger.seed(spark, known, "2024-01-01 00:00:00", "2024-01-01 05:00:00")
-    changes = spark.createDataFrame([(at(1), "running"), (at(2), "ok"), (at(3), "ok")], "hour_utc timestamp, bf_status string")  # the third is not allowed
-    return _edge(ledger.advance(full, changes, "bf_status").select("hour_utc", "bf_status"))
+
+@query("s11_compacted_facts", with_facts("SELECT strftime(bucket_hour, '%Y-%m-%d %H:%M:%S') AS bucket_hour, detver, count(*) AS facts, CAST(sum(text_len) AS BIGINT) AS text_sum, CAST(sum(hit_id % 50 + 5) AS BIGINT) AS ends, CAST(sum(hit_id % 9) AS BIGINT) AS distances, count(*) FILTER (target_type <> 'none') AS aimed, max('<' || term) AS before_term, max(term || '>') AS after_term FROM crimes WHERE detver = 2 GROUP BY 1, 2"))
+def _(spark, sf):
+    """Facts as `compact.wide_facts` joins them, from raw hits with all columns, some of them stored twice."""
+    c = facts.crimes(spark, sf)
+    h = c.select(
+        F.col("hit_id").alias("id"), "utterance_id", "created_at", "source", "repo_hid", "actor_hid", "lang_code", "term", "category", "severity", F.lit("none").alias("ctx_action"),
+        "target_type", F.lit("t").alias("target_id"), F.lit("T").alias("target_name"), (F.col("hit_id") % 50).cast("int").alias("target_span_start"), (F.col("hit_id") % 50 + 5).cast("int").alias("target_span_end"),
+        (F.col("hit_id") % 9).cast("int").alias("target_distance"), F.lit(0).alias("span_start"), F.lit(3).alias("span_end"), F.col("detver").alias("detector_version"), F.lit("lemma").alias("detector_source"),
+        F.concat(F.lit("<"), "term").alias("pre_context"), F.concat("term", F.lit(">")).alias("post_context"), F.array().cast("array<string>").alias("zones"), F.lit(1).alias("ingest_batch_id"), F.lit(2).alias("ver"))
+    u = facts.utterances(spark, sf).select("*", F.lit("x").alias("source_detail"), F.lit(None).cast("smallint").alias("lang_confidence"), F.lit(1).alias("ingest_batch_id"), F.lit(1).alias("ver"))
+    raw = h.unionByName(h.filter("id % 4 = 0").withColumns({"ver": F.lit(1), "term": F.lit("old")}))
+    wide = compact.wide_facts(compact.newest(raw, ["id"]), compact.newest(u, ["id"]), 2)
+    return _edge(wide.groupBy("bucket_hour", "detver").agg(
+        F.count("*").alias("facts"), F.sum("text_len").cast("long").alias("text_sum"), F.sum("target_span_end").cast("long").alias("ends"), F.sum("target_distance").cast("long").alias("distances"),
+        F.count_if(F.col("target_type") != "none").alias("aimed"), F.max("pre_context").alias("before_term"), F.max("post_context").alias("after_term")))

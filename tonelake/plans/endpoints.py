@@ -232,14 +232,33 @@ def crosstab_repo_actor(crimes: DataFrame, scope: Scope) -> DataFrame:
     return hits_in(crimes, scope).groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day"), hid_hex(F.col("repo_hid")).alias("repo"), hid_hex(F.col("actor_hid")).alias("actor")).agg(F.count("*").alias("hits"))
 
 
-def samples_masked(crimes: DataFrame, utterances: DataFrame, text: str = "text_raw", n: int = 50) -> DataFrame:
-    """The latest utterances with hits, each with its hit spans, and the spans' characters hidden in the text."""
+def clamped(limit: int, usual: int, most: int | None = None) -> int:
+    """A page size: the usual one where none, or one beyond the most, is asked for."""
+    return usual if limit <= 0 or most is not None and limit > most else limit
+
+
+def samples_masked(crimes: DataFrame, utterances: DataFrame, text: str = "text_normalized", limit: int = 50) -> DataFrame:
+    """The latest utterances with hits, each with its hits, and the hits' spans hidden in the text.
+
+    Spans count bytes of the normalized text, and each hidden byte gives one asterisk."""
     spans = crimes.groupBy("utterance_id").agg(
-        F.max("created_at").alias("created_at"), F.array_sort(F.collect_set(F.struct("span_start", "span_end", "term"))).alias("hits"))
-    latest = spans.orderBy(F.desc("created_at"), F.asc("utterance_id")).limit(n)
-    joined = utterances.select(F.col("id").alias("utterance_id"), F.col(text).alias("text")).join(F.broadcast(latest), "utterance_id")
-    hidden = F.aggregate("hits", F.col("text"), lambda t, h: F.overlay(t, F.repeat(F.lit("*"), h["span_end"] - h["span_start"]), h["span_start"] + 1, h["span_end"] - h["span_start"]))
-    return joined.select("utterance_id", "created_at", "hits", hidden.alias("masked"))
+        F.max("created_at").alias("created_at"), F.array_sort(F.collect_set(F.struct("span_start", "span_end", "term", "severity"))).alias("hits"))
+    latest = spans.orderBy(F.desc("created_at"), F.asc("utterance_id")).limit(clamped(limit, 50, 200))
+    joined = utterances.select(F.col("id").alias("utterance_id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(latest), "utterance_id")
+
+    def hide(t: Column, h: Column) -> Column:
+        size = (h["span_end"] - h["span_start"]).cast("int")
+        return F.overlay(t, F.repeat(F.lit("*"), size).cast("binary"), (h["span_start"] + 1).cast("int"), size)
+
+    return joined.select("utterance_id", "created_at", "hits", F.aggregate("hits", F.col("text"), hide).cast("string").alias("masked"))
+
+
+def samples_latest(crimes: DataFrame, utterances: DataFrame, limit: int = 50) -> DataFrame:
+    """The latest hits with their texts.  Hits are ranked by their ids alone; only the texts of the page are fetched."""
+    there = crimes.join(utterances.select(F.col("id").alias("utterance_id")), "utterance_id", "left_semi")
+    page = there.orderBy(F.desc("created_at"), "hit_id").limit(clamped(limit, 50, 200))
+    texts = utterances.select(F.col("id").alias("utterance_id"), "text_raw")
+    return texts.join(F.broadcast(page), "utterance_id").select("created_at", "hit_id", "term", "text_raw")
 
 
 def stats_by_lang(crimes: DataFrame, utterances: DataFrame, least_rank: int) -> DataFrame:
@@ -263,7 +282,7 @@ def list_samples(crimes: DataFrame, scope: Scope, after: tuple | None = None, li
     if after:
         at = F.lit(after[0]).cast("timestamp")
         df = df.filter((F.col("created_at") > at) | (F.col("created_at") == at) & (F.col("hit_id") > after[1]))
-    return df.orderBy("created_at", "hit_id").limit(limit)
+    return df.orderBy("created_at", "hit_id").limit(clamped(limit, 100))
 
 
 def birds_eye(daily: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Declared schemas of the fact and control tables, as DDL, and their value sets."""
+"""The value sets of enumerated columns."""
 
 from __future__ import annotations
 
@@ -9,30 +9,3 @@ SEVERITIES = ("mild", "strong", "slur_masked")
 CTX_ACTIONS = ("none", "upgraded", "downgraded")
 TARGET_TYPES = ("none", "bot", "tool", "lang", "framework")
 DETECTOR_SOURCES = ("template", "lemma")
-
-UTTERANCES = (
-    "id string, event_type string, repo_hid binary, actor_hid binary, hid_key_version smallint, created_at timestamp, "
-    "source string, source_detail string, ordinal int, text_raw string, text_normalized string, lang_code string, "
-    "lang_confidence smallint, lang_reliable boolean, sentiment_score float, ingest_batch_id bigint, ver bigint"
-)
-HITS = (
-    "id string, utterance_id string, created_at timestamp, source string, repo_hid binary, actor_hid binary, lang_code string, "
-    "term string, category string, severity string, ctx_action string, target_type string, target_id string, target_name string, "
-    "target_span_start int, target_span_end int, target_distance int, span_start int, span_end int, detector_version int, "
-    "detector_source string, pre_context string, post_context string, zones array<string>, ingest_batch_id bigint, ver bigint"
-)
-CRIMES = (
-    "created_at timestamp, bucket_hour timestamp, detver int, hit_id string, utterance_id string, repo_hid binary, actor_hid binary, "
-    "source string, source_detail string, lang_code string, lang_confidence smallint, lang_reliable boolean, sentiment_score float, "
-    "text_len int, term_id bigint, term string, category string, severity string, ctx_action string, target_type string, "
-    "target_id string, target_name string, span_start int, span_end int, detector_source string, zones array<string>"
-)
-HOUR_STATES = (
-    "bucket_hour timestamp, repo_hid binary, actor_hid binary, source string, lang_code string, lang_reliable boolean, u_sketch binary, "
-    "cnt bigint, text_sum bigint, text_q binary, sent_cnt bigint, sent_sum double, sent_q binary, min_at timestamp, max_at timestamp"
-)
-RECEIPTS = (
-    "consent_id string, principal string, principal_hid binary, action string, scope array<string>, evidence_kind string, "
-    "evidence_url string, evidence_fingerprint string, created_at timestamp, last_verified_at timestamp, revoked_at timestamp, state string"
-)
-LEDGER = "hour_utc timestamp, bf_status string, ns_status string, events bigint, bytes bigint, utterances bigint, hits bigint"

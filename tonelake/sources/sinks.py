@@ -6,7 +6,7 @@ a second run of the same input repeats without effect.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,19 @@ def overwrite_slices(df: DataFrame, path: str, *partitions: str, sort: tuple[str
      .partitionBy(*partitions).parquet(path))
 
 
+def slices(spark: SparkSession, path: str) -> dict[str, str]:
+    """The partition folders right below a table's path, by their value."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return {n.split("=", 1)[1]: f"{path}/{n}" for n in names if "=" in n}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def insert_if_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """target and those rows whose key it lacks; of rows with equal keys one is taken."""
     return target.unionByName(rows.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti"))

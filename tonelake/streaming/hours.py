@@ -1,8 +1,8 @@
 """The hourly pipeline as a stream over archive files.
 
-Each micro-batch handles the files that are new since the last: lines become utterances, utterances hits, and the
-touched hours of the facts are replaced, so a batch that is run again after a failure leaves the same tables.  A
-ledger row per batch says what it held.
+Each micro-batch handles the files that are new since the last: lines become utterances, the stored utterances hits, and
+the facts and states of the touched hours are made anew from all that is stored of these hours, so a batch that is run
+again after a failure leaves the same tables.  A ledger row per batch says what it held.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tonelake.operators.detector import hits
 from tonelake.operators.extract import utterances
+from tonelake.plans import compact
+from tonelake.plans.compact import hour_of
 from tonelake.sources.archive import envelopes, parsed
 from tonelake.sources.rulepack import Pack
 from tonelake.sources.sinks import append
@@ -25,23 +27,26 @@ def stream_lines(spark: SparkSession, folder: str, files_per_batch: int = 24) ->
             .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")))
 
 
-def process(lines: DataFrame, pack: Pack, detver: int, batch_id: int) -> tuple[DataFrame, DataFrame]:
-    """Utterances and hits of a batch; the same functions as in a batch run."""
-    u = utterances(envelopes(parsed(lines, "skip")), batch_id)
-    return u, hits(u, pack, detver)
-
-
 def start(spark: SparkSession, folder: str, out: str, checkpoint: str, pack: Pack, detver: int = 1, files_per_batch: int = 24):
     """Handle all files that are there and end; a later start goes on from the checkpoint."""
+    def store(df: DataFrame, name: str, batch_id: int, *partitions: str) -> None:
+        df = df.withColumn("batch", F.lit(batch_id))
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batch").parquet(f"{out}/{name}")
+
     def batch(df: DataFrame, batch_id: int) -> None:
-        u, h = process(df, pack, detver, batch_id)
-        # rows of an hour come in one file, hence in one batch: replacing the batch's slice is enough to repeat it
-        u = u.withColumn("batch", F.lit(batch_id))
-        h = h.withColumn("batch", F.lit(batch_id))
-        for part, name in ((u, "utterances"), (h, "hits")):
-            part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/{name}")
-        ledger = df.groupBy("file").agg(F.count("*").alias("events"), F.sum(F.octet_length("line") + 1).alias("bytes")).withColumn("batch", F.lit(batch_id)).withColumn("status", F.lit("ok"))
-        ledger.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/ledger")
+        u = utterances(envelopes(parsed(df, "skip")), batch_id)
+        store(u.withColumn("hour", hour_of(F.col("created_at"))), "utterances", batch_id, "hour")
+        every = spark.read.parquet(f"{out}/utterances")
+        own = every.filter(F.col("batch") == batch_id)
+        touched = sorted(r.hour for r in own.select("hour").distinct().collect())
+        if touched:
+            found = hits(own, pack, detver)
+            store(found.withColumn("hour", hour_of(F.col("created_at"))), "hits", batch_id, "hour")
+            of_hours = F.col("hour").isin(*touched)
+            raw = spark.read.schema(found.withColumn("hour", F.lit("")).withColumn("batch", F.lit(0)).schema).parquet(f"{out}/hits")
+            compact.run(raw.filter(of_hours).drop("hour", "batch"), every.filter(of_hours).drop("hour", "batch"), out, detver)
+        ledger = df.groupBy("file").agg(F.count("*").alias("events"), F.sum(F.octet_length("line") + 1).alias("bytes")).withColumn("status", F.lit("ok"))
+        store(ledger, "ledger", batch_id)
 
     return (stream_lines(spark, folder, files_per_batch).writeStream.foreachBatch(batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
