@@ -209,10 +209,14 @@ def single_spaced(text: Column) -> Column:
 
 
 def shingle_set(words: Column, size: int) -> Column:
-    """The hashes of the distinct shingles of a text that is given as words with single spaces between them."""
+    """The hashes of the distinct shingles of a text that is given as words with single spaces between them.
+
+    The list of words is laid beside itself, shifted by one place each time, so a text takes time in proportion to its length.
+    """
     w = F.split(words, " ")
-    rows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, size))))
-    return F.when(words == "", F.array().cast("array<long>")).otherwise(F.array_distinct(rows))
+    n = F.greatest(F.size(w) - (size - 1), F.lit(1))
+    rows = F.arrays_zip(*[F.slice(w, k + 1, n).alias(f"w{k}") for k in range(size)])
+    return F.when(words == "", F.array().cast("array<long>")).otherwise(F.array_distinct(F.transform(rows, lambda shingle: F.xxhash64(shingle))))
 
 
 def near_copies(docs: DataFrame, width: int = 2, radius: int = 6, words: int = 5, similarity: float = 0.8, block: int = 2048,
