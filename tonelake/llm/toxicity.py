@@ -10,8 +10,8 @@ score is a logistic function of its largest ratio and of the sum over all its wi
 Windows of 32 to 128 bytes of running text were tried first; with one toxic word in about sixty their lengths say too
 little (the README has the figures), so a window ends where its word ends.
 
-Dictionaries, ratios and the logistic function are each fitted on documents that the step before didn't see: the sample
-is halved, either half's dictionaries measure the other half, and the final dictionaries are trained on both.
+Ratios and the logistic function are fitted on documents that the step before didn't see: the sample is cut into `folds`
+parts, each part is measured by dictionaries of the others, and the final dictionaries are trained on all.
 
 Fitting runs on the driver over a sample bounded by `per_class` and `max_bytes`; scoring covers every whole text.
 The sample may hold another share of either class than the training labels, so at every size the logarithm of the odds
@@ -140,32 +140,34 @@ def _ratios(cells: list[tuple[Counter, int]]) -> dict[tuple[int, int, int], floa
     return {c: math.log((k + 0.05) / n[1]) - math.log((seen[0][c] + 0.5) / n[0]) for c, k in seen[1].items()}
 
 
-def fit(rows: list[tuple[str, int]], toxic_size: int = 8192, ordinary_size: int = 112_640, least_evidence: float = 8.0, shift: float = 0.0) -> Model:
+def fit(rows: list[tuple[str, int]], toxic_size: int = 8192, ordinary_size: int = 112_640, least_evidence: float = 8.0, folds: int = 4, shift: float = 0.0) -> Model:
     """least_evidence: the G statistic from which a toxic window is a sample of the toxic dictionary.
     shift: added to the fitted constant."""
     distinct = list(dict(rows).items())
     random.Random(11).shuffle(distinct)
     if len({y for _, y in distinct}) < 2:
         return Model()
-    halves = [distinct[0::2], distinct[1::2]]
-    if any(len({y for _, y in h}) < 2 for h in halves):
-        halves = [distinct, distinct]
+    parts = [distinct[k::folds] for k in range(folds)]
+    others = [[row for j, part in enumerate(parts) if j != k for row in part] for k in range(folds)]
+    if any(len({y for _, y in rest}) < 2 for rest in others):
+        parts, others = [distinct], [distinct]
     measured = []
-    for own, other in (halves, halves[::-1]):
-        scorer = Scorer(_train(other, ordinary_size, toxic_size, least_evidence))
+    for own, rest in zip(parts, others, strict=True):
+        scorer = Scorer(_train(rest, ordinary_size, toxic_size, least_evidence))
         cell = {w: scorer.cell(w) for w in sorted(set().union(*(_windows(t) for t, _ in own)))}
         measured.append([(Counter(cell[w] for w in _windows(t)), y) for t, y in own])
     x, y = [], []
-    for own, ratio in ((measured[0], _ratios(measured[1])), (measured[1], _ratios(measured[0]))):
-        x += [(1.0, *features(r for c, k in cells.items() for r in [ratio.get(c, 0.0)] * k)) for cells, _ in own]
-        y += [k for _, k in own]
+    for k, own in enumerate(measured):
+        ratio = _ratios([row for j, part in enumerate(measured) if j != k or len(measured) == 1 for row in part])
+        x += [(1.0, *features(r for c, n in cells.items() for r in [ratio.get(c, 0.0)] * n)) for cells, _ in own]
+        y += [label for _, label in own]
     x, y, w = np.array(x), np.array(y, float), np.zeros(3)
     for _ in range(30):  # Newton steps of a logistic regression with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + 0.05 * w
         w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), grad)
     model = _train(distinct, ordinary_size, toxic_size, least_evidence)
-    model.ratio = _ratios(measured[0] + measured[1])
+    model.ratio = _ratios([row for part in measured for row in part])
     model.weights = (float(w[0]) + shift, float(w[1]), float(w[2]))
     return model
 
