@@ -43,6 +43,8 @@ def byte_level(path: str):
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     rest = [b for b in range(256) if b not in set(own)]
     byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+    if any(t.get(flag) for t in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take in neighbouring characters are not supported")
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(byte[c] for c in p): i for p, i in spec["model"]["vocab"].items() if p not in special}
     return tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
