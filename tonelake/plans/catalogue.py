@@ -20,6 +20,7 @@ from tonelake.operators import consent, joins, ledger
 from tonelake.operators.detector import Options, detect, hits
 from tonelake.operators.scope import Scope, hits_in, predicate
 from tonelake.plans import compact, endpoints, views
+from tonelake.session import spread
 from tonelake.sources import facts, sinks
 from tonelake.sources.facts import read, with_facts
 from tonelake.sources.rulepack import OWN, Lemma, Pack, from_json
@@ -761,14 +762,14 @@ _WORDS = ("worthless", "pathetic", "disgusting", "clown", "loser")
 @query("l12_lemma_hits", f"SELECT doc_id, w AS term, len(regexp_extract_all(' ' || regexp_replace(lower(text), '[^a-z]+', '  ', 'g') || ' ', '[^a-z]' || w || '[^a-z]')) AS hits FROM documents, (SELECT unnest({list(_WORDS)}) AS w) WHERE regexp_matches(lower(text), '(^|[^a-z0-9_à-ÿ])' || w || '([^a-z0-9_à-ÿ]|$)')")
 def _(spark, sf):
     pack = Pack(lemmas=[Lemma(w, "generic", 1) for w in _WORDS])
-    d = read(spark, sf, "documents").select("doc_id", F.explode(detect(text.normalize_col(F.col("text"), "off"), pack, EVERY_HIT)).alias("h"))
+    d = spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(detect(text.normalize_col(F.col("text"), "off"), pack, EVERY_HIT)).alias("h"))
     return d.groupBy("doc_id", F.col("h.term").alias("term")).agg(F.count("*").alias("hits"))
 
 
 @query("l22_detected_hits")
 def _(spark, sf):
     """Hits of the small own pack in all documents, in the stored form."""
-    d = read(spark, sf, "documents")
+    d = spread(read(spark, sf, "documents"))
     u = d.select(F.concat(F.lit("00000000-0000-5000-8000-"), F.lpad(F.hex("doc_id"), 12, "0")).alias("id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), (F.col("doc_id") % 5000).cast("int"))).alias("created_at"),
                  F.lit("comment").alias("source"), ids.hid("repo", F.col("source")).alias("repo_hid"), ids.hid("actor", F.col("doc_id") % 100).alias("actor_hid"),
                  F.col("lang").alias("lang_code"), text.normalize_col(F.col("text")).alias("text_normalized"))

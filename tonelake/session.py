@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,3 +19,10 @@ def session(app: str = "tonelake", **extra: str) -> SparkSession:
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in extra.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, for work in Python on an input of fewer splits (a file of one row
+    group, say); an input that has enough is left as it is, so nothing that is large is shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
