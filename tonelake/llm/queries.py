@@ -10,12 +10,17 @@ from tonelake.llm import (
     decontaminate, embedding_dedup, license_scan, packing, quality, resharding, sentencepiece_codec, simhash_dedup, token_counts, toxicity,
 )
 from tonelake.llm.common import table, train_fold
+from tonelake.session import spread
 
 TOXIC_FROM, QUALITY_FROM = 0.5, 0.3
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_codec.encode_report(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +29,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +41,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
+    found = simhash_dedup.near_duplicates(documents(spark, sf_dir), width=4, radius=4)
     return found.select("doc_id", simhash_dedup.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -53,13 +58,13 @@ def _scored(docs: DataFrame, score, cut: float) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return _scored(docs, toxicity.score(spark, model, F.col("text")), TOXIC_FROM)
+    return _scored(spread(docs), toxicity.score(spark, model, F.col("text")), TOXIC_FROM)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return _scored(docs, quality.score(spark, machine, F.col("text")), QUALITY_FROM)
+    return _scored(spread(docs), quality.score(spark, machine, F.col("text")), QUALITY_FROM)
 
 
 def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
