@@ -861,3 +861,54 @@ def _(spark, sf):
     return _edge(wide.groupBy("bucket_hour", "detver").agg(
         F.count("*").alias("facts"), F.sum("text_len").cast("long").alias("text_sum"), F.sum("target_span_end").cast("long").alias("ends"), F.sum("target_distance").cast("long").alias("distances"),
         F.count_if(F.col("target_type") != "none").alias("aimed"), F.max("pre_context").alias("before_term"), F.max("post_context").alias("after_term")))
+
+
+# Texts that each show a rule of the detector, and the hit that each has: term, category, level, action, target, zones, start.
+_SHOWN = (
+    ("clown", ("clown", "harassment", 1, "none", "none", "", 0)),
+    ("a `flumdrub` b", ("flumdrub", "harassment", 1, "none", "none", "code_inline", 3)),
+    ("soup of plimsol", ("soup of plimsol", "lang_rage", 2, "none", "lang", "", 0)),
+    ("soup of nothing", ("soup of nothing", "generic", 2, "downgraded", "none", "", 0)),
+    ("crumbled again, stitchet", ("crumbled again", "tooling_rage", 1, "upgraded", "tool", "", 0)),
+    ("snorgle", None),  # on the stop list
+    ("zibbo helper fell asleep", ("zibbo helper fell asleep", "bot_rage", 2, "none", "bot", "", 0)),
+    ("é clownish clown_ clown", ("clown", "harassment", 1, "none", "none", "", 19)),
+    ("> worthless", ("worthless", "generic", 1, "none", "none", "quote", 2)),
+)
+_SHOWN_SQL = ", ".join(str((k, *h)) for k, (_, h) in enumerate(_SHOWN) if h)
+
+
+@query("l15_rules_of_the_detector", f"SELECT event_id, term, category, CAST(level AS INT) AS level, ctx_action, target_type, zones, CAST(span_start AS INT) AS span_start FROM events JOIN (VALUES {_SHOWN_SQL}) AS h(k, term, category, level, ctx_action, target_type, zones, span_start) ON event_id % {len(_SHOWN)} = k")
+def _(spark, sf):
+    shown = F.element_at(F.array(*[F.lit(t) for t, _ in _SHOWN]), (F.col("event_id") % len(_SHOWN) + 1).cast("int"))
+    e = read(spark, sf, "events").select("event_id", F.explode(detect(shown, from_json([OWN]), EVERY_HIT)).alias("h"))
+    return e.select("event_id", "h.term", "h.category", "h.level", "h.ctx_action", "h.target_type", F.array_join("h.zones", ",").alias("zones"), "h.span_start")
+
+
+# The payload of each kind of event, and the utterances that it makes; %s stands for the event's number.
+_PAYLOADS = {
+    "click": ("PushEvent", '{"commits":[{"sha":"a","message":"first %s"},{"sha":"b","message":"  "},{"sha":"c","message":"third %s"}]}', (("commit", "push:commit", 1, "first "), ("commit", "push:commit", 2, "third "))),
+    "error": ("IssuesEvent", '{"issue":{"title":"title %s","body":null}}', (("issue", "issues:title", 1, "title "),)),
+    "purchase": ("IssueCommentEvent", '{"issue":{"title":"about %s"},"comment":{"body":" said %s "}}', (("issue", "issue_comment:title", 1, "about "), ("issue", "issue_comment:body", 1, "said "))),
+    "signup": ("PullRequestEvent", '{"pull_request":{"title":"ask %s"}}', (("pr", "pr:title", 1, "ask "),)),
+}
+_PIECES_SQL = ", ".join(str((kind, name, *piece)) for kind, (name, _, own) in _PAYLOADS.items() for piece in own)
+
+
+@query("s04_utterances_of_archive_lines", f"SELECT event_id, name AS event_type, source, source_detail, CAST(ordinal AS INT) AS ordinal, t || event_id AS text_raw, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at, CAST(1 AS BIGINT) AS ver, FALSE AS lang_reliable FROM events JOIN (VALUES {_PIECES_SQL}) AS p(event_type, name, source, source_detail, ordinal, t) USING (event_type) WHERE event_id % 50 <> 0 AND event_id % 49 <> 0")
+def _(spark, sf):
+    """Lines as an archive has them, some broken off and some without a repository, through reader and flattening."""
+    from tonelake.operators.extract import utterances
+    from tonelake.sources.archive import envelopes, parsed
+
+    number = F.col("event_id").cast("string")
+    name, payload = F.lit("WatchEvent"), F.lit("{}")
+    for kind, (event, own, _) in _PAYLOADS.items():
+        name = F.when(F.col("event_type") == kind, event).otherwise(name)
+        payload = F.when(F.col("event_type") == kind, F.replace(F.lit(own), F.lit("%s"), number)).otherwise(payload)
+    repo = F.when(F.col("event_id") % 49 == 0, "{}").otherwise(F.format_string('{"id":%d,"name":"Own/R%d"}', F.col("user_id") % 20 + 1, F.col("user_id") % 20 + 1))
+    line = F.format_string('{"type":"%s","public":true,"created_at":"%s","actor":{"id":%d,"login":"u"},"repo":%s,"payload":%s}',
+                           name, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col("user_id") + 1, repo, payload)
+    lines = read(spark, sf, "events").select(F.when(F.col("event_id") % 50 == 0, F.substring(line, 1, 40)).otherwise(line).alias("line"))
+    u = utterances(envelopes(parsed(lines, "skip")))
+    return _edge(u.select(F.regexp_extract("text_raw", r"(\d+)$", 1).cast("long").alias("event_id"), "event_type", "source", "source_detail", "ordinal", "text_raw", "created_at", "ver", "lang_reliable"))
