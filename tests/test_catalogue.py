@@ -77,3 +77,12 @@ def test_parts_of_the_yearly_answer(spark):
     assert set(every) == {"monthly", "seasonality", "mix", "detver_markers", "year_over_year"}
     some = endpoints.yearly_trends(c, n, 2023, 2024, include=("mix", "detver_markers"))
     assert set(some) == {"mix", "detver_markers"} and sorted(some["mix"].collect()) == sorted(every["mix"].collect())
+
+
+def test_spread(spark):
+    from tonelake.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    few, many = spark.range(100).coalesce(1), spark.range(0, 100, 1, cores + 3)
+    assert spread(few).rdd.getNumPartitions() == cores and spread(few).count() == 100
+    assert spread(many) is many
