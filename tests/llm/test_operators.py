@@ -390,12 +390,17 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_masks_cover():
-    masks = simhash_dedup.covering_masks(4)
+@pytest.mark.parametrize("radius", [1, 4, 5, 6])
+def test_masks_cover(radius):
+    """Any so many positions are outside a mask, and each mask keeps enough bits."""
+    masks = simhash_dedup.covering_masks(radius)
     rng = random.Random(1)
+    assert len(masks) == 2 ** (radius + 1) - 1 and min(m.bit_count() for m in masks) >= 32
     for _ in range(3000):
-        bits = sum(1 << b for b in rng.sample(range(64), 4))
+        bits = sum(1 << b for b in rng.sample(range(64), radius))
         assert any(not m & bits for m in masks)
+    with pytest.raises(ValueError):
+        simhash_dedup.covering_masks(7)
 
 
 @pytest.mark.parametrize("block", [2048, 5])

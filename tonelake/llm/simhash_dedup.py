@@ -79,9 +79,15 @@ def _marks(text: Column, width: int, size: int) -> Column:
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
-    """2^(radius+1) - 1 masks; any `radius` positions are all outside one of them at least."""
+    """2^(radius+1) - 1 masks; any `radius` positions are all outside one of them at least.
+
+    Up to radius 5 the vectors are dealt to the positions in turn.  At radius 6 there are more vectors than positions;
+    those with the highest bit set are taken, so that every mask keeps 32 of 64 bits at least and no bucket is large by rule.
+    """
     vectors = (1 << (radius + 1)) - 1
-    of_bit = [1 + k % vectors for k in range(bits)]
+    if vectors > 2 * bits:
+        raise ValueError("more masks than twice the bits would leave some of them too few bits")
+    of_bit = [1 + k % vectors for k in range(bits)] if vectors <= bits else [(1 << radius) + k for k in range(bits)]
     return [sum(1 << k for k in range(bits) if (of_bit[k] & v).bit_count() & 1) for v in range(1, vectors + 1)]
 
 
@@ -114,23 +120,22 @@ def _units(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], settle)
         yield from settle(held[0], np.zeros(1, np.int64))
 
 
-def _compare(radius: int, masks: list[int]):
-    tables = np.array(masks, np.uint64)
+def _first_shared(masks: list[int], x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Whether no table before t has the pair of fingerprints in one bucket."""
+    differ, first = (x ^ y).view(np.uint64), np.ones(len(x), bool)
+    for k in range(int(t.max(initial=0))):
+        first &= (t <= k) | (differ & np.uint64(masks[k]) != 0)
+    return first
 
-    def first_shared(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Whether no table before t has the pair in one bucket."""
-        differ, first = (x ^ y).view(np.uint64), np.ones(len(x), bool)
-        for k in range(int(t.max(initial=0))):
-            first &= (t <= k) | (differ & tables[k] != 0)
-        return first
 
+def _compare(radius: int, masks: list[int]):
     def settle(rows: np.ndarray, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
         size, us, vs = np.diff(np.append(edge, len(rows))), [], []
         pairs = edge[size == 2]  # most units hold two classes: all at once
         if len(pairs):
             x, y = rows[pairs, 4], rows[pairs + 1, 4]
             near = (np.bitwise_count((x ^ y).view(np.uint64)) <= radius) & ((rows[pairs, 1] == rows[pairs, 2]) | (rows[pairs, 3] != rows[pairs + 1, 3]))
-            near[near] = first_shared(x[near], y[near], rows[pairs, 5][near])
+            near[near] = _first_shared(masks, x[near], y[near], rows[pairs, 5][near])
             us.append(x[near]), vs.append(y[near])
         for s, n in zip(edge[size > 2], size[size > 2], strict=True):
             fp, part, a, b, t = np.ascontiguousarray(rows[s : s + n, 4]), rows[s : s + n, 3], rows[s, 1], rows[s, 2], rows[s, 5]
@@ -143,7 +148,7 @@ def _compare(radius: int, masks: list[int]):
                 i, j = i[i != j], j[i != j]
                 used = hook(root, i, j)
                 i, j = i[used], j[used]
-                first = first_shared(fp[i], fp[j], np.full(len(i), t))
+                first = _first_shared(masks, fp[i], fp[j], np.full(len(i), t))
                 us.append(fp[i[first]]), vs.append(fp[j[first]])
         if sum(map(len, us)):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
@@ -173,34 +178,41 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _propose(radius: int, similarity: float):
-    def distance(fp_x, fp_y, n_x, n_y):
-        """The differing bits, or 65 where the numbers of shingles alone keep the similarity below the threshold."""
-        return np.where(np.minimum(n_x, n_y) >= similarity * np.maximum(n_x, n_y), np.bitwise_count((fp_x ^ fp_y).view(np.uint64)), 65)
+def _propose(radius: int, similarity: float, masks: list[int]):
+    def told(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of rows those of like numbers of shingles that share no bucket of an earlier table."""
+        alike = np.minimum(x[:, 5], y[:, 5]) >= similarity * np.maximum(x[:, 5], y[:, 5])
+        x, y = x[alike], y[alike]
+        first = _first_shared(masks, np.ascontiguousarray(x[:, 4]), np.ascontiguousarray(y[:, 4]), x[:, 7])
+        return np.minimum(x[first, 6], y[first, 6]), np.maximum(x[first, 6], y[first, 6])
 
     def settle(rows: np.ndarray, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
-        size, us, vs = np.diff(np.append(edge, len(rows))), [], []
+        size, found = np.diff(np.append(edge, len(rows))), []
         pairs = edge[size == 2]
         if len(pairs):
             x, y = rows[pairs], rows[pairs + 1]
-            near = (distance(np.ascontiguousarray(x[:, 4]), np.ascontiguousarray(y[:, 4]), x[:, 5], y[:, 5]) <= radius) & ((x[:, 1] == x[:, 2]) | (x[:, 3] != y[:, 3]))
-            us.append(np.minimum(x[near, 6], y[near, 6])), vs.append(np.maximum(x[near, 6], y[near, 6]))
+            near = (np.bitwise_count((x[:, 4] ^ y[:, 4]).view(np.uint64)) <= radius) & ((x[:, 1] == x[:, 2]) | (x[:, 3] != y[:, 3]))
+            found.append(told(x[near], y[near]))
         for s, n in zip(edge[size > 2], size[size > 2], strict=True):
             unit = rows[s : s + n][np.argsort(rows[s : s + n, 6], kind="stable")]
-            fp, count, item, part, a, b = np.ascontiguousarray(unit[:, 4]), unit[:, 5], unit[:, 6], unit[:, 3], unit[0, 1], unit[0, 2]
+            fp, part, a, b = np.ascontiguousarray(unit[:, 4]).view(np.uint64), unit[:, 3], unit[0, 1], unit[0, 2]
             for left, right in {(a, b), (b, a)}:  # each item of the left part with the nearest item before it of the right part
                 one, two = np.flatnonzero(part == left), np.flatnonzero(part == right)
                 step = max(1, 2_000_000 // max(len(two), 1))
                 for at in range(0, len(one) if len(two) else 0, step):
-                    some = one[at : at + step, None]
-                    bits = np.where(two[None, :] < some, distance(fp[some], fp[two][None, :], count[some], count[two][None, :]), 65)
-                    nearest = bits.argmin(1)
-                    hit = bits[np.arange(len(bits)), nearest] <= radius
-                    us.append(item[two[nearest[hit]]]), vs.append(item[some[hit, 0]])
-        if sum(map(len, us)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+                    some = one[at : at + step]
+                    before = two[: np.searchsorted(two, some[-1])]
+                    if len(before):
+                        bits = np.bitwise_count(fp[some][:, None] ^ fp[before][None, :])
+                        bits[before[None, :] >= some[:, None]] = 65
+                        nearest = bits.argmin(1)
+                        hit = bits[np.arange(len(bits)), nearest] <= radius
+                        found.append(told(unit[before[nearest[hit]]], unit[some[hit]]))
+        u, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return lambda batches: _units(batches, ("bucket", "a", "b", "part", "fp", "n", "item"), settle)
+    return lambda batches: _units(batches, ("bucket", "a", "b", "part", "fp", "n", "item", "t"), settle)
 
 
 def single_spaced(text: Column) -> Column:
@@ -219,14 +231,14 @@ def shingle_set(words: Column, size: int) -> Column:
     return F.when(words == "", F.array().cast("array<long>")).otherwise(F.array_distinct(F.transform(rows, lambda shingle: F.xxhash64(shingle))))
 
 
-def near_copies(docs: DataFrame, width: int = 2, radius: int = 6, words: int = 5, similarity: float = 0.8, block: int = 2048,
+def near_copies(docs: DataFrame, width: int = 2, radius: int = 6, words: int = 5, similarity: float = 0.8, block: int = 16_384,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without exact and near copies: one row of each group stays, that of the smallest id.
 
     Texts that are equal but for ASCII case and white space are one item.  Items whose fingerprints of `width` words lie
-    within the radius are tried: in each bucket of each table every item against the nearest of the items before it that
-    has a like number of shingles, so that a large group of copies gives a few trials an item, not all its
-    pairs.  Items of equal `words`-word shingle sets up to the similarity (Jaccard) are linked, and groups are what links
+    within the radius are tried: in each bucket of each table every item against the nearest of the items before it,
+    unless the two share a bucket of an earlier table, so that a large group of copies gives a few trials an item, not
+    all its pairs.  Items of equal `words`-word shingle sets up to the similarity (Jaccard) are linked, and groups are what links
     connect.  Of rows that are equal in id and text one stays; nulls come after all ids.
     """
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -235,9 +247,10 @@ def near_copies(docs: DataFrame, width: int = 2, radius: int = 6, words: int = 5
                     .select(F.monotonically_increasing_id().alias("item"), "least.id", "least.row"), "items")
     text = F.col("row")[text_col]
     marked = durable(items.select("item", "id", _marks(text, width, words).alias("m")).select("item", "id", "m.fp", "m.n"), "marks")
-    units = in_blocks(in_tables(marked.select("fp", "n", "item"), covering_masks(radius)), "bucket", F.col("item"), block)
-    ordered = units.select("bucket", "a", "b", "part", "fp", "n", "item").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    trials = durable(ordered.mapInArrow(_propose(radius, similarity), "u long, v long").distinct(), "trials")
+    masks = covering_masks(radius)
+    units = in_blocks(in_tables(marked.select("fp", "n", "item"), masks), "bucket", F.col("item"), block)
+    ordered = units.select("bucket", "a", "b", "part", "fp", "n", "item", "t").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    trials = durable(ordered.mapInArrow(_propose(radius, similarity, masks), "u long, v long").distinct(), "trials")
     tried = trials.select(F.explode(F.array("u", "v")).alias("item")).distinct()
     sets = durable(items.join(tried, "item", "left_semi").select("item", shingle_set(single_spaced(text), words).alias("s")), "shingles")
     both = (trials.join(sets.select(F.col("item").alias("u"), F.col("s").alias("su")), "u")
