@@ -93,6 +93,18 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     return [(r.t, r.y) for r in sorted(rows.collect(), key=lambda r: r.i)]
 
 
+def in_blocks(members: DataFrame, bucket: str, item: Column, block: int | Column, least: int = 2) -> DataFrame:
+    """members (bucket, ...) with columns unit, a, b, part: each row once for each pair (a, b) of parts that its own
+    part takes part in.  Buckets of fewer than `least` rows, which hold no pair, are left out."""
+    sizes = members.groupBy(bucket).agg(F.count("*").alias("__n")).filter(F.col("__n") >= least)
+    parts = F.ceil(F.col("__n") / block).cast("int")
+    own = F.pmod(F.xxhash64(item, F.lit("part")), parts).cast("int")
+    return (members.join(sizes, bucket).select("*", parts.alias("__parts"), own.alias("part"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+            .withColumn("a", F.least("part", "other")).withColumn("b", F.greatest("part", "other"))
+            .drop("__n", "__parts", "other"))
+
+
 def hook(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Join the trees of links i[k]-j[k]; the numbers k of links that joined two trees, which make a spanning forest.
 

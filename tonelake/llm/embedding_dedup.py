@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import durable, hook, smallest_reached
-from tonelake.llm.simhash_dedup import in_blocks
+from tonelake.llm.common import durable, hook, in_blocks, smallest_reached
 
 SLACK = 1e-6  # distances near zero are exact to about 1e-8
 

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonelake.llm import (
-    decontaminate, embedding_dedup, license_scan, packing, quality, resharding, sentencepiece_codec, simhash_dedup, token_counts, toxicity,
+    conversation_repair, decontaminate, embedding_dedup, license_scan, packing, quality, resharding, sentencepiece_codec, simhash_dedup, source_mix,
+    spelling_variants, token_counts, toxicity,
 )
 from tonelake.llm.common import table, train_fold
 from tonelake.session import spread
@@ -75,6 +76,19 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"), times=10, least_length=7, least_n=2)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")), there=F.col("there"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mix.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), repeats=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_sentencepiece, op2_token_counts, op3_token_packing, op4_embedding_dedup, op5_license_scan, op6_decontaminate,
-        op7_simhash_dedup, op8_toxicity, op9_quality, op10_resharding, pipeline)}
+        op7_simhash_dedup, op8_toxicity, op9_quality, op10_resharding, op11_spelling_variants, op12_conversation_repair, op13_source_mix, pipeline)}
 
 
 _OP4_SQL = """
@@ -128,6 +142,33 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, COALESCE(n, 0) AS n_base, a A
 FROM p LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
 
+#: Every quotient is listed here, which the operator avoids.
+_OP13_SQL = """
+WITH d AS (SELECT doc_id, source IS NULL AS none, COALESCE(source, '') AS name, CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT none, name, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM d GROUP BY ALL),
+w AS (SELECT *, (row_number() OVER (ORDER BY none, name) - 1) % 3 + 1 AS weight, CAST(sum(source_size) OVER () AS BIGINT) AS total, 3 * source_size AS top FROM s),
+l AS (SELECT *, COALESCE(sum(top) OVER (ORDER BY top / weight, none, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+             sum(weight) OVER (ORDER BY top / weight, none, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_from FROM w),
+c AS (SELECT *, top * open_from < (total - full_before) * weight AS stops FROM l),
+f AS (SELECT *, CASE WHEN stops THEN top::DOUBLE
+                     ELSE CAST(total - sum(CASE WHEN stops THEN top ELSE 0 END) OVER () AS BIGINT)::DOUBLE * weight / CAST(sum(CASE WHEN stops THEN 0 ELSE weight END) OVER () AS BIGINT) END AS target FROM c),
+bids AS (SELECT none, name, unnest(range(1, CAST(ceil(target / 16) + 3 AS BIGINT))) AS k, target, total FROM f WHERE target > 0),
+won AS (SELECT *, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, none, name, k) AS r FROM bids),
+q AS (SELECT none, name, count(*) AS seats FROM won WHERE r <= CAST(round(total / 16) AS BIGINT) GROUP BY ALL),
+p AS (SELECT f.*, COALESCE(seats, 0) AS seats, greatest(1, ceil(n_docs / 4096), ceil(source_size / 4194304))::BIGINT AS shards FROM f LEFT JOIN q USING (none, name)),
+r AS (SELECT d.*, p.source_size, p.target, p.seats, md5('13:' || COALESCE(doc_id::VARCHAR, '') || ':' || size) AS place, p.shards FROM d JOIN p USING (none, name)),
+h AS (SELECT *, ('0x' || substr(place, 1, 8))::BIGINT % shards AS shard FROM r),
+z AS (SELECT none, name, shard, seats, CAST(sum(size) AS BIGINT) AS shard_size FROM h GROUP BY ALL),
+bids2 AS (SELECT none, name, shard, shard_size, seats, unnest(range(1, CAST(ceil(3 * shard_size / 16) + 3 AS BIGINT))) AS k FROM z WHERE shard_size > 0),
+won2 AS (SELECT *, row_number() OVER (PARTITION BY none, name ORDER BY shard_size::DOUBLE / (2 * k - 1) DESC, shard, k) AS r FROM bids2),
+q2 AS (SELECT none, name, shard, shard_size, least(16 * count(*), 3 * shard_size) AS take, ('0x' || substr(md5('13:' || none::VARCHAR || ':' || name || ':' || shard), 1, 8))::BIGINT % shard_size AS begin
+       FROM won2 WHERE r <= seats GROUP BY none, name, shard, shard_size),
+a AS (SELECT *, COALESCE(sum(size) OVER (PARTITION BY none, name, shard ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM h)
+SELECT doc_id, size, source_size, target, CASE WHEN none THEN NULL ELSE name END AS source,
+       CAST(COALESCE(take // shard_size * size + greatest(0, least(pos + size, least(begin + take % shard_size, shard_size)) - greatest(pos, begin)) + greatest(0, least(pos + size, begin + take % shard_size - shard_size) - pos), 0) AS BIGINT) AS taken
+FROM a LEFT JOIN q2 USING (none, name, shard)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """The others need models, tokenizers, XXH64 or approximate matching; tests hold them against plain versions."""
-    return {"op4_embedding_dedup": _OP4_SQL, "op5_license_scan": _op5_sql()}
+    """The others need models, tokenizers, CRC-32, XXH64 or approximate matching; tests hold them against plain versions."""
+    return {"op4_embedding_dedup": _OP4_SQL, "op5_license_scan": _op5_sql(), "op13_source_mix": _OP13_SQL}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import ascii_lower, connected_components, durable, hook, smallest_reached
+from tonelake.llm.common import ascii_lower, connected_components, durable, hook, in_blocks, smallest_reached
 
 ALL = (1 << 64) - 1
 
@@ -95,18 +95,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def in_blocks(members: DataFrame, bucket: str, item: Column, block: int, least: int = 2) -> DataFrame:
-    """members (bucket, ...) with columns unit, a, b, part: each row once for each pair (a, b) of parts that its own
-    part takes part in.  Buckets of fewer than `least` rows, which hold no pair, are left out."""
-    sizes = members.groupBy(bucket).agg(F.count("*").alias("__n")).filter(F.col("__n") >= least)
-    parts = F.ceil(F.col("__n") / block).cast("int")
-    own = F.pmod(F.xxhash64(item, F.lit("part")), parts).cast("int")
-    return (members.join(sizes, bucket).select("*", parts.alias("__parts"), own.alias("part"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-            .withColumn("a", F.least("part", "other")).withColumn("b", F.greatest("part", "other"))
-            .drop("__n", "__parts", "other"))
-
-
 def _units(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], settle) -> Iterator[pa.RecordBatch]:
     """Hands `settle` the rows of whole units, which come sorted by their first three columns (bucket, a, b)."""
     held: list[np.ndarray] = []
