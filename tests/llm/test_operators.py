@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tonelake.llm import decontaminate, embedding_dedup, license_scan, packing, quality, queries, resharding, sentencepiece_codec, simhash_dedup, token_counts, toxicity
-from tonelake.llm.common import bounded_sample, connected_components, hook, table
+from tonelake.llm.common import bounded_sample, class_shift, connected_components, hook, table
 
 SMALL = "/root/testdata/sf0.001"
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -465,6 +465,24 @@ def test_near_copies_against_all_pairs(spark, block):
     assert all(r.doc_id == min((i for i in of[component(near, sets[plain_shingles(r.text)])] if i is not None), default=None) for r in whole)
 
 
+def test_near_copies_of_families(spark):
+    """Edited copies of one long text, that are no near copies of each other, are found through the text they come from."""
+    rng, rows = random.Random(21), []
+    for f in range(25):
+        base = words(rng, 260, 6000).split()
+        rows.append((100 * f, " ".join(base)))
+        for k in range(1, 7):
+            t = list(base)
+            for _ in range(rng.choice((1, 3, 4))):
+                t[rng.randrange(len(t))] = f"other{rng.randrange(10 ** 6)}"
+            rows.append((100 * f + k, " ".join(t)))
+    kept = {r.doc_id for r in simhash_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: plain_shingles(t) for i, t in rows}
+    pairs = [(i, j) for i, j in combinations(sets, 2) if i // 100 == j // 100 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    missed = sum(i in kept and j in kept for i, j in pairs)
+    assert {100 * f for f in range(25)} <= kept and len(pairs) > 200 and missed <= 0.1 * len(pairs)
+
+
 def test_simhash_of_long_texts(spark):
     long = words(random.Random(1), 200_000, 3000)
     docs = spark.createDataFrame([(1, long), (2, long.upper()), (3, long + " end"), (4, None)], "doc_id long, text string")
@@ -519,7 +537,28 @@ def test_toxicity_prior(spark):
         drawn = toxicity.fit(bounded_sample(docs, labels, "toxic", per_class, 16_384)).weights
         own = math.log(n1 / n0) - math.log(min(n1, per_class) / per_class)
         assert abs(toxicity.learn(docs, labels, per_class=per_class).weights[0] - drawn[0] - own) < 1e-9
-    assert toxicity.prior_shift(0, 5, 4) == toxicity.prior_shift(5, 0, 4) == toxicity.prior_shift(9, 9, 4) == 0
+    for drawn in ([], [("a", 0)], [("a", 1)]):
+        assert class_shift(labels, "toxic", drawn) == 0
+    assert class_shift(labels, "toxic", [("a", 0)] * n0 + [("b", 1)] * n1) == 0
+
+
+@pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality, "quality")])
+def test_samples_pass_over_long_texts_and_missing_documents(spark, module, label):
+    """What is too long or has no document isn't picked, so it takes no other's place; the constant follows what is drawn."""
+    rows = [(k, ("x " * 200 if k % 3 == 0 else f"words of number {k}") if k < 300 else None) for k in range(400) if k % 7]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias(label))
+    fold = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5]
+    can = [(k, t or "") for k, t in rows if len(t or "") <= 100 and k in fold]
+    of = {y: sum(k % 2 == y for k in fold) for y in (0, 1)}
+    for per_class in (10, 1000):
+        drawn = bounded_sample(docs, labels, label, per_class, 100)
+        n = {y: min(per_class, sum(k % 2 == y for k, _ in can)) for y in (0, 1)}
+        assert {y: sum(z == y for _, z in drawn) for y in (0, 1)} == n and all(len(t) <= 100 for t, _ in drawn)
+        assert abs(class_shift(labels, label, drawn) - math.log(of[1] / n[1]) + math.log(of[0] / n[0])) < 1e-12
+    shift = class_shift(labels, label, bounded_sample(docs, labels, label, 10, 100))
+    if module is quality:
+        assert abs(quality.learn(docs, labels, label, 10, 100).bias - quality.fit(bounded_sample(docs, labels, label, 10, 100)).bias - shift) < 1e-12
 
 
 def test_toxicity_by_plain_compression(spark):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,21 +80,31 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: in
                    id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
     """At most `per_class` training rows of either class as (text, label), for fitting on the driver.
 
-    The rows are those with the smallest hash of the id, so the choice depends on neither partitioning nor order.
-    Texts above `max_bytes` are left to scoring.
+    The rows are those with the smallest hash of the id among the labelled documents of at most `max_bytes`, so the
+    choice depends on neither partitioning nor order, and a class is short only where it has no more such documents.
+    Longer texts are left to scoring; of a repeated id the smallest text counts; null texts are empty.
     """
-    own = training_labels(labels, label, id_col)
+    own = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter(F.octet_length("t") <= max_bytes)
+    known = durable(training_labels(labels, label, id_col).join(own.select("i").distinct(), "i", "left_semi"), "labelled")
     picked = None
     for y in (0, 1):
-        part = own.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(per_class)
+        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * per_class rows of two numbers: broadcasting them is bounded by the parameter
-    rows = (docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-            .filter(F.octet_length("t") <= max_bytes)
-            .join(F.broadcast(picked), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")))
+    rows = own.join(F.broadcast(picked), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y"))
     return [(r.t, r.y) for r in sorted(rows.collect(), key=lambda r: r.i)]
 
 
+def class_shift(labels: DataFrame, label: str, drawn: list[tuple[str, int]], id_col: str = "doc_id") -> float:
+    """The log odds of class 1 among all training labels, less those among the rows that were drawn; a constant that
+    was fitted on these rows is corrected by it.  Zero where a class is missing, or all rows of both are drawn."""
+    every = {r.y: r["count"] for r in training_labels(labels, label, id_col).groupBy("y").count().collect()}
+    own = Counter(y for _, y in drawn)
+    if not (every.get(0) and every.get(1) and own[0] and own[1]):
+        return 0.0
+    return math.log(every[1] / own[1]) - math.log(every[0] / own[0])
+
+
 def in_blocks(members: DataFrame, bucket: str, item: Column, block: int | Column, least: int = 2) -> DataFrame:
     """members (bucket, ...) with columns unit, a, b, part: each row once for each pair (a, b) of parts that its own
     part takes part in.  Buckets of fewer than `least` rows, which hold no pair, are left out."""

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import bounded_sample
+from tonelake.llm.common import bounded_sample, class_shift
 
 BUCKETS = 1 << 14
 N_STATS = 20
@@ -128,7 +128,10 @@ def fit(rows: list[tuple[str, int]], rank: int = 8, epochs: int = 12, rate: floa
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3000, max_bytes: int = 16_384) -> Machine:
-    return fit(bounded_sample(docs, labels, label, per_class, max_bytes))
+    drawn = bounded_sample(docs, labels, label, per_class, max_bytes)
+    machine = fit(drawn)
+    machine.bias += class_shift(labels, label, drawn)
+    return machine
 
 
 def score(spark: SparkSession, machine: Machine, text: Column) -> Column:

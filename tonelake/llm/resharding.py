@@ -154,7 +154,8 @@ def assign(docs: DataFrame, old_shard: Column, old_shards: int, shards: int = 24
 def rewrite(docs: DataFrame, plan: DataFrame, path: str, rows_per_file: int = 1_000_000, id_col: str = "doc_id") -> list[int]:
     """Write the rows of the shards that gain or lose rows below path/shard=N; returns these shards.
 
-    docs: the rows that `assign` was given, with the same columns; plan: its result.  The files of other shards stay as
+    docs: the rows that `assign` was given, with the same columns; plan: its result.  Columns of docs that are named shard
+    or slot are written as shard_of_row and slot_of_row.  The files of other shards stay as
     they are, and a shard that loses all its rows loses its folder.  Repeated rows and null ids are written as often as
     they occur: what is joined is the distinct rows to the plan's rows.  A run that is repeated leaves the same files;
     where docs are read from `path` itself, write elsewhere and exchange the folders, since a run that breaks off
@@ -167,8 +168,8 @@ def rewrite(docs: DataFrame, plan: DataFrame, path: str, rows_per_file: int = 1_
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     distinct = docs.select(F.col(id_col).alias("__own"), _row_hash(docs).alias("__hash"), row.alias("__row")).groupBy("__own", "__hash").agg(F.first("__row").alias("__row"))
     out = chosen.join(distinct, F.col("__id").eqNullSafe(F.col("__own")) & (F.col("row_hash") == F.col("__hash")))
-    rest = [c for c in docs.columns if c != "shard"]
-    out = durable(out.select(F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), *[F.col("__row")[c].alias(c) for c in rest if c != "slot"]), "reshard-rows")
+    own = [F.col("__row")[c].alias(f"{c}_of_row" if c in ("shard", "slot") else c) for c in docs.columns]
+    out = durable(out.select(F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), *own), "reshard-rows")
     (out.repartition("shard", F.floor(F.col("slot") / rows_per_file)).sortWithinPartitions("shard", "slot")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path))
     filled = {r.shard for r in chosen.select(F.col("__shard").alias("shard")).distinct().collect()}

@@ -12,8 +12,9 @@ classes is dealt into n / `block` parts by hash and each pair of parts is one un
 large bucket; from a unit only a spanning forest of its links leaves, not its pairs, and of these only pairs that
 share no bucket of an earlier table.  Components come from rounds of star contraction over these links.
 
-`near_copies` is for pipelines: a covering search with short shingles and a wider radius proposes pairs, and a pair
-counts where the exact Jaccard similarity of its sets of five-word shingles is high enough.
+`near_copies` is for pipelines: covering searches over two fingerprints of the distinct words, which move less with an
+edit than those of four-word shingles, propose pairs, and a pair counts where the exact Jaccard similarity of its sets
+of five-word shingles is high enough.
 
 Defined results: null and empty texts have no words and so the zero fingerprint, which links like any other; fewer
 words than `width` are one shingle; repeated rows keep their own rows; ids may be repeated, and null ids come last.
@@ -28,12 +29,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tonelake.llm.common import ascii_lower, connected_components, durable, hook, in_blocks, smallest_reached
 
 ALL = (1 << 64) - 1
 
 
+def _votes(hashes: list[int], votes: np.ndarray) -> None:
+    votes += np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(votes: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint_of(text: bytes | None, width: int) -> int:
     import xxhash
 
@@ -47,9 +57,18 @@ def fingerprint_of(text: bytes | None, width: int) -> int:
     n, votes = len(words) - k + 1, np.zeros(64, np.int64)
     for at in range(0, n, 65_536):  # a very long text is counted piece by piece
         last = min(at + 65_536, n)
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at:last].tolist(), ends[at + k - 1 : last + k - 1].tolist(), strict=True)], "<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+        _votes([digest(joined[a:b], 42) for a, b in zip(starts[at:last].tolist(), ends[at + k - 1 : last + k - 1].tolist(), strict=True)], votes)
+    return _majority(votes, n)
+
+
+def fingerprint_of_set(words: list[bytes], seed: int) -> int:
+    """The fingerprint of distinct words; zero for none."""
+    import xxhash
+
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(words), 65_536):
+        _votes([xxhash.xxh64_intdigest(w, seed) for w in words[at : at + 65_536]], votes)
+    return _majority(votes, len(words))
 
 
 def fingerprint(text: Column, width: int = 4) -> Column:
@@ -63,17 +82,19 @@ def fingerprint(text: Column, width: int = 4) -> Column:
     return run(text.cast("binary"))
 
 
-def _marks(text: Column, width: int, size: int) -> Column:
-    """The SimHash of each whole text over `width` words, and how many distinct shingles of `size` words it has."""
+def _marks(text: Column, seeds: tuple[int, ...], size: int) -> Column:
+    """A fingerprint of each text's distinct words for each seed, and how many distinct shingles of `size` words it has."""
 
-    @F.pandas_udf("struct<fp long, n long>")
+    @F.pandas_udf("struct<fps array<long>, n long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            counts = []
+            counts, fps = [], []
             for t in texts:
                 w = t.lower().split() if t else []
                 counts.append(len(set(zip(*(w[k:] for k in range(size)), strict=False))) or int(bool(w)))
-            yield pd.DataFrame({"fp": np.array([fingerprint_of(t, width) for t in texts], np.uint64).view(np.int64), "n": counts})
+                kinds = list(set(w))
+                fps.append([_signed(fingerprint_of_set(kinds, seed)) for seed in seeds])
+            yield pd.DataFrame({"fps": fps, "n": counts})
 
     return run(text.cast("binary"))
 
@@ -168,10 +189,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
 
 def _propose(radius: int, similarity: float, masks: list[int]):
     def told(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs of rows those of like numbers of shingles that share no bucket of an earlier table."""
-        alike = np.minimum(x[:, 5], y[:, 5]) >= similarity * np.maximum(x[:, 5], y[:, 5])
-        x, y = x[alike], y[alike]
-        first = _first_shared(masks, np.ascontiguousarray(x[:, 4]), np.ascontiguousarray(y[:, 4]), x[:, 7])
+        """Pairs of rows that share no bucket of an earlier table of their fingerprint, by their items."""
+        first = _first_shared(masks, np.ascontiguousarray(x[:, 4]), np.ascontiguousarray(y[:, 4]), (x[:, 0] & TABLES) % len(masks))
         return np.minimum(x[first, 6], y[first, 6]), np.maximum(x[first, 6], y[first, 6])
 
     def settle(rows: np.ndarray, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -180,11 +199,12 @@ def _propose(radius: int, similarity: float, masks: list[int]):
         if len(pairs):
             x, y = rows[pairs], rows[pairs + 1]
             near = (np.bitwise_count((x[:, 4] ^ y[:, 4]).view(np.uint64)) <= radius) & ((x[:, 1] == x[:, 2]) | (x[:, 3] != y[:, 3]))
+            near &= np.minimum(x[:, 5], y[:, 5]) >= similarity * np.maximum(x[:, 5], y[:, 5])
             found.append(told(x[near], y[near]))
         for s, n in zip(edge[size > 2], size[size > 2], strict=True):
-            unit = rows[s : s + n][np.argsort(rows[s : s + n, 6], kind="stable")]
-            fp, part, a, b = np.ascontiguousarray(unit[:, 4]).view(np.uint64), unit[:, 3], unit[0, 1], unit[0, 2]
-            for left, right in {(a, b), (b, a)}:  # each item of the left part with the nearest item before it of the right part
+            unit = rows[s : s + n][np.lexsort((rows[s : s + n, 6], rows[s : s + n, 7]))]
+            fp, shingles, part, a, b = np.ascontiguousarray(unit[:, 4]).view(np.uint64), unit[:, 5], unit[:, 3], unit[0, 1], unit[0, 2]
+            for left, right in {(a, b), (b, a)}:  # each item of the left part with the nearest and the first of the like items before it
                 one, two = np.flatnonzero(part == left), np.flatnonzero(part == right)
                 step = max(1, 2_000_000 // max(len(two), 1))
                 for at in range(0, len(one) if len(two) else 0, step):
@@ -192,15 +212,33 @@ def _propose(radius: int, similarity: float, masks: list[int]):
                     before = two[: np.searchsorted(two, some[-1])]
                     if len(before):
                         bits = np.bitwise_count(fp[some][:, None] ^ fp[before][None, :])
-                        bits[before[None, :] >= some[:, None]] = 65
-                        nearest = bits.argmin(1)
-                        hit = bits[np.arange(len(bits)), nearest] <= radius
-                        found.append(told(unit[before[nearest[hit]]], unit[some[hit]]))
+                        x, y = shingles[some][:, None], shingles[before][None, :]
+                        bits[(before[None, :] >= some[:, None]) | (x < similarity * y) | (y < similarity * x)] = 65
+                        for tried in (bits.argmin(1), (bits <= radius).argmax(1)):
+                            hit = bits[np.arange(len(bits)), tried] <= radius
+                            found.append(told(unit[before[tried[hit]]], unit[some[hit]]))
         u, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return lambda batches: _units(batches, ("bucket", "a", "b", "part", "fp", "n", "item", "t"), settle)
+    return lambda batches: _units(batches, ("bucket", "a", "b", "part", "fp", "n", "item", "rank"), settle)
+
+
+#: The bits of a bucket's number that hold its table.
+TABLES = 255
+
+
+def _buckets(marked: DataFrame, seeds: tuple[int, ...], masks: list[int]) -> DataFrame:
+    """(bucket, item): for each fingerprint and mask of an item the bucket, whose low bits are the table's number."""
+    if len(seeds) * len(masks) > TABLES + 1:
+        raise ValueError("more tables than a bucket's number has room for")
+    tables = []
+    for k in range(len(seeds)):
+        for t, m in enumerate(masks):
+            at = F.lit(k * len(masks) + t)
+            kept = F.xxhash64(at, F.col("fps")[k].bitwiseAND(F.lit(_signed(m))))
+            tables.append(kept.bitwiseAND(F.lit(~TABLES)).bitwiseOR(at.cast("long")))
+    return marked.select(F.explode(F.array(*tables)).alias("bucket"), "item")
 
 
 def single_spaced(text: Column) -> Column:
@@ -219,25 +257,31 @@ def shingle_set(words: Column, size: int) -> Column:
     return F.when(words == "", F.array().cast("array<long>")).otherwise(F.array_distinct(F.transform(rows, lambda shingle: F.xxhash64(shingle))))
 
 
-def near_copies(docs: DataFrame, width: int = 2, radius: int = 6, words: int = 5, similarity: float = 0.8, block: int = 16_384,
+def near_copies(docs: DataFrame, seeds: tuple[int, ...] = (42, 7), radius: int = 5, words: int = 5, similarity: float = 0.8, block: int = 16_384,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without exact and near copies: one row of each group stays, that of the smallest id.
 
-    Texts that are equal but for ASCII case and white space are one item.  Items whose fingerprints of `width` words lie
-    within the radius are tried: in each bucket of each table every item against the nearest of the items before it,
-    unless the two share a bucket of an earlier table, so that a large group of copies gives a few trials an item, not
-    all its pairs.  Items of equal `words`-word shingle sets up to the similarity (Jaccard) are linked, and groups are what links
-    connect.  Of rows that are equal in id and text one stays; nulls come after all ids.
+    Texts that are equal but for ASCII case and white space are one item.  Items of which one of the fingerprints of
+    distinct words, one for each seed, lies within the radius are tried: in each bucket of each table every item against
+    the nearest and the first of the items before it that have a like number of shingles, unless the two share a bucket
+    of an earlier table, so that a large group of copies gives a few trials an item, not all its pairs.  Items come in the
+    order of their ids where these are numbers, since what was copied often is older than its copies.  Items of equal `words`-word
+    shingle sets up to the similarity (Jaccard) are linked, and groups are what links connect.  Of rows that are equal in
+    id and text one stays; nulls come after all ids.
     """
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     digest = F.unhex(F.md5(single_spaced(F.col(text_col)).cast("binary")))
     items = durable(docs.select(digest.alias("digest"), row.alias("least")).groupBy("digest").agg(F.min("least").alias("least"))
                     .select(F.monotonically_increasing_id().alias("item"), "least.id", "least.row"), "items")
     text = F.col("row")[text_col]
-    marked = durable(items.select("item", "id", _marks(text, width, words).alias("m")).select("item", "id", "m.fp", "m.n"), "marks")
+    numeric = isinstance(items.schema["id"].dataType, IntegralType)
+    rank = F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1)) if numeric else F.col("item")
+    marked = durable(items.select("item", "id", rank.alias("rank"), _marks(text, seeds, words).alias("m")).select("item", "id", "rank", "m.fps", "m.n"), "marks")
     masks = covering_masks(radius)
-    units = in_blocks(in_tables(marked.select("fp", "n", "item"), masks), "bucket", F.col("item"), block)
-    ordered = units.select("bucket", "a", "b", "part", "fp", "n", "item", "t").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    units = in_blocks(_buckets(marked, seeds, masks), "bucket", F.col("item"), block)
+    seed = F.floor(F.col("bucket").bitwiseAND(F.lit(TABLES)) / len(masks)).cast("int")
+    ordered = (units.join(marked.select("item", "rank", "fps", "n"), "item").select("bucket", "a", "b", "part", F.col("fps")[seed].alias("fp"), "n", "item", "rank")
+               .repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b"))
     trials = durable(ordered.mapInArrow(_propose(radius, similarity, masks), "u long, v long").distinct(), "trials")
     tried = trials.select(F.explode(F.array("u", "v")).alias("item")).distinct()
     sets = durable(items.join(tried, "item", "left_semi").select("item", shingle_set(single_spaced(text), words).alias("s")), "shingles")

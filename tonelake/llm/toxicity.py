@@ -15,8 +15,10 @@ parts, each part is measured by dictionaries of the others, and the final dictio
 
 Fitting runs on the driver over a sample bounded by `per_class` and `max_bytes`; scoring covers every whole text.
 The sample may hold another share of either class than the training labels, so at every size the logarithm of the odds
-of toxic among all training labels, over the odds among those drawn, is added to the fitted constant (zero where all
-are drawn).
+of toxic among all training labels, over the odds among the rows drawn, is added to the fitted constant (zero where all
+are drawn).  What zstandard trains on is bounded by parameters too: a toxic run counts as often as toxic documents hold
+it, up to `toxic_repeats`, an ordinary one up to `ordinary_repeats`, and of the ordinary ones at most `ordinary_runs` are
+taken.  Runs of `LONGEST` bytes and more share one row of the calibration table, as single long lengths are rare.
 Defined results: null and empty texts, and texts without letters, get the lowest score there is; repeated rows
 get equal scores; without labels of both classes every score is 0.
 """
@@ -35,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import bounded_sample, training_labels
+from tonelake.llm.common import bounded_sample, class_shift
 
 LEVEL, TILES, LONGEST = 12, 4, 24
 CACHE = 60_000  # windows kept in each of two generations; bounds a worker's memory, changes no result
@@ -120,17 +122,30 @@ def features(ratios: Iterable[float]) -> tuple[float, float]:
     return most, math.log1p(math.fsum(above) - most)
 
 
-def _train(rows: list[tuple[str, int]], ordinary_size: int, toxic_size: int, least_evidence: float) -> Model:
+@dataclass(frozen=True)
+class Bounds:
+    """What the dictionaries are trained on: their sizes in bytes, how often a run counts, how many ordinary runs there
+    are at most, and the G statistic from which a toxic run is a sample."""
+
+    toxic_size: int = 8192
+    ordinary_size: int = 112_640
+    toxic_repeats: int = 50
+    ordinary_repeats: int = 8
+    ordinary_runs: int = 300_000
+    least_evidence: float = 8.0
+
+
+def _train(rows: list[tuple[str, int]], bounds: Bounds) -> Model:
     """Dictionaries from labelled texts."""
     count, n = {0: Counter(), 1: Counter()}, Counter(y for _, y in rows)
     for t, y in rows:
         count[y].update(_windows(t))
     # in sorted order, so that a fit doesn't depend on how Python hashes strings
     telling = [(w, k) for w, k in sorted(count[1].items())
-               if k >= 2 and k * n[0] > 8 * count[0][w] * n[1] and evidence(k, count[0][w], n[1], n[0]) >= least_evidence]
-    toxic = [_tile(w) for w, k in telling for _ in range(min(k, 50))]
-    ordinary = [f" {w} ".encode("utf-8", "surrogatepass") for w, k in sorted(count[0].items()) for _ in range(min(k, 8))]
-    return Model(_dictionary(_spread(ordinary, 300_000), ordinary_size), _dictionary(toxic, toxic_size))
+               if k >= 2 and k * n[0] > 8 * count[0][w] * n[1] and evidence(k, count[0][w], n[1], n[0]) >= bounds.least_evidence]
+    toxic = [_tile(w) for w, k in telling for _ in range(min(k, bounds.toxic_repeats))]
+    ordinary = [f" {w} ".encode("utf-8", "surrogatepass") for w, k in sorted(count[0].items()) for _ in range(min(k, bounds.ordinary_repeats))]
+    return Model(_dictionary(_spread(ordinary, bounds.ordinary_runs), bounds.ordinary_size), _dictionary(toxic, bounds.toxic_size))
 
 
 def _ratios(cells: list[tuple[Counter, int]]) -> dict[tuple[int, int, int], float]:
@@ -140,9 +155,8 @@ def _ratios(cells: list[tuple[Counter, int]]) -> dict[tuple[int, int, int], floa
     return {c: math.log((k + 0.05) / n[1]) - math.log((seen[0][c] + 0.5) / n[0]) for c, k in seen[1].items()}
 
 
-def fit(rows: list[tuple[str, int]], toxic_size: int = 8192, ordinary_size: int = 112_640, least_evidence: float = 8.0, folds: int = 4, shift: float = 0.0) -> Model:
-    """least_evidence: the G statistic from which a toxic window is a sample of the toxic dictionary.
-    shift: added to the fitted constant."""
+def fit(rows: list[tuple[str, int]], bounds: Bounds = Bounds(), folds: int = 4, shift: float = 0.0) -> Model:
+    """shift: added to the fitted constant."""
     distinct = list(dict(rows).items())
     random.Random(11).shuffle(distinct)
     if len({y for _, y in distinct}) < 2:
@@ -153,7 +167,7 @@ def fit(rows: list[tuple[str, int]], toxic_size: int = 8192, ordinary_size: int
         parts, others = [distinct], [distinct]
     measured = []
     for own, rest in zip(parts, others, strict=True):
-        scorer = Scorer(_train(rest, ordinary_size, toxic_size, least_evidence))
+        scorer = Scorer(_train(rest, bounds))
         cell = {w: scorer.cell(w) for w in sorted(set().union(*(_windows(t) for t, _ in own)))}
         measured.append([(Counter(cell[w] for w in _windows(t)), y) for t, y in own])
     x, y = [], []
@@ -166,22 +180,15 @@ def fit(rows: list[tuple[str, int]], toxic_size: int = 8192, ordinary_size: int
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + 0.05 * w
         w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), grad)
-    model = _train(distinct, ordinary_size, toxic_size, least_evidence)
+    model = _train(distinct, bounds)
     model.ratio = _ratios([row for part in measured for row in part])
     model.weights = (float(w[0]) + shift, float(w[1]), float(w[2]))
     return model
 
 
-def prior_shift(ordinary: int, toxic: int, per_class: int) -> float:
-    """The log odds of toxic among so many training labels, less those among the at most `per_class` drawn of each."""
-    if not ordinary or not toxic:
-        return 0.0
-    return math.log(toxic / min(toxic, per_class)) - math.log(ordinary / min(ordinary, per_class))
-
-
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 4000, max_bytes: int = 16_384) -> Model:
-    size = {r.y: r["count"] for r in training_labels(labels, label).groupBy("y").count().collect()}
-    return fit(bounded_sample(docs, labels, label, per_class, max_bytes), shift=prior_shift(size.get(0, 0), size.get(1, 0), per_class))
+    drawn = bounded_sample(docs, labels, label, per_class, max_bytes)
+    return fit(drawn, shift=class_shift(labels, label, drawn))
 
 
 def score(spark: SparkSession, model: Model, text: Column) -> Column:
