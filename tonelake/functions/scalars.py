@@ -73,9 +73,13 @@ def backoff_seconds(attempts: Column, base: int = 1, most: int = 600) -> Column:
 
 
 def next_refresh(kind: str, popularity: Column, fetched: Column, last_push: Column | None = None) -> Column:
-    """When a row is due: its days after it was fetched, or a day after the last push where that comes sooner."""
+    """When a row is due: its days after it was fetched, or a day after the last push where that is still to come when it
+    is fetched, and sooner.  An older push, or none, changes nothing; without a time of fetching there is no due time."""
     due = fetched + F.make_dt_interval(refresh_days(kind, popularity))
-    return due if last_push is None else F.least(due, last_push + F.expr("interval 24 hours"))
+    if last_push is None:
+        return due
+    soon = last_push + F.expr("interval 24 hours")
+    return F.when((soon > fetched) & (soon < due), soon).otherwise(due)
 
 
 def refresh_days(kind: str, popularity: Column) -> Column:

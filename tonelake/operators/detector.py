@@ -39,7 +39,7 @@ SPECIFIC = ("generic", "self_own", "lang_rage", "tooling_rage", "bot_rage")
 class Options:
     window: int = 64
     zone_delta: int = -1
-    max_hits: int = 8000  # 0: all
+    max_hits: int = 0  # all; a number ends a text's scan after so many hits
     inline_in_fence: bool = False
 
 

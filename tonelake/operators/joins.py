@@ -28,16 +28,18 @@ def or_one_row(df: DataFrame) -> DataFrame:
 
 
 def nearest_within(points: DataFrame, targets: DataFrame, group: str, at: str, target_at: str, window: int, *order: str) -> DataFrame:
-    """For each point the nearest target of its group at most `window` away; ties by the given columns.
+    """For each point that has one the nearest target of its group at most `window` away; ties by the given columns.
 
-    Both sides are dealt to cells of the window's width and a point meets the targets of its own and the two
+    Points that are equal in all columns are one row with a count until the end, and each gets its row.  Both sides are dealt to cells of the window's width and a point meets the targets of its own and the two
     neighbouring cells, so the join has equal keys and never compares a whole group."""
-    p = points.withColumn("__cell", F.explode(F.array(*[F.floor(F.col(at) / window) + d for d in (-1, 0, 1)])))
+    each = points.groupBy(*points.columns).agg(F.count("*").alias("__copies"))
+    p = each.withColumn("__cell", F.explode(F.array(*[F.floor(F.col(at) / window) + d for d in (-1, 0, 1)])))
     t = targets.withColumn("__cell", F.floor(F.col(target_at) / window))
     distance = F.abs(F.col(at) - F.col(target_at))
     joined = p.join(t, [group, "__cell"]).filter(distance <= window)
     rest = [c for c in targets.columns if c != group]
-    return joined.groupBy(*points.columns).agg(F.min_by(F.struct(distance.alias("distance"), *rest), F.struct(distance, *order)).alias("n")).select(*points.columns, "n.*")
+    nearest = joined.groupBy(*each.columns).agg(F.min_by(F.struct(distance.alias("distance"), *rest), F.struct(distance, *order)).alias("n"))
+    return nearest.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*points.columns, "n.*")
 
 
 def overlapping(spans: Column, start: Column, end: Column) -> Column:

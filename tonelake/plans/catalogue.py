@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from tonelake.functions import dates, ids, scalars, text
 from tonelake.functions.ids import hid_hex
 from tonelake.operators import aggregates as agg
-from tonelake.operators import consent, joins, ledger
+from tonelake.operators import consent, joins, language, ledger
 from tonelake.operators.detector import Options, detect, hits
 from tonelake.operators.scope import Scope, hits_in, predicate
 from tonelake.plans import compact, endpoints, views
 from tonelake.session import spread
-from tonelake.sources import facts, sinks
+from tonelake.sources import facts, hourly, sinks
 from tonelake.sources.facts import read, with_facts
 from tonelake.sources.rulepack import OWN, Lemma, Pack, from_json
 
@@ -518,9 +518,11 @@ def _(spark, sf):
     return e.select("user_id", "day", ids.challenge(b"example-secret", "actor", F.col("user_id").cast("string"), F.col("day")).alias("hash"))
 
 
-@query("r11_next_refresh", with_facts("SELECT c_custkey, strftime(least(d + INTERVAL 1 DAY * CASE WHEN c_acctbal >= 1000 THEN 7 WHEN c_acctbal >= 100 THEN 14 ELSE 30 END, p + INTERVAL 24 HOUR), '%Y-%m-%d %H:%M:%S') AS due FROM customer JOIN (SELECT o_custkey AS c_custkey, min(o_orderdate) AS d, max(o_orderdate) AS p FROM orders GROUP BY 1) USING (c_custkey)"))
+@query("r11_next_refresh", with_facts("SELECT c_custkey, strftime(CASE WHEN p + INTERVAL 24 HOUR > d AND p + INTERVAL 24 HOUR < due THEN p + INTERVAL 24 HOUR ELSE due END, '%Y-%m-%d %H:%M:%S') AS due FROM (SELECT c_custkey, d, p, d + INTERVAL 1 DAY * CASE WHEN c_acctbal >= 1000 THEN 7 WHEN c_acctbal >= 100 THEN 14 ELSE 30 END AS due FROM customer JOIN (SELECT o_custkey AS c_custkey, min(o_orderdate) + INTERVAL 1 DAY * (o_custkey % 40) AS d, min(o_orderdate) + INTERVAL 1 DAY * (o_custkey % 25) AS p FROM orders GROUP BY 1) USING (c_custkey))"))
 def _(spark, sf):
-    o = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").cast("timestamp").alias("d"), F.max("o_orderdate").cast("timestamp").alias("p"))
+    """Some pushes lie before the row was fetched, some soon after it, and some after it is due anyway."""
+    after = lambda days: F.min("o_orderdate").cast("timestamp") + F.make_dt_interval((F.col("c_custkey") % days).cast("int"))
+    o = read(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey").groupBy("c_custkey").agg(after(40).alias("d"), after(25).alias("p"))
     due = scalars.next_refresh("repo", F.col("c_acctbal"), F.col("d"), F.col("p"))
     return _edge(read(spark, sf, "customer").join(o, "c_custkey").select("c_custkey", due.alias("due")))
 
@@ -756,6 +758,23 @@ def _(spark, sf):
     return read(spark, sf, "documents").select("doc_id", script.alias("script"), lang.alias("lang"))
 
 
+def _profiles(spark, sf):
+    """Learnt from four fifths of the documents."""
+    return language.learn(read(spark, sf, "documents").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+
+
+@query("x07_detected_languages")
+def _(spark, sf):
+    found = language.detect(spark, _profiles(spark, sf), F.col("text"))
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", found.alias("d")).select("doc_id", "d.lang", "d.reliable")
+
+
+@query("x07_mixed_languages")
+def _(spark, sf):
+    found = language.detect_mixed(spark, _profiles(spark, sf), F.col("text"))
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode_outer(found)).select("doc_id", F.col("key").alias("lang"), F.col("value").alias("share"))
+
+
 _WORDS = ("worthless", "pathetic", "disgusting", "clown", "loser")
 
 
@@ -895,6 +914,16 @@ _PAYLOADS = {
 _PIECES_SQL = ", ".join(str((kind, name, *piece)) for kind, (name, _, own) in _PAYLOADS.items() for piece in own)
 
 
+@query("s19_archive_hours", "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS events FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    """All events written as an archive of gzip files by hour, and read again through the data source, a task an hour."""
+    path = sinks.scratch(spark, "archive")
+    e = read(spark, sf, "events").select(F.to_json(F.struct("event_id", "event_type")).alias("value"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd-H").alias("hour"))
+    e.hint("rebalance", "hour").write.partitionBy("hour").option("compression", "gzip").text(path)
+    lines = hourly.hours(spark, path).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), F.get_json_object("line", "$.event_type").alias("event_type"))
+    return lines.groupBy("hour", "event_type").agg(F.count("*").alias("events"))
+
+
 @query("s04_utterances_of_archive_lines", f"SELECT event_id, name AS event_type, source, source_detail, CAST(ordinal AS INT) AS ordinal, t || event_id AS text_raw, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at, CAST(1 AS BIGINT) AS ver, FALSE AS lang_reliable FROM events JOIN (VALUES {_PIECES_SQL}) AS p(event_type, name, source, source_detail, ordinal, t) USING (event_type) WHERE event_id % 50 <> 0 AND event_id % 49 <> 0")
 def _(spark, sf):
     """Lines as an archive has them, some broken off and some without a repository, through reader and flattening."""

@@ -6,6 +6,9 @@ a second run of the same input repeats without effect.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,21 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, below the checkpoint folder; it goes when the application ends.
+
+    Only where the session names no such folder and runs in one process (tests) a temporary one is made."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="tonelake-")
+    path = f"{base.rstrip('/')}/tonelake-{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def insert_if_absent(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """target and those rows whose key it lacks; of rows with equal keys one is taken."""
     return target.unionByName(rows.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti"))
