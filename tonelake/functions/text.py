@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -28,6 +29,9 @@ LEAST_LETTERS = 20
 SPACES = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 
+WORD = r"\p{L}\p{N}\p{Mn}\p{Pc}"
+CHUNK = 512  # pieces whose lengths are summed up one by one
+
 _control = re.compile(CONTROL)
 _leet = str.maketrans(LEET_FROM, LEET_TO)
 _space = re.compile(f"[{SPACES}]+")
@@ -126,6 +130,71 @@ def zones(text: str, inline_in_fence: bool = False) -> list[tuple[str, int, int]
     return found
 
 
+def pieces(c: Column) -> Column:
+    """A text cut into runs of word characters and single other characters, none left out."""
+    return F.regexp_extract_all(c, F.lit(f"(?s)[{WORD}]+|."), F.lit(0))
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once, also where it is used for each element of an array."""
+    return F.element_at(F.transform(F.array(value), lambda x: then(x)), 1)
+
+
+def starts(parts: Column) -> Column:
+    """The byte offset at which each part of a text begins, and that of the end.
+
+    Lengths are summed up within chunks and over whole chunks, so the work is parts * CHUNK + (parts / CHUNK)^2 additions
+    and no array grows by one element at a time."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+    def of_lengths(lengths: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.floor(F.size(lengths) / CHUNK).cast("int"))
+        return let(F.transform(firsts, lambda k: F.slice(lengths, k * CHUNK + 1, F.lit(CHUNK))), of_chunks)
+
+    def of_chunks(chunks: Column) -> Column:
+        return let(F.transform(chunks, total), lambda sums: F.flatten(F.transform(chunks, lambda c, k: let(total(F.slice(sums, F.lit(1), k)), lambda base: inside(c, base)))))
+
+    def inside(c: Column, base: Column) -> Column:
+        return F.transform(c, lambda _, i: base + total(F.slice(c, F.lit(1), i)))
+
+    # one more part of no length, which begins at the end
+    return let(F.concat(F.transform(parts, lambda x: F.octet_length(x)), F.array(F.lit(0))), of_lengths)
+
+
+def zones_col(c: Column, inline_in_fence: bool = False) -> Column:
+    """What `zones` gives, as a column of array<struct<type, start, end>>; null for a null text.
+
+    A text is cut into fences, ticks and what lies between; single ticks pair up in their order, and a pair is inline code
+    if exactly one piece that is no fence lies within.  Quotes are found line by line."""
+    zone = lambda kind, a, b: F.struct(F.lit(kind).alias("type"), a.alias("start"), b.alias("end"))
+    is_fence = lambda p: (F.octet_length(p) > 1) & F.startswith(p, F.lit("`"))
+
+    def of_pieces(placed: Column) -> Column:
+        fences = F.transform(F.filter(placed, lambda x: is_fence(x["p"]) & (F.octet_length(x["p"]) > 6)),
+                             lambda x: zone("code_fence", x["a"] + 3, x["a"] + F.octet_length(x["p"]) - 3))
+        again = F.transform(fences, lambda x: zone("code_inline", x["start"], x["end"]))
+        ticks = F.filter(F.transform(placed, lambda x, i: F.when(x["p"] == "`", i + 1)), lambda i: i.isNotNull())
+        return F.concat(fences, *([again] if inline_in_fence else []), let(ticks, lambda t: inline(placed, t)))
+
+    def inline(placed: Column, ticks: Column) -> Column:
+        pairs = F.transform(ticks, lambda r, i: F.struct(F.element_at(ticks, F.greatest(i, F.lit(1))).alias("l"), r.alias("r"), i.alias("i")))
+        pairs = F.filter(pairs, lambda t: (t["i"] % 2 == 1) & (t["r"] == t["l"] + 2) & ~is_fence(F.element_at(placed, F.least(t["l"] + 1, F.size(placed)))["p"]))
+        return F.transform(pairs, lambda t: zone("code_inline", F.element_at(placed, t["l"] + 1)["a"], F.element_at(placed, t["r"])["a"]))
+
+    def quotes(lines: Column, at: Column) -> Column:
+        quoted = F.zip_with(lines, F.slice(at, F.lit(2), F.size(lines)), lambda x, e: F.struct(
+            F.octet_length(F.regexp_extract(x, "^[ \\t]*> *([^ \\n][^\\n]*)", 1)).alias("n"), (e - F.when(F.endswith(x, F.lit("\n")), 1).otherwise(0)).alias("e")))
+        return F.transform(F.filter(quoted, lambda q: q["n"] > 0), lambda q: zone("quote", q["e"] - q["n"], q["e"]))
+
+    def with_starts(parts: Column) -> Column:
+        return let(starts(parts), lambda at: let(F.zip_with(parts, F.slice(at, F.lit(1), F.size(parts)), lambda p, a: F.struct(p.alias("p"), a.alias("a"))), of_pieces))
+
+    cut = F.regexp_extract_all(c, F.lit("(?s)```.*?```|[^`]+|`"), F.lit(0))
+    lines = F.regexp_extract_all(c, F.lit("[^\\n]*\\n|[^\\n]+"), F.lit(0))
+    found = F.concat(let(cut, with_starts), let(lines, lambda x: let(starts(x), lambda at: quotes(x, at))))
+    return F.when(c == "", F.array().cast("array<struct<type:string,start:int,end:int>>")).otherwise(found)
+
+
 def _byte_offsets(text: str) -> list[int]:
     """The byte offset of each character and of the end; cheap for ASCII texts."""
     if text.isascii():

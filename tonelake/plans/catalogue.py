@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tonelake.functions import dates, ids, scalars, text
 from tonelake.functions.ids import hid_hex
 from tonelake.operators import aggregates as agg
-from tonelake.operators import consent, joins, language, ledger
+from tonelake.operators import consent, joins, language, ledger, lemmas
 from tonelake.operators.detector import Options, detect, hits
 from tonelake.operators.scope import Scope, hits_in, predicate
 from tonelake.plans import compact, endpoints, views
@@ -775,6 +775,37 @@ def _(spark, sf):
     return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode_outer(found)).select("doc_id", F.col("key").alias("lang"), F.col("value").alias("share"))
 
 
+# Documents with ticks, fences and quoted lines that Spark and SQL put in by the same rule.
+_MARKS = ((" of ", " ``` "), (" de ", " ``` "), (" the ", " ` "), (" der ", " ` "), (" le ", " ` "), (". ", ".\n> "))
+
+
+def _marked(c):
+    for a, b in _MARKS:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+_MARKED_SQL = functools.reduce(lambda s, m: f"replace({s}, '{m[0]}', " + "'" + m[1].replace("\n", "' || chr(10) || '") + "')", _MARKS, "text")
+_OFFSET_SQL = "CAST(COALESCE(list_sum(list_transform({list}[1:{i}], lambda x: strlen(x))), 0) AS INT)"
+_ZONES_SQL = f"""m AS (SELECT doc_id, regexp_extract_all(t, '(?s)```.*?```|[^`]+|`') AS p, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l FROM (SELECT doc_id, {_MARKED_SQL} AS t FROM documents)),
+  x AS (SELECT doc_id, i, p[i] AS s, {_OFFSET_SQL.format(list="p", i="i - 1")} AS a FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM m)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS r, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM x WHERE s = '`'),
+  q AS (SELECT doc_id, l[j] AS s, {_OFFSET_SQL.format(list="l", i="j")} AS b FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS j FROM m)),
+  zones AS (SELECT doc_id, 'code_fence' AS type, a + 3 AS "start", CAST(a + strlen(s) - 3 AS INT) AS "end" FROM x WHERE starts_with(s, '```') AND strlen(s) > 6
+  UNION ALL SELECT k.doc_id, 'code_inline', k.a + 1, k.b FROM k JOIN x ON x.doc_id = k.doc_id AND x.i = k.i + 1 WHERE k.n % 2 = 1 AND k.r = k.i + 2 AND NOT starts_with(x.s, '`')
+  UNION ALL SELECT doc_id, 'quote', CAST(e - strlen(c) AS INT), e FROM (SELECT doc_id, CAST(b - CASE WHEN ends_with(s, chr(10)) THEN 1 ELSE 0 END AS INT) AS e, regexp_extract(s, '^[ \t]*> *([^ \n][^\n]*)', 1) AS c FROM q) WHERE c <> '')"""
+
+
+def _areas(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.explode(text.zones_col(_marked(F.col("text")))).alias("z"))
+    return d.select("doc_id", "z.*")
+
+
+@query("l06_zones", f"WITH {_ZONES_SQL} SELECT * FROM zones")
+def _(spark, sf):
+    return _areas(spark, sf)
+
+
 _WORDS = ("worthless", "pathetic", "disgusting", "clown", "loser")
 
 
@@ -785,6 +816,28 @@ def _(spark, sf):
     return d.groupBy("doc_id", F.col("h.term").alias("term")).agg(F.count("*").alias("hits"))
 
 
+_COMMON = {"and": 3, "und": 2, "die": 1, "que": 2, "is": 1, "in": 4}
+_COMMON_SQL = "(VALUES " + ", ".join(f"('{w}', {n})" for w, n in _COMMON.items()) + ") AS r(term, severity)"
+_COMMON_PACK = Pack(lemmas=[Lemma(w, "generic", n) for w, n in _COMMON.items()], stop={"in"})
+_SPANS_SQL = f"""w AS (SELECT doc_id, regexp_extract_all(lower({{text}}), '(?s)[\\p{{{{L}}}}\\p{{{{N}}}}\\p{{{{Mn}}}}\\p{{{{Pc}}}}]+|.') AS p FROM documents),
+  spans AS (SELECT doc_id, term, severity, {_OFFSET_SQL.format(list="p", i="i - 1")} AS span_start FROM (SELECT doc_id, p, unnest(list_filter(range(1, len(p) + 1), lambda i: list_contains({[w for w in _COMMON if w != "in"]}, p[i]))) AS i FROM w) JOIN {_COMMON_SQL} ON r.term = p[i])"""
+
+
+@query("l10_lemma_spans", f"WITH {_SPANS_SQL.format(text='text')} SELECT doc_id, term, span_start, CAST(span_start + strlen(term) AS INT) AS span_end FROM spans")
+def _(spark, sf):
+    """Lemmas of all documents found by a join of their pieces with the rules; a term on the stop list is none."""
+    d = read(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    return lemmas.lemma_hits(d, "doc_id", "text", _COMMON_PACK).select("doc_id", "term", "span_start", "span_end")
+
+
+@query("l16_dampened_by_zones", f"WITH {_SPANS_SQL.format(text=_MARKED_SQL)}, {_ZONES_SQL}, t AS (SELECT s.doc_id, s.span_start, list(DISTINCT z.type ORDER BY z.type) AS tags FROM spans s JOIN zones z ON z.doc_id = s.doc_id AND z.\"start\" < s.span_start + strlen(s.term) AND z.\"end\" > s.span_start GROUP BY 1, 2) SELECT s.doc_id, term, s.span_start, COALESCE(array_to_string(tags, ','), '') AS zones, CAST(greatest(1, severity - COALESCE(len(tags), 0)) AS INT) AS level FROM spans s LEFT JOIN t ON t.doc_id = s.doc_id AND t.span_start = s.span_start")
+def _(spark, sf):
+    """Lemmas of all documents with the zones that they touch, each of which takes a level off."""
+    d = read(spark, sf, "documents").select("doc_id", F.lower(_marked(F.col("text"))).alias("text"))
+    tagged = lemmas.zone_tags(lemmas.lemma_hits(d, "doc_id", "text", _COMMON_PACK), _areas(spark, sf), "doc_id")
+    return tagged.select("doc_id", "term", "span_start", F.array_join("zones", ",").alias("zones"), "level")
+
+
 @query("l22_detected_hits")
 def _(spark, sf):
     """Hits of the small own pack in all documents, in the stored form."""
