@@ -7,6 +7,7 @@ aggregates (a), windows (w), top lists (t), sets (u), sources (s), text (l), pip
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -21,7 +22,7 @@ from tonelake.operators.detector import Options, detect, hits
 from tonelake.operators.scope import Scope, hits_in, predicate
 from tonelake.plans import compact, endpoints, views
 from tonelake.session import spread
-from tonelake.sources import facts, hourly, sinks
+from tonelake.sources import bucketed, facts, hourly, sinks
 from tonelake.sources.facts import read, with_facts
 from tonelake.sources.rulepack import OWN, Lemma, Pack, from_json
 
@@ -918,9 +919,11 @@ def _(spark, sf):
     return _edge(done.select("hour_utc", "bf_status"))
 
 
-@query("s11_compacted_facts", with_facts("SELECT strftime(bucket_hour, '%Y-%m-%d %H:%M:%S') AS bucket_hour, detver, count(*) AS facts, CAST(sum(text_len) AS BIGINT) AS text_sum, CAST(sum(hit_id % 50 + 5) AS BIGINT) AS ends, CAST(sum(hit_id % 9) AS BIGINT) AS distances, count(*) FILTER (target_type <> 'none') AS aimed, max('<' || term) AS before_term, max(term || '>') AS after_term FROM crimes WHERE detver = 2 GROUP BY 1, 2"))
-def _(spark, sf):
-    """Facts as `compact.wide_facts` joins them, from raw hits with all columns, some of them stored twice."""
+_S11_SQL = with_facts("SELECT strftime(bucket_hour, '%Y-%m-%d %H:%M:%S') AS bucket_hour, detver, count(*) AS facts, CAST(sum(text_len) AS BIGINT) AS text_sum, CAST(sum(hit_id % 50 + 5) AS BIGINT) AS ends, CAST(sum(hit_id % 9) AS BIGINT) AS distances, count(*) FILTER (target_type <> 'none') AS aimed, max('<' || term) AS before_term, max(term || '>') AS after_term FROM crimes WHERE detver = 2 GROUP BY 1, 2")
+
+
+def _raw_hits_and_utterances(spark, sf):
+    """Raw tables with all columns; some hits are stored twice."""
     c = facts.crimes(spark, sf)
     h = c.select(
         F.col("hit_id").alias("id"), "utterance_id", "created_at", "source", "repo_hid", "actor_hid", "lang_code", "term", "category", "severity", F.lit("none").alias("ctx_action"),
@@ -929,12 +932,33 @@ def _(spark, sf):
         F.concat(F.lit("<"), "term").alias("pre_context"), F.concat("term", F.lit(">")).alias("post_context"), F.array().cast("array<string>").alias("zones"), F.lit(1).alias("ingest_batch_id"), F.lit(2).alias("ver"))
     u = facts.utterances(spark, sf).select("*", F.lit("x").alias("source_detail"), F.lit(None).cast("smallint").alias("lang_confidence"), F.lit(1).alias("ingest_batch_id"), F.lit(1).alias("ver"))
     raw = h.unionByName(h.filter("id % 4 = 0").withColumns({"ver": F.lit(1), "term": F.lit("old")}))
-    wide = compact.wide_facts(compact.newest(raw, ["id"]), compact.newest(u, ["id"]), 2)
+    return raw, u
+
+
+def _told(wide):
     return _edge(wide.groupBy("bucket_hour", "detver").agg(
         F.count("*").alias("facts"), F.sum("text_len").cast("long").alias("text_sum"), F.sum("target_span_end").cast("long").alias("ends"), F.sum("target_distance").cast("long").alias("distances"),
         F.count_if(F.col("target_type") != "none").alias("aimed"), F.max("pre_context").alias("before_term"), F.max("post_context").alias("after_term")))
 
 
+@query("s11_compacted_facts", _S11_SQL)
+def _(spark, sf):
+    """Facts as `compact.wide_facts` joins them, from raw hits with all columns, some of them stored twice."""
+    raw, u = _raw_hits_and_utterances(spark, sf)
+    return _told(compact.wide_facts(compact.newest(raw, compact.HIT_KEYS), compact.newest(u, ["id"]), 2))
+
+
+@query("s11_bucketed_facts", _S11_SQL)
+def _(spark, sf):
+    """The same from tables stored in buckets by utterance: neither the newest rows nor the join need a shuffle."""
+    raw, u = _raw_hits_and_utterances(spark, sf)
+    name = uuid.uuid4().hex
+    path = sinks.scratch(spark, "buckets")
+    for df, kind, key in ((raw, "hits", "utterance_id"), (u, "utterances", "id")):
+        bucketed.store(df, f"{kind}_{name}", key, f"{path}/{kind}", 8)
+    return _told(compact.wide_facts(compact.newest(bucketed.read(spark, f"hits_{name}"), compact.HIT_KEYS), compact.newest(bucketed.read(spark, f"utterances_{name}"), ["id"]), 2))
+
+
 # Texts that each show a rule of the detector, and the hit that each has: term, category, level, action, target, zones, start.
 _SHOWN = (
     ("clown", ("clown", "harassment", 1, "none", "none", "", 0)),

@@ -17,6 +17,7 @@ from tonelake.operators.aggregates import hour_states, latest_version
 from tonelake.sources.sinks import overwrite_slices, remove, slices
 
 HOUR = "yyyy-MM-dd-HH"
+HIT_KEYS = ["utterance_id", "id"]  # an id is a digest over its utterance; both keep a layout by utterance
 
 
 def newest(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,7 +61,7 @@ def run(hits: DataFrame, utterances: DataFrame, out: str, detver: int, retention
         if hour in seen:
             remove(spark, f"{folder}/detver={detver}")
     u = newest(utterances, ["id"]).persist()
-    facts = wide_facts(newest(hits, ["id"]), u, detver).withColumn("hour", hour_of(F.col("bucket_hour")))
+    facts = wide_facts(newest(hits, HIT_KEYS), u, detver).withColumn("hour", hour_of(F.col("bucket_hour")))
     overwrite_slices(facts, f"{out}/commit_crimes", "hour", "detver", sort=("repo_hid", "actor_hid"))
     states = hour_states(u).withColumn("hour", hour_of(F.col("bucket_hour")))
     overwrite_slices(states, f"{out}/utt_hour_agg", "hour", sort=("repo_hid", "actor_hid"))
