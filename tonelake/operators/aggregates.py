@@ -102,3 +102,30 @@ def read_states(merged: DataFrame, *keys: str) -> DataFrame:
     return merged.select(*keys, F.hll_sketch_estimate("u_sketch").alias("uniq"), "cnt", "text_sum", q(F.col("text_q")).alias("text_quantiles"),
                          "sent_cnt", F.try_divide("sent_sum", "sent_cnt").alias("sent_avg"),
                          q(F.when(F.col("sent_cnt") > 0, F.col("sent_q"))).alias("sent_quantiles"), "min_at", "max_at")
+
+
+def heavy_states(df: DataFrame, item: Column, *keys: Column | str, tracked: int = 384) -> DataFrame:
+    """Per key a bounded state of an item's heavy hitters and the number of rows, which merges in any order.
+
+    Nulls count as an item of their own."""
+    return df.groupBy(*keys).agg(F.call_function("approx_top_k_accumulate", item, F.lit(tracked)).alias("heavy"), F.count("*").alias("rows"))
+
+
+def merge_heavy(states: DataFrame, *keys: Column | str, tracked: int = 384) -> DataFrame:
+    return states.groupBy(*keys).agg(F.call_function("approx_top_k_combine", "heavy", F.lit(tracked)).alias("heavy"), F.sum("rows").alias("rows"))
+
+
+def guaranteed_share(tracked: int) -> float:
+    """The share of a key's rows above which an item is surely found: the state's table has the next power of two of
+    tracked / 0.75 cells, its counts are off by at most 3.5 / cells of the rows, and an item is told if it is above that
+    even at its least."""
+    cells = 1
+    while cells * 0.75 < tracked:
+        cells *= 2
+    return 8 / cells
+
+
+def heavy_items(merged: DataFrame, *keys: str, tracked: int = 384) -> DataFrame:
+    """(keys, item, estimate) of all items that the states tell; none above `guaranteed_share` is missing."""
+    told = F.call_function("approx_top_k_estimate", F.col("heavy"), F.lit(tracked))
+    return merged.select(*keys, F.explode(told).alias("h")).select(*keys, "h.item", F.col("h.count").alias("estimate"))

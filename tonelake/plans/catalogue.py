@@ -20,9 +20,9 @@ from tonelake.operators import aggregates as agg
 from tonelake.operators import consent, joins, language, ledger, lemmas
 from tonelake.operators.detector import Options, detect, hits
 from tonelake.operators.scope import Scope, hits_in, predicate
-from tonelake.plans import compact, endpoints, views
+from tonelake.plans import ask, compact, endpoints, views
 from tonelake.session import spread
-from tonelake.sources import bucketed, facts, hourly, sinks
+from tonelake.sources import bucketed, facts, hourly, retention, sinks
 from tonelake.sources.facts import read, with_facts
 from tonelake.sources.rulepack import OWN, Lemma, Pack, from_json
 
@@ -959,6 +959,40 @@ def _(spark, sf):
     return _told(compact.wide_facts(compact.newest(bucketed.read(spark, f"hits_{name}"), compact.HIT_KEYS), compact.newest(bucketed.read(spark, f"utterances_{name}"), ["id"]), 2))
 
 
+_TRACKED = 384
+_HEAVY = agg.guaranteed_share(_TRACKED)
+
+
+@query("a12_heavy_words", f"SELECT lang, word, n FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total FROM (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[^ \\t-\\r]+')) AS word FROM documents) GROUP BY 1, 2)) WHERE n > total * {_HEAVY}")
+def _(spark, sf):
+    """Words above the share that the states guarantee, by language: states by source and language are merged, and what
+    they tell is counted exactly."""
+    words = read(spark, sf, "documents").select("lang", "source", F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t-\r]+"), F.lit(0))).alias("word"))
+    merged = agg.merge_heavy(agg.heavy_states(words, F.col("word"), "lang", "source", tracked=_TRACKED), "lang", tracked=_TRACKED)
+    told = agg.heavy_items(merged, "lang", tracked=_TRACKED).select(F.col("lang").alias("l"), F.col("item").alias("word"))
+    # without broadcast hints: the states of many languages may tell much
+    counted = words.alias("w").join(told.alias("t"), (F.col("w.word") == F.col("t.word")) & F.col("w.lang").eqNullSafe(F.col("t.l")))
+    n = counted.groupBy("w.lang", "w.word").agg(F.count("*").alias("n"))
+    of = merged.select(F.col("lang").alias("l"), "rows")
+    return n.join(of, F.col("lang").eqNullSafe(F.col("l"))).filter(F.col("n") > F.col("rows") * _HEAVY).select("lang", "word", "n")
+
+
+@query("s03_byte_budget", "SELECT l_shipdate, l_orderkey, l_linenumber, n, running FROM (SELECT l_shipdate, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY l_shipdate DESC, l_orderkey * 8 + l_linenumber RANGE UNBOUNDED PRECEDING) AS BIGINT) AS running FROM lineitem) WHERE running > (SELECT sum(CAST(l_quantity AS BIGINT)) // 2 FROM lineitem)")
+def _(spark, sf):
+    """Lines taken as files of `quantity` bytes: those to remove so that the newest fill half of all bytes."""
+    f = read(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("n"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("tie"))
+    half = f.agg(F.expr("sum(n) div 2").alias("half"))
+    run = retention.running_bytes(f, "l_shipdate", "tie", "n").crossJoin(F.broadcast(half)).filter("running > half")
+    return run.select(F.col("l_shipdate"), "l_orderkey", "l_linenumber", "n", "running")
+
+
+@query("s08_parameterised", with_facts("SELECT term, count(*) AS hits FROM crimes WHERE severity <> 'mild' AND (lang_code = 'fr' OR term = 'it''s \" --') AND created_at >= TIMESTAMP '2024-01-03' GROUP BY 1 HAVING count(*) >= 2"))
+def _(spark, sf):
+    """Bound values stay values, quotes and all."""
+    sql = "SELECT term, count(*) AS hits FROM {crimes} WHERE severity <> :severity AND (lang_code = :lang OR term = :odd) AND created_at >= :first GROUP BY term HAVING count(*) >= :least"
+    return ask.many(spark, sql, {"severity": "mild", "lang": "fr", "odd": "it's \" --", "first": datetime(2024, 1, 3), "least": 2}, crimes=facts.crimes(spark, sf))
+
+
 # Texts that each show a rule of the detector, and the hit that each has: term, category, level, action, target, zones, start.
 _SHOWN = (
     ("clown", ("clown", "harassment", 1, "none", "none", "", 0)),

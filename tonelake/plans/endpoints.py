@@ -121,7 +121,8 @@ def seasonality(months: DataFrame) -> DataFrame:
 
 def category_mix(crimes: DataFrame, last_year: int, key: str = "category") -> DataFrame:
     """Shares of the last two years, largest first."""
-    df = crimes.filter(F.year("created_at").isin(last_year, last_year - 1)).groupBy(F.year("created_at").alias("year"), or_label(F.col(key), "unknown").alias("key")).agg(F.count("*").alias("hits"))
+    both = hits_in(crimes, Scope(date(last_year - 1, 1, 1), date(last_year, 12, 31)))  # a range, which reaches the scan
+    df = both.groupBy(F.year("created_at").alias("year"), or_label(F.col(key), "unknown").alias("key")).agg(F.count("*").alias("hits"))
     whole = df.groupBy("year").agg(F.sum("hits").alias("of"))
     return df.join(F.broadcast(whole), "year").select("year", "key", "hits", ratio(F.col("hits"), F.col("of")).alias("share"))
 
@@ -240,10 +241,11 @@ def clamped(limit: int, usual: int, most: int | None = None) -> int:
 def samples_masked(crimes: DataFrame, utterances: DataFrame, text: str = "text_normalized", limit: int = 50) -> DataFrame:
     """The latest utterances with hits, each with its hits, and the hits' spans hidden in the text.
 
-    Spans count bytes of the normalized text, and each hidden byte gives one asterisk."""
-    spans = crimes.groupBy("utterance_id").agg(
-        F.max("created_at").alias("created_at"), F.array_sort(F.collect_set(F.struct("span_start", "span_end", "term", "severity"))).alias("hits"))
-    latest = spans.orderBy(F.desc("created_at"), F.asc("utterance_id")).limit(clamped(limit, 50, 200))
+    Spans count bytes of the normalized text, and each hidden byte gives one asterisk.  Hits are collected of the page's
+    utterances alone."""
+    page = crimes.groupBy("utterance_id").agg(F.max("created_at").alias("created_at")).orderBy(F.desc("created_at"), F.asc("utterance_id")).limit(clamped(limit, 50, 200))
+    own = crimes.drop("created_at").join(F.broadcast(page), "utterance_id")
+    latest = own.groupBy("utterance_id", "created_at").agg(F.array_sort(F.collect_set(F.struct("span_start", "span_end", "term", "severity"))).alias("hits"))
     joined = utterances.select(F.col("id").alias("utterance_id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(latest), "utterance_id")
 
     def hide(t: Column, h: Column) -> Column:

@@ -55,10 +55,10 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty repositories, with the main language and counters that a catalogue would hold."""
+    """The repositories of the events, with the main language and counters that a catalogue would hold."""
     k = F.col("id")
     langs = F.map_from_arrays(F.array(F.lit("Go"), F.lit("Rust"), F.lit("C")), F.array(k % 7, k % 5, k % 3))
-    return spark.range(20).select(
+    return read(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("id")).distinct().select(
         hid("repo", k).alias("repo_hid"), F.concat(F.lit("owner"), k % 4, F.lit("/repo"), k).alias("full_name"), langs.alias("languages"),
         F.element_at(F.array(F.lit("Go"), F.lit("Rust"), F.lit("C")), (k % 3 + 1).cast("int")).alias("primary_lang"), (k * 97 % 1500).cast("int").alias("stars"))
 
@@ -93,7 +93,7 @@ crimes AS (
 repositories AS (
   SELECT sha256('repo:' || k) AS repo, 'owner' || (k % 4) || '/repo' || k AS full_name, ['Go', 'Rust', 'C'][k % 3 + 1] AS primary_lang,
          CAST(k * 97 % 1500 AS INT) AS stars, k
-  FROM range(20) AS t(k)),
+  FROM (SELECT DISTINCT user_id % 20 AS k FROM events)),
 receipts AS (
   SELECT o_orderkey AS consent_id, CASE WHEN o_orderkey % 2 = 0 THEN 'repo' ELSE 'actor' END AS principal, o_custkey AS principal_key,
          CASE WHEN o_orderkey % 3 = 0 THEN 'opt_out' ELSE 'opt_in' END AS action, o_orderdate AS created_at,
