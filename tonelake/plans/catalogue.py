@@ -22,7 +22,7 @@ from tonelake.operators.detector import Options, detect, hits
 from tonelake.operators.scope import Scope, hits_in, predicate
 from tonelake.plans import ask, compact, endpoints, views
 from tonelake.session import spread
-from tonelake.sources import bucketed, facts, hourly, retention, sinks
+from tonelake.sources import bucketed, database, facts, hourly, retention, sinks
 from tonelake.sources.facts import read, with_facts
 from tonelake.sources.rulepack import OWN, Lemma, Pack, from_json
 
@@ -986,6 +986,17 @@ def _(spark, sf):
     return run.select(F.col("l_shipdate"), "l_orderkey", "l_linenumber", "n", "running")
 
 
+@query("s13_rows_of_a_database", "SELECT c_nationkey, count(*) AS customers, CAST(sum(c_custkey) AS BIGINT) AS keys, max(c_name) AS last_name FROM customer WHERE c_custkey >= 40 GROUP BY 1")
+def _(spark, sf):
+    """Customers written to a database, some of them twice, and read from it in parts."""
+    url, table = database.own_url(spark), f"customer_{uuid.uuid4().hex[:16]}"
+    c = read(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_name")
+    for rows in (c.filter("c_custkey % 3 > 0"), c):
+        database.insert_missing(rows, url, table, ["c_custkey"], types="c_name VARCHAR(200)")
+    got = database.read(spark, url, table, '"c_custkey"').filter("c_custkey >= 40")
+    return got.groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.sum("c_custkey").alias("keys"), F.max("c_name").alias("last_name"))
+
+
 @query("s08_parameterised", with_facts("SELECT term, count(*) AS hits FROM crimes WHERE severity <> 'mild' AND (lang_code = 'fr' OR term = 'it''s \" --') AND created_at >= TIMESTAMP '2024-01-03' GROUP BY 1 HAVING count(*) >= 2"))
 def _(spark, sf):
     """Bound values stay values, quotes and all."""
