@@ -955,7 +955,7 @@ def _(spark, sf):
     name = uuid.uuid4().hex
     path = sinks.scratch(spark, "buckets")
     for df, kind, key in ((raw, "hits", "utterance_id"), (u, "utterances", "id")):
-        bucketed.store(df, f"{kind}_{name}", key, f"{path}/{kind}", 8)
+        bucketed.store(df, f"{kind}_{name}", key, f"{path}/{kind}", 2)
     return _told(compact.wide_facts(compact.newest(bucketed.read(spark, f"hits_{name}"), compact.HIT_KEYS), compact.newest(bucketed.read(spark, f"utterances_{name}"), ["id"]), 2))
 
 
