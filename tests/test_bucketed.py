@@ -65,3 +65,16 @@ def test_hours_are_pruned_and_replaced_alone(spark, tables, tmp_path):
     bucketed.store(raw.limit(0), name, "utterance_id", f"{tmp_path}/t", 3)  # no hours, so none is replaced
     assert bucketed.read(spark, name).count() == raw.count() - one.count() + 1
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_days_as_partitions(spark, tables, tmp_path):
+    raw, *_ = tables
+    name = f"d_{uuid.uuid4().hex}"
+    bucketed.store(raw, name, "utterance_id", f"{tmp_path}/d", 3, unit="day")
+    day = raw.select(F.date_format("created_at", "yyyy-MM-dd").alias("d")).agg(F.min("d")).first()[0]
+    one = bucketed.read(spark, name, day, day)
+    assert "(day#" in plan(one) and one.count() == raw.filter(F.date_format("created_at", "yyyy-MM-dd") == day).count() > 0
+    assert bucketed.layout(spark, name) == ("utterance_id", 3, "day") and bucketed.read(spark, name).count() == raw.count()
+    with pytest.raises(ValueError, match="laid out"):
+        bucketed.store(raw, name, "utterance_id", f"{tmp_path}/d", 3)
+    spark.sql(f"DROP TABLE {name}")

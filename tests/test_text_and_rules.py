@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tonelake.functions import ids
 from tonelake.functions.text import fold_spaces, normalize, sanitize, script_and_lang, zones
@@ -171,3 +174,18 @@ def test_identifiers():
     assert ids.fnv1a64(b"") == 0xCBF29CE484222325 and ids.fnv1a64(b"a") == 0xAF63DC4C8601EC8C
     assert ids.synthetic_id("actor:", "") == 0 and ids.synthetic_id("actor:", "x") < 0
     assert ids.batch_id(["b", "a"]) == ids.batch_id(["a", "b"])
+
+
+def test_uuids_of_columns_are_those_of_values(spark):
+    from tonelake.functions import ids
+
+    numbers = [0, 1, -1, 63, 64, -65, 127, 128, 300, -(2**31), 2**31 - 1, 2**62, -(2**63), 2**63 - 1]
+    rows = [(f"line é {n}\n", "Push:COMMIT", n, str(uuid.UUID(int=abs(n) * 7919)), "wörd", "generic", "mild", n % 2**31 - 2**30, n % 1000) for n in numbers]
+    df = spark.createDataFrame(rows, "raw string, detail string, n long, u string, term string, category string, severity string, a int, b int")
+    got = df.select("n", ids.utterance_uuid_col(F.col("raw"), F.col("detail"), F.col("n")).alias("x"), ids.hit_uuid_col(*[F.col(c) for c in ("u", "term", "category", "severity", "a", "b")]).alias("y"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    told = {r.n: (r.x, r.y) for r in got.collect()}
+    for raw, detail, n, *hit in rows:
+        assert told[n] == (ids.utterance_uuid(raw.encode(), detail, n), ids.hit_uuid(*hit))
+    none = df.limit(1).select(ids.utterance_uuid_col(F.lit(None).cast("string"), F.col("detail"), F.col("n")).alias("x"), ids.hit_uuid_col(F.col("u"), F.lit(None).cast("string"), *[F.col(c) for c in ("category", "severity", "a", "b")]).alias("y")).first()
+    assert none.x is None and none.y is None

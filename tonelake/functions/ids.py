@@ -1,7 +1,7 @@
 """Identifiers that must come out the same whenever a row is processed again.
 
-SHA-256 keys of repositories and actors are built-in functions; FNV-1a ids and the UUIDs made of hashed bytes need
-byte work that Spark SQL lacks, so they are small Python functions behind Arrow batches.
+SHA-256 keys of repositories and actors and the UUIDs made of hashed bytes are built-in functions, beside plain ones for
+single values; only FNV-1a ids need byte work that Spark SQL lacks, a small Python function behind Arrow batches.
 """
 
 from __future__ import annotations
@@ -94,22 +94,45 @@ def synthetic_id_col(prefix: str, key: Column) -> Column:
     return run(key)
 
 
-def utterance_uuid_col(raw: Column, detail: Column, ordinal: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(raw: pd.Series, detail: pd.Series, ordinal: pd.Series) -> pd.Series:
-        return pd.Series([utterance_uuid(r.encode(), d, int(o)) for r, d, o in zip(raw, detail, ordinal, strict=True)], dtype=object)
+def _stamped_col(raw: Column) -> Column:
+    """`stamped` of a SHA-256 of binary."""
+    h = F.sha2(raw, 256)
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
 
-    return run(raw, detail, ordinal)
+def _zigzag_col(n: Column) -> Column:
+    """`zigzag` of a long."""
+    n = n.cast("long")
+    z = F.shiftleft(n, 1).bitwiseXOR(F.shiftright(n, 63))
+    text = F.lit("")
+    for k in range(10):
+        rest, more = F.shiftrightunsigned(z, 7 * k), F.shiftrightunsigned(z, 7 * k + 7) if k < 9 else F.lit(0)
+        byte = F.lpad(F.hex(rest.bitwiseAND(F.lit(127)) + F.when(more != 0, 128).otherwise(0)), 2, "0")
+        text = F.concat(text, byte if k == 0 else F.when(rest != 0, byte).otherwise(""))
+    return F.unhex(text)
 
 
-def hit_uuid_col(*columns: Column) -> Column:
-    """Of utterance id, term, category, severity, start and end."""
-    @F.pandas_udf("string")
-    def run(utterance: pd.Series, term: pd.Series, category: pd.Series, severity: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-        every = zip(utterance, term, category, severity, start, end, strict=True)
-        return pd.Series([hit_uuid(u, t, c, s, int(a), int(b)) for u, t, c, s, a, b in every], dtype=object)
+def _little_int(n: Column) -> Column:
+    """The four bytes of an int, lowest first."""
+    h = F.lpad(F.hex(n.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
+    return F.unhex(F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)]))
 
-    return run(*columns)
+
+def utterance_uuid_col(raw: Column, detail: Column, ordinal: Column) -> Column:
+    """`utterance_uuid` of columns; null where one of them is."""
+    sep = F.lit(bytearray(b"\x1f"))
+    named = F.concat(F.encode(raw, "UTF-8"), sep, F.encode(F.lower(detail), "UTF-8"), sep, _zigzag_col(ordinal))
+    return F.when(named.isNotNull(), _stamped_col(named))
+
+
+def hit_uuid_col(utterance: Column, term: Column, category: Column, severity: Column, start: Column, end: Column) -> Column:
+    """`hit_uuid` of columns; null where one of them is."""
+    parts = [F.lit(bytearray(b"hit")), F.unhex(F.replace(utterance, F.lit("-"), F.lit(""))), F.lit(bytearray(b"\x1f"))]
+    for c in (term, category, severity):
+        parts += [F.encode(c, "UTF-8"), F.lit(bytearray(b"\0"))]
+    named = F.concat(*parts, _little_int(start), _little_int(end))
+    return F.when(named.isNotNull(), _stamped_col(named))
 
 
 def batch_id(ids: list[str], most: int = 64) -> int:

@@ -714,6 +714,18 @@ def _(spark, sf):
     return _edge(merged.select("source", "cnt", "text_sum", "sent_cnt", "min_at", "max_at"))
 
 
+@query("a02_estimated_distinct", "SELECT o_orderpriority, o_orderstatus, CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers, TRUE AS near FROM orders GROUP BY 1, 2")
+def _(spark, sf):
+    """Exact customers by status, and whether the estimate of the merged daily states is within five standard
+    errors (8 percent, and 2) of them."""
+    o = read(spark, sf, "orders")
+    exact = o.groupBy("o_orderpriority", "o_orderstatus").agg(F.count_distinct("o_custkey").alias("customers"))
+    days = o.groupBy("o_orderdate", "o_orderpriority", "o_orderstatus").agg(F.hll_sketch_agg("o_custkey", F.lit(12)).alias("state"))
+    about = days.groupBy(F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s")).agg(F.hll_sketch_estimate(F.hll_union_agg("state")).alias("about"))
+    near = F.abs(F.col("about") - F.col("customers")) <= F.col("customers") * 0.08 + 2
+    return exact.join(about, F.col("o_orderpriority").eqNullSafe(F.col("p")) & F.col("o_orderstatus").eqNullSafe(F.col("s"))).select("o_orderpriority", "o_orderstatus", "customers", near.alias("near"))
+
+
 @query("a03_sketch_estimates")
 def _(spark, sf):
     """Estimated distinct ids and quantiles of merged states; tests hold them against the exact ones."""
@@ -955,7 +967,7 @@ def _(spark, sf):
     name = uuid.uuid4().hex
     path = sinks.scratch(spark, "buckets")
     for df, kind, key in ((raw, "hits", "utterance_id"), (u, "utterances", "id")):
-        bucketed.store(df, f"{kind}_{name}", key, f"{path}/{kind}", 2)
+        bucketed.store(df, f"{kind}_{name}", key, f"{path}/{kind}", 8, unit="day")
     return _told(compact.wide_facts(compact.newest(bucketed.read(spark, f"hits_{name}"), compact.HIT_KEYS), compact.newest(bucketed.read(spark, f"utterances_{name}"), ["id"]), 2))
 
 
