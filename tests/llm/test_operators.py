@@ -146,6 +146,18 @@ def test_best_fit(lengths):
     assert sorted(sum(lengths[k] for k in row) for row in rows) == sorted(sum(lengths[k] for k in row) for row in plain)
 
 
+def test_packing_depends_on_rows_alone(spark):
+    docs = spark.createDataFrame([(k % 90 if k % 10 else None, "word " * (k * 37 % 400) + str(k % 7)) for k in range(400)], "doc_id long, text string")
+    told = lambda df: sorted(map(str, packing.pack(df, BYTES, seq_len=128, block_bytes=20_000).collect()))
+    one = told(docs.coalesce(1))
+    assert len({x.split("'")[1] for x in one}) > 5 and told(docs.repartition(7)) == told(docs.orderBy(F.desc("text")).repartition(3)) == one
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    try:
+        assert told(docs) == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 def test_packing_is_lossless(spark):
     docs, size = odd_docs(spark), 64
     pieces, encoder = {}, token_counts.byte_level(BYTES)

@@ -1,17 +1,21 @@
 """Token-id output: documents packed into fixed rows of ids by best-fit decreasing.
 
 Method: each text is encoded and an end-of-document id follows it; what is longer than a row is split, losslessly,
-into full rows and a rest.  The pieces of a block (a bounded number of tokens of one task) are taken in descending
+into full rows and a rest.  The pieces of a block are taken in descending
 length, and each goes to the open row with the least room that still holds it.  That row is found with a segment tree
 over room sizes 0..row length, whose nodes count the rows that have such room: one descent per piece.  A packed row
 carries the id matrix row (little-endian uint16 or uint32, padded), the cumulative segment lengths and the position of
 every id inside its segment, which restarts from 0 at each segment; `parts` tells which piece of its document it is.
 
-Blocks, not the whole corpus, are packed: packing needs no order between documents, so no shuffle is made, a lost task
-is packed again from its input alone, and the waste of a block is below one row beyond what best fit leaves.
+Blocks, not the whole corpus, are packed.  A row's block is a hash of its id and text modulo the number of blocks, which
+follows from the bytes of all texts, and rows come to a task in the order of block and hash; so the result depends on the
+rows alone, not on how the input is split or how many cores there are.  Texts are shuffled once for this, many blocks to a
+partition.  A block of more than `BLOCK_TOKENS` is packed in parts, so memory is bounded also where one row is repeated
+very often (equal rows have one hash, so they are one task's work).  The waste of a block is below one row beyond what
+best fit leaves.
 
 Defined results: a null or empty text is a document of one id, the end id; repeated rows are packed as often as they
-occur; ties of length go by document id, then by part.
+occur; ties of length go by document id, then by part; ids are whole numbers or null, and what can't be cast to one fails.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_TOKENS = 4_000_000
+BLOCK_BYTES = 1 << 20  # of text, on average
 
 
 class RoomTree:
@@ -100,13 +105,16 @@ def _pack(tokenizer_path: str, seq_len: int, end_id: int, pad_id: int, dtype: st
         ], ["block", "row", "n_tokens", "doc_ids", "parts", "cu_seqlens", "ids", "position_ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
         from tonelake.llm.token_counts import token_ids
 
-        task = TaskContext.get().partitionId()
-        pieces, held, block = [], 0, 0
+        pieces, held, at_block, chunk = [], 0, None, 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for block, doc, text in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "text")), strict=True):
+                if pieces and (block != at_block or held >= BLOCK_TOKENS):
+                    yield packed(pieces, f"{at_block:09d}-{chunk:04d}")
+                    pieces, held, chunk = [], 0, chunk + 1
+                if block != at_block:
+                    at_block, chunk = block, 0
                 ids = np.append(token_ids(tokenizer_path, text), end_id)
                 if ids.max() > np.iinfo(dtype).max:
                     raise ValueError(f"token ids above {np.iinfo(dtype).max} need more bytes an id")
@@ -114,21 +122,21 @@ def _pack(tokenizer_path: str, seq_len: int, end_id: int, pad_id: int, dtype: st
                 for part, at in enumerate(range(0, len(ids), seq_len)):
                     pieces.append((doc, part, ids[at : at + seq_len]))
                 held += len(ids)
-                if held >= BLOCK_TOKENS:
-                    yield packed(pieces, f"{task:06d}-{block:04d}")
-                    pieces, held, block = [], 0, block + 1
         if pieces:
-            yield packed(pieces, f"{task:06d}-{block:04d}")
+            yield packed(pieces, f"{at_block:09d}-{chunk:04d}")
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int = 50256, pad_id: int = 0,
-         id_bytes: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_bytes: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per packed sequence: block, row, n_tokens, doc_ids, parts, cu_seqlens, ids and position_ids (binary)."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dtype = {2: "<u2", 4: "<u4"}[id_bytes]
-    return src.mapInArrow(_pack(tokenizer_path, seq_len, end_id, pad_id, dtype), "block string, row long, n_tokens int, "
+    total = src.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    dealt = src.withColumn("__h", F.xxhash64("doc_id", "text")).withColumn("block", F.pmod("__h", F.lit(max(1, -(-total // block_bytes)))))
+    dealt = dealt.repartition("block").sortWithinPartitions("block", "__h", "doc_id", "text").drop("__h")
+    return dealt.mapInArrow(_pack(tokenizer_path, seq_len, end_id, pad_id, dtype), "block string, row long, n_tokens int, "
                           "doc_ids array<long>, parts array<int>, cu_seqlens array<int>, ids binary, position_ids binary")
 
 
