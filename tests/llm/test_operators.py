@@ -347,6 +347,15 @@ def test_matches_against_all_pairs(spark):
     assert {(r.doc_id, r.item_id) for r in few.collect()} == set(want)
     leaked = df.filter(decontaminate.contaminated(df, bench)).select("doc_id").collect()
     assert {r.doc_id for r in leaked} == {i for i, _ in want}
+    stay = sorted(i for i, _ in docs if i not in {i for i, _ in want})
+    for size in (200, 4 << 20):  # many blocks, one block
+        left = decontaminate.clean(df, bench.union(bench), block_bytes=size)
+        assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == stay
+    assert decontaminate.clean(df, bench.limit(0)).count() == len(docs)
+    index = decontaminate.Index([x for x in items if x[1] is not None], 0.05)
+    assert [index.holds_any(t) for _, t in docs] == [bool(index.matches(t)) for _, t in docs]
+    with pytest.raises(ValueError, match="use clean"):
+        decontaminate.contaminated(df, bench, block_bytes=200)
 
 
 @settings(max_examples=200, deadline=None)

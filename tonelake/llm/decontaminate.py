@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.llm.common import remove, stored
+
 _other = re.compile(r"[\W_]+")
 
 
@@ -108,6 +110,24 @@ class Index:
             out.append((item_id, d, s, max(s, e - 2)))  # without the spaces at either end
         return out
 
+    def holds_any(self, raw: str | None) -> bool:
+        """Whether `matches` has a place; ends at the first that is verified."""
+        text = normalise(raw)
+        if not text or not self.items:
+            return False
+        text, tried = f" {text} ", set()
+        for end, (length, uses) in self.automaton.iter(text):
+            for at, offset in uses:
+                _, item, k = self.items[at]
+                start = end + 1 - length - offset
+                if 0 <= start and text.startswith(item, start):
+                    return True
+                if k and (at, start) not in tried:
+                    tried.add((at, start))
+                    if myers(item, text[max(0, start - k) : start + len(item) + k], k):
+                        return True
+        return False
+
 
 def _search(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,16 +174,35 @@ def _holds_any(shared, rate: float):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = Index(shared.value, rate)
         for texts in batches:
-            yield pd.Series([bool(index.matches(t)) for t in texts], dtype=bool)
+            yield pd.Series([index.holds_any(t) for t in texts], dtype=bool)
 
     return run
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_bytes: int = 4 << 20,
+          text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text holds no test item.  A worker holds one block of items at a time: between two blocks the
+    rows that are left are written to the shared folder, and what a block rejects isn't looked at again.  Items of equal
+    text are looked for once."""
+    left, before, shared = docs, None, None
+    once = benchmark.groupBy(F.col(item_text_col).alias("t")).agg(F.min(item_col).alias("i"))
+    for items in blocks(once, "i", "t", block_bytes):
+        if shared is not None:
+            left, path = stored(left, "clean")
+            shared.destroy()
+            if before:
+                remove(docs.sparkSession, before)
+            before = path
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        left = left.filter(~_holds_any(shared, rate)(F.col(text_col)))
+    return left
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_bytes: int = 4 << 20,
                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"):
-    """A column that tells whether a text holds any test item, for filters."""
-    found = F.lit(False)
-    for items in blocks(benchmark, item_col, item_text_col, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-        found = found | _holds_any(shared, rate)(F.col(text_col))
-    return found
+    """A column that tells whether a text holds any test item, for filters; a benchmark of more than one block, whose
+    items every worker would hold at once, is an error (`clean` takes any size)."""
+    first, *more = blocks(benchmark, item_col, item_text_col, block_bytes)
+    if more:
+        raise ValueError(f"the test items take more than {block_bytes} bytes; use clean")
+    return _holds_any(docs.sparkSession.sparkContext.broadcast(first), rate)(F.col(text_col))
