@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tonelake.llm.common import ascii_lower, connected_components, durable, hook, in_blocks, smallest_reached
+from tonelake.llm.common import ascii_lower, connected_components, durable, hook, in_blocks, smallest_reached, unsent
 
 ALL = (1 << 64) - 1
 
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
     own = durable(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), width).alias("fp")), "fingerprints")
     distinct = durable(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     named = smallest_reached(distinct, durable(fingerprint_links(distinct.select("fp"), radius), "links"), "fp", "first_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return own.join(unsent(named), "fp").select("doc_id", "fp", "component_id")
 
 
 def _propose(radius: int, similarity: float, masks: list[int]):
@@ -280,11 +280,11 @@ def near_copies(docs: DataFrame, seeds: tuple[int, ...] = (42, 7), radius: int =
     masks = covering_masks(radius)
     units = in_blocks(_buckets(marked, seeds, masks), "bucket", F.col("item"), block)
     seed = F.floor(F.col("bucket").bitwiseAND(F.lit(TABLES)) / len(masks)).cast("int")
-    ordered = (units.join(marked.select("item", "rank", "fps", "n"), "item").select("bucket", "a", "b", "part", F.col("fps")[seed].alias("fp"), "n", "item", "rank")
+    ordered = (units.join(unsent(marked.select("item", "rank", "fps", "n")), "item").select("bucket", "a", "b", "part", F.col("fps")[seed].alias("fp"), "n", "item", "rank")
                .repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b"))
     trials = durable(ordered.mapInArrow(_propose(radius, similarity, masks), "u long, v long").distinct(), "trials")
     tried = trials.select(F.explode(F.array("u", "v")).alias("item")).distinct()
-    sets = durable(items.join(tried, "item", "left_semi").select("item", shingle_set(single_spaced(text), words).alias("s")), "shingles")
+    sets = durable(items.join(unsent(tried), "item", "left_semi").select("item", shingle_set(single_spaced(text), words).alias("s")), "shingles")
     both = (trials.join(sets.select(F.col("item").alias("u"), F.col("s").alias("su")), "u")
             .join(sets.select(F.col("item").alias("v"), F.col("s").alias("sv")), "v"))
     common = F.size(F.array_intersect("su", "sv"))
