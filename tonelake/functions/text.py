@@ -30,7 +30,7 @@ SPACES = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 
 WORD = r"\p{L}\p{N}\p{Mn}\p{Pc}"
-CHUNK = 512  # pieces whose lengths are summed up one by one
+CHUNK, LEVELS = 4, 6  # pieces whose lengths are summed up one by one, and how often chunks are chunked again
 
 _control = re.compile(CONTROL)
 _leet = str.maketrans(LEET_FROM, LEET_TO)
@@ -143,22 +143,23 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 def starts(parts: Column) -> Column:
     """The byte offset at which each part of a text begins, and that of the end.
 
-    Lengths are summed up within chunks and over whole chunks, so the work is parts * CHUNK + (parts / CHUNK)^2 additions
-    and no array grows by one element at a time."""
+    Lengths are summed up within chunks, the chunks' totals within chunks of their own, and so on, so the work is
+    parts * CHUNK + (parts / CHUNK^LEVELS)^2 additions and no array grows by one element at a time."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
-    def of_lengths(lengths: Column) -> Column:
-        firsts = F.sequence(F.lit(0), F.floor(F.size(lengths) / CHUNK).cast("int"))
-        return let(F.transform(firsts, lambda k: F.slice(lengths, k * CHUNK + 1, F.lit(CHUNK))), of_chunks)
+    def before(sizes: Column, levels: int) -> Column:
+        """The sum of all elements before each one."""
+        if not levels:
+            return F.transform(sizes, lambda _, i: total(F.slice(sizes, F.lit(1), i)))
+        firsts = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int"))
+        return let(F.transform(firsts, lambda k: F.slice(sizes, k * CHUNK + 1, F.lit(CHUNK))), lambda chunks: over(chunks, levels))
 
-    def of_chunks(chunks: Column) -> Column:
-        return let(F.transform(chunks, total), lambda sums: F.flatten(F.transform(chunks, lambda c, k: let(total(F.slice(sums, F.lit(1), k)), lambda base: inside(c, base)))))
-
-    def inside(c: Column, base: Column) -> Column:
-        return F.transform(c, lambda _, i: base + total(F.slice(c, F.lit(1), i)))
+    def over(chunks: Column, levels: int) -> Column:
+        inside = lambda c, base: F.transform(c, lambda _, i: base + total(F.slice(c, F.lit(1), i)))
+        return let(F.transform(chunks, total), lambda sums: F.flatten(F.zip_with(chunks, before(sums, levels - 1), inside)))
 
     # one more part of no length, which begins at the end
-    return let(F.concat(F.transform(parts, lambda x: F.octet_length(x)), F.array(F.lit(0))), of_lengths)
+    return let(F.concat(F.transform(parts, lambda x: F.octet_length(x)), F.array(F.lit(0))), lambda sizes: before(sizes, LEVELS))
 
 
 def zones_col(c: Column, inline_in_fence: bool = False) -> Column:
