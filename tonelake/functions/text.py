@@ -208,13 +208,29 @@ def _byte_offsets(text: str) -> list[int]:
     return out
 
 
+def script_hint(c: Column) -> Column:
+    """struct(script, lang): the script of most letters, and of texts of 20 letters or more the language that a script's
+    presence tells.
+
+    Letters are taken out script by script, and counted by what is left, so each pass reads only the letters that no
+    script before had; Latin comes first, since it leaves nothing of most texts."""
+    def counted(rest: Column, left: tuple[str, ...], count: dict[str, Column], every: Column) -> Column:
+        if not left:
+            return told(count, every)
+        s = left[0]
+        return let(F.regexp_replace(rest, rf"\p{{Is{s}}}+", ""), lambda r: counted(r, left[1:], count | {s: F.char_length(rest) - F.char_length(r)}, every))
+
+    def told(count: dict[str, Column], every: Column) -> Column:
+        ranked = F.array(*[F.struct((-count[s]).alias("n"), F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(SCRIPTS)])
+        lang = F.when(every < LEAST_LETTERS, "")
+        for s, code in LANG_OF_SCRIPT.items():
+            lang = lang.when(count[s] > 0, code)
+        return let(F.array_min(ranked), lambda first: F.struct(F.when(first["n"] < 0, first["s"]).otherwise("").alias("script"), lang.otherwise("").alias("lang")))
+
+    return let(F.regexp_replace(c, r"\P{L}+", ""), lambda own: counted(own, SCRIPTS[::-1], {}, F.char_length(own)))
+
+
 def script_and_lang(c: Column) -> tuple[Column, Column]:
-    """The script of most letters, and of texts of 20 letters or more the language that a script's presence tells."""
-    count = {s: F.regexp_count(c, F.lit(rf"[\p{{L}}&&\p{{Is{s}}}]")) for s in SCRIPTS}
-    ranked = F.array(*[F.struct((-count[s]).alias("n"), F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(SCRIPTS)])
-    first = F.array_min(ranked)
-    script = F.when(first["n"] < 0, first["s"]).otherwise("")
-    lang = F.when(F.regexp_count(c, F.lit(r"\p{L}")) < LEAST_LETTERS, "")
-    for s, code in LANG_OF_SCRIPT.items():
-        lang = lang.when(count[s] > 0, code)
-    return script, lang.otherwise("")
+    """The two fields of `script_hint`; take that where both are wanted."""
+    found = script_hint(c)
+    return found["script"], found["lang"]
