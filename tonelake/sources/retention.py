@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OLDEST = 2**63 - 1
@@ -14,6 +14,17 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("tie", F.xxhash64("path")))
 
 
+def _below(bounds: list[int], x: Column) -> Column:
+    """How many of the sorted bounds are less than x, by a tree of comparisons, log2 of them a row and compiled."""
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.lit(bounds[mid]).cast("long") < x, tree(mid + 1, high)).otherwise(tree(low, mid))
+
+    return tree(0, len(bounds))
+
+
 def running_bytes(files: DataFrame, at: str, tie: str, size: str, cells: int = 64) -> DataFrame:
     """files with `running`, the bytes of all files that are as new or newer, by time and then by the number `tie`.
 
@@ -27,8 +38,7 @@ def running_bytes(files: DataFrame, at: str, tie: str, size: str, cells: int = 6
                            "__n": F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long"))})
     bounds = sorted(set(f.agg(F.percentile_approx("__a", points)).first()[0] or []))
     below = lambda b, x: F.size(F.filter(b, lambda y: y < x))
-    known = F.array(*map(F.lit, bounds)).cast("array<bigint>")
-    f = f.withColumn("__cell", 2 * below(known, F.col("__a")) + F.array_contains(known, F.col("__a")).cast("int"))
+    f = f.withColumn("__cell", 2 * _below(bounds, F.col("__a")) + F.col("__a").isin(bounds).cast("int"))
     own = f.filter("__cell % 2 = 1").groupBy("__cell").agg(F.percentile_approx("__t", points).alias("__b")).collect()
     ties = spark.createDataFrame([(r["__cell"], sorted(set(r["__b"]))) for r in own], "__cell int, __b array<bigint>")
     f = f.join(F.broadcast(ties), "__cell", "left").withColumn("__sub", F.coalesce(below(F.col("__b"), F.col("__t")), F.lit(0))).drop("__b")
