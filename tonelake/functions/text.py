@@ -30,7 +30,7 @@ SPACES = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 
 WORD = r"\p{L}\p{N}\p{Mn}\p{Pc}"
-CHUNK, LEVELS = 4, 6  # pieces whose lengths are summed up one by one, and how often chunks are chunked again
+CHUNK, LEVELS = 16, 4  # pieces whose lengths are summed up one by one, and how often chunks are chunked again
 
 _control = re.compile(CONTROL)
 _leet = str.maketrans(LEET_FROM, LEET_TO)
