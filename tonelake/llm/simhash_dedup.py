@@ -12,9 +12,8 @@ classes is dealt into n / `block` parts by hash and each pair of parts is one un
 large bucket; from a unit only a spanning forest of its links leaves, not its pairs, and of these only pairs that
 share no bucket of an earlier table.  Components come from rounds of star contraction over these links.
 
-`near_copies` is for pipelines: covering searches over two fingerprints of the distinct words, which move less with an
-edit than those of four-word shingles, propose pairs, and a pair counts where the exact Jaccard similarity of its sets
-of five-word shingles is high enough.
+`near_copies` is for pipelines: an exact join of sets of five-word shingles by Jaccard similarity.  Two sets that are
+similar enough share one of the first shingles of both, rare ones first, and only such pairs are tried.
 
 Defined results: null and empty texts have no words and so the zero fingerprint, which links like any other; fewer
 words than `width` are one shingle; repeated rows keep their own rows; ids may be repeated, and null ids come last.
@@ -22,16 +21,17 @@ words than `width` are one shingle; repeated rows keep their own rows; ids may b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tonelake.llm.common import ascii_lower, connected_components, durable, hook, in_blocks, smallest_reached, unsent
+from tonelake.llm.common import ascii_lower, connected_components, durable, hook, in_blocks, remove, smallest_reached, stored, unsent
 
 ALL = (1 << 64) - 1
 
@@ -61,16 +61,6 @@ def fingerprint_of(text: bytes | None, width: int) -> int:
     return _majority(votes, n)
 
 
-def fingerprint_of_set(words: list[bytes], seed: int) -> int:
-    """The fingerprint of distinct words; zero for none."""
-    import xxhash
-
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(words), 65_536):
-        _votes([xxhash.xxh64_intdigest(w, seed) for w in words[at : at + 65_536]], votes)
-    return _majority(votes, len(words))
-
-
 def fingerprint(text: Column, width: int = 4) -> Column:
     """The SimHash of each whole text as a (signed) long."""
 
@@ -82,23 +72,6 @@ def fingerprint(text: Column, width: int = 4) -> Column:
     return run(text.cast("binary"))
 
 
-def _marks(text: Column, seeds: tuple[int, ...], size: int) -> Column:
-    """A fingerprint of each text's distinct words for each seed, and how many distinct shingles of `size` words it has."""
-
-    @F.pandas_udf("struct<fps array<long>, n long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            counts, fps = [], []
-            for t in texts:
-                w = t.lower().split() if t else []
-                counts.append(len(set(zip(*(w[k:] for k in range(size)), strict=False))) or int(bool(w)))
-                kinds = list(set(w))
-                fps.append([_signed(fingerprint_of_set(kinds, seed)) for seed in seeds])
-            yield pd.DataFrame({"fps": fps, "n": counts})
-
-    return run(text.cast("binary"))
-
-
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
     """2^(radius+1) - 1 masks; any `radius` positions are all outside one of them at least.
 
@@ -187,58 +160,127 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, id_col: st
     return own.join(unsent(named), "fp").select("doc_id", "fp", "component_id")
 
 
-def _propose(radius: int, similarity: float, masks: list[int]):
-    def told(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of rows that share no bucket of an earlier table of their fingerprint, by their items."""
-        first = _first_shared(masks, np.ascontiguousarray(x[:, 4]), np.ascontiguousarray(y[:, 4]), (x[:, 0] & TABLES) % len(masks))
-        return np.minimum(x[first, 6], y[first, 6]), np.maximum(x[first, 6], y[first, 6])
+#: Longs of the sketch of a set of shingles; how many frequent shingles are told to all tasks at most.
+SKETCH, FREQUENT = 8, 1 << 16
+#: Powers of an odd number and of its inverse, modulo 2^64, for as many bytes as the longest piece of text had so far.
+_odd = 0x9E3779B97F4A7C15
+_powers: dict[int, np.ndarray] = {_odd: np.ones(1, np.uint64), pow(_odd, -1, 1 << 64): np.ones(1, np.uint64)}
+
+
+def _powers_of(x: int, n: int) -> np.ndarray:
+    if len(_powers[x]) < n:
+        _powers[x] = np.multiply.accumulate(np.append(np.uint64(1), np.full(2 * n, x, np.uint64)))
+    return _powers[x][:n]
+
+
+def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
+    """The sorted hashes of the distinct shingles of `size` words; fewer words are one shingle, and no words none.
+
+    A shingle is a stretch of the text with single spaces, and its polynomial a difference of two running sums.
+    """
+    words = text.lower().split() if text else []
+    found, n = [np.zeros(0, np.uint64)], max(len(words) - size + 1, int(bool(words)))
+    for at in range(0, n, 65_536):  # a very long text is taken piece by piece
+        c = np.frombuffer(b" ".join(words[at : at + 65_536 + size - 1]), np.uint8)
+        ends = np.append(np.flatnonzero(c == 32), len(c))
+        here = max(len(ends) - size + 1, 1)
+        a, b = np.append(0, ends[:-1] + 1)[:here], ends[-here:]
+        total = np.append(np.uint64(0), np.cumsum((c.astype(np.uint64) + np.uint64(1)) * _powers_of(_odd, len(c))))
+        h = (total[b] - total[a]) * _powers_of(pow(_odd, -1, 1 << 64), len(c) + 1)[a]
+        for shift, by in ((32, 0xD6E8FEB86659FD93), (29, 0xC2B2AE3D27D4EB4F), (32, 0x165667B19E3779F9)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+        found.append(np.unique(h ^ (h >> np.uint64(31))))
+    return np.unique(np.concatenate(found)) if len(found) > 2 else found[-1]
+
+
+def _frequent(items: DataFrame, text: Column, size: int) -> np.ndarray:
+    """Shingles that many texts have, rarest first: those of three or more of every eighth item, FREQUENT at most.  They
+    only tell in which order shingles are looked at; what is found doesn't depend on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py(), size).view(np.int64))], ["s"])
+
+    eighth = items.filter(F.pmod(F.xxhash64("item"), F.lit(8)) == 0).select(text.cast("binary").alias("t"))
+    often = eighth.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 2")
+    return often.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toArrow().column(0).to_numpy()[::-1].view(np.uint64)
+
+
+def _marks(text: Column, size: int, similarity: float, frequent: np.ndarray) -> Column:
+    """Of each text's set of shingles the size n, a sketch, and its first shingles.
+
+    All sets are looked at in one order: by hash, the frequent shingles after all others.  Two sets of Jaccard similarity
+    s have s * n shingles of either in common at least, so they share one of the first n - s * n + 1 of both.  A bit of
+    the sketch is the parity of the shingles that fall on it, so two sketches differ in no more bits than the sets in
+    shingles.
+    """
+    order = np.argsort(frequent)
+    known, place = frequent[order], order + 1
+
+    @F.pandas_udf("struct<n long, sketch array<long>, first array<long>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            n, sketches, first = [], [], []
+            for t in texts:
+                h = shingle_hashes(t, size)
+                n.append(len(h))
+                bits = np.bincount((h & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+                sketches.append(np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8"))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, place[at], 0), kind="stable")]
+                first.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
+            yield pd.DataFrame({"n": n, "sketch": sketches, "first": first})
+
+    return run(text.cast("binary"))
+
+
+def _propose(similarity: float, every: bool):
+    """Pairs of items that may be similar: in each bucket every item with the nearest and the first of the items before
+    it, or with `every` one before it that has another head.  Sizes and sketches only rule out what can't be similar."""
+    part, item, rank, size_of, head, sketch = 3, 4, 5, 6, 7, slice(8, 8 + SKETCH)
+    differ = (1 - similarity) / (1 + similarity)
+
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The bits in which sketches differ, or -1 where the two sets can't be similar."""
+        bits = sum(np.bitwise_count((x[..., k] ^ y[..., k]).view(np.uint64)).astype(np.int16) for k in range(sketch.start, sketch.stop))
+        n, m = x[..., size_of], y[..., size_of]
+        return np.where((bits <= differ * (n + m) + 1e-6) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6) & (x[..., head] != y[..., head]), bits, np.int16(-1))
+
+    def batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x[:, item], y[:, item])), pa.array(np.maximum(x[:, item], y[:, item]))], ["u", "v"])
 
     def settle(rows: np.ndarray, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
-        size, found = np.diff(np.append(edge, len(rows))), []
+        size = np.diff(np.append(edge, len(rows)))
         pairs = edge[size == 2]
         if len(pairs):
             x, y = rows[pairs], rows[pairs + 1]
-            near = (np.bitwise_count((x[:, 4] ^ y[:, 4]).view(np.uint64)) <= radius) & ((x[:, 1] == x[:, 2]) | (x[:, 3] != y[:, 3]))
-            near &= np.minimum(x[:, 5], y[:, 5]) >= similarity * np.maximum(x[:, 5], y[:, 5])
-            found.append(told(x[near], y[near]))
+            near = (apart(x, y) >= 0) & ((x[:, 1] == x[:, 2]) | (x[:, part] != y[:, part]))
+            yield batch(x[near], y[near])
         for s, n in zip(edge[size > 2], size[size > 2], strict=True):
-            unit = rows[s : s + n][np.lexsort((rows[s : s + n, 6], rows[s : s + n, 7]))]
-            fp, shingles, part, a, b = np.ascontiguousarray(unit[:, 4]).view(np.uint64), unit[:, 5], unit[:, 3], unit[0, 1], unit[0, 2]
-            for left, right in {(a, b), (b, a)}:  # each item of the left part with the nearest and the first of the like items before it
-                one, two = np.flatnonzero(part == left), np.flatnonzero(part == right)
-                step = max(1, 2_000_000 // max(len(two), 1))
+            unit = rows[s : s + n][np.lexsort((rows[s : s + n, item], rows[s : s + n, rank]))]
+            a, b = unit[0, 1], unit[0, 2]
+            for left, right in {(a, b), (b, a)}:
+                one, two = np.flatnonzero(unit[:, part] == left), np.flatnonzero(unit[:, part] == right)
+                step = max(1, 1_000_000 // max(len(two), 1))
                 for at in range(0, len(one) if len(two) else 0, step):
                     some = one[at : at + step]
                     before = two[: np.searchsorted(two, some[-1])]
-                    if len(before):
-                        bits = np.bitwise_count(fp[some][:, None] ^ fp[before][None, :])
-                        x, y = shingles[some][:, None], shingles[before][None, :]
-                        bits[(before[None, :] >= some[:, None]) | (x < similarity * y) | (y < similarity * x)] = 65
-                        for tried in (bits.argmin(1), (bits <= radius).argmax(1)):
-                            hit = bits[np.arange(len(bits)), tried] <= radius
-                            found.append(told(unit[before[tried[hit]]], unit[some[hit]]))
-        u, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-    return lambda batches: _units(batches, ("bucket", "a", "b", "part", "fp", "n", "item", "rank"), settle)
-
-
-#: The bits of a bucket's number that hold its table.
-TABLES = 255
-
-
-def _buckets(marked: DataFrame, seeds: tuple[int, ...], masks: list[int]) -> DataFrame:
-    """(bucket, item): for each fingerprint and mask of an item the bucket, whose low bits are the table's number."""
-    if len(seeds) * len(masks) > TABLES + 1:
-        raise ValueError("more tables than a bucket's number has room for")
-    tables = []
-    for k in range(len(seeds)):
-        for t, m in enumerate(masks):
-            at = F.lit(k * len(masks) + t)
-            kept = F.xxhash64(at, F.col("fps")[k].bitwiseAND(F.lit(_signed(m))))
-            tables.append(kept.bitwiseAND(F.lit(~TABLES)).bitwiseOR(at.cast("long")))
-    return marked.select(F.explode(F.array(*tables)).alias("bucket"), "item")
+                    if not len(before):
+                        continue
+                    bits = apart(unit[some][:, None, :], unit[before][None, :, :])
+                    bits[before[None, :] >= some[:, None]] = -1
+                    if every:
+                        i, j = np.nonzero(bits >= 0)
+                        yield batch(unit[some[i]], unit[before[j]])
+                        continue
+                    for tried in (np.where(bits < 0, np.int16(32767), bits).argmin(1), (bits >= 0).argmax(1)):
+                        hit = bits[np.arange(len(bits)), tried] >= 0
+                        yield batch(unit[some[hit]], unit[before[tried[hit]]])
+
+    columns = ("bucket", "a", "b", "part", "item", "rank", "n", "head", *[f"s{k}" for k in range(SKETCH)])
+    return lambda batches: _units(batches, columns, settle)
 
 
 def single_spaced(text: Column) -> Column:
@@ -257,17 +299,16 @@ def shingle_set(words: Column, size: int) -> Column:
     return F.when(words == "", F.array().cast("array<long>")).otherwise(F.array_distinct(F.transform(rows, lambda shingle: F.xxhash64(shingle))))
 
 
-def near_copies(docs: DataFrame, seeds: tuple[int, ...] = (42, 7), radius: int = 5, words: int = 5, similarity: float = 0.8, block: int = 16_384,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without exact and near copies: one row of each group stays, that of the smallest id.
 
-    Texts that are equal but for ASCII case and white space are one item.  Items of which one of the fingerprints of
-    distinct words, one for each seed, lies within the radius are tried: in each bucket of each table every item against
-    the nearest and the first of the items before it that have a like number of shingles, unless the two share a bucket
-    of an earlier table, so that a large group of copies gives a few trials an item, not all its pairs.  Items come in the
-    order of their ids where these are numbers, since what was copied often is older than its copies.  Items of equal `words`-word
-    shingle sets up to the similarity (Jaccard) are linked, and groups are what links connect.  Of rows that are equal in
-    id and text one stays; nulls come after all ids.
+    Texts that are equal but for ASCII case and white space are one item.  Items whose sets of `words`-word shingles are
+    equal up to the similarity (Jaccard) are linked, and groups are what links connect; no link between groups is missed.
+    Every two items that may be similar share a bucket, which is one of their first shingles (`_marks`).  In each bucket
+    every item is first tried with the nearest and the first of the items before it, so that a large group of copies
+    gives a few trials an item; items come in the order of their ids where these are numbers, since what was copied often
+    is older than its copies.  Then in buckets whose items are not all connected by what was found, every pair of items
+    that are not is tried.  Of rows that are equal in id and text one stays; nulls come after all ids.
     """
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     digest = F.unhex(F.md5(single_spaced(F.col(text_col)).cast("binary")))
@@ -276,19 +317,36 @@ def near_copies(docs: DataFrame, seeds: tuple[int, ...] = (42, 7), radius: int =
     text = F.col("row")[text_col]
     numeric = isinstance(items.schema["id"].dataType, IntegralType)
     rank = F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1)) if numeric else F.col("item")
-    marked = durable(items.select("item", "id", rank.alias("rank"), _marks(text, seeds, words).alias("m")).select("item", "id", "rank", "m.fps", "m.n"), "marks")
-    masks = covering_masks(radius)
-    units = in_blocks(_buckets(marked, seeds, masks), "bucket", F.col("item"), block)
-    seed = F.floor(F.col("bucket").bitwiseAND(F.lit(TABLES)) / len(masks)).cast("int")
-    ordered = (units.join(unsent(marked.select("item", "rank", "fps", "n")), "item").select("bucket", "a", "b", "part", F.col("fps")[seed].alias("fp"), "n", "item", "rank")
-               .repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b"))
-    trials = durable(ordered.mapInArrow(_propose(radius, similarity, masks), "u long, v long").distinct(), "trials")
-    tried = trials.select(F.explode(F.array("u", "v")).alias("item")).distinct()
-    sets = durable(items.join(unsent(tried), "item", "left_semi").select("item", shingle_set(single_spaced(text), words).alias("s")), "shingles")
-    both = (trials.join(sets.select(F.col("item").alias("u"), F.col("s").alias("su")), "u")
-            .join(sets.select(F.col("item").alias("v"), F.col("s").alias("sv")), "v"))
-    common = F.size(F.array_intersect("su", "sv"))
-    links = durable(both.filter(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v"), "links")
+    mark = _marks(text, words, similarity, _frequent(items, text, words))
+    marked = durable(items.select("item", "id", rank.alias("rank"), mark.alias("m")).select("item", "id", "rank", "m.*"), "marks")
+    each = marked.select(F.explode("first").alias("bucket"), "item").withColumn("__n", F.count("*").over(Window.partitionBy("bucket")))
+    members = durable(each.filter("__n > 1").select("bucket", "item"), "members")
+    sketch = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
+
+    def trials(members: DataFrame, heads: DataFrame, every: bool) -> DataFrame:
+        units = in_blocks(members, "bucket", F.col("item"), block).select("bucket", "a", "b", "part", "item")
+        known = marked.select("item", "rank", "n", *sketch).join(unsent(heads), "item")
+        ordered = units.join(unsent(known), "item").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+        return ordered.mapInArrow(_propose(similarity, every), "u long, v long").distinct()
+
+    def similar(trials: DataFrame) -> DataFrame:
+        tried = trials.select(F.explode(F.array("u", "v")).alias("item")).distinct()
+        sets, path = stored(items.join(unsent(tried), "item", "left_semi").select("item", shingle_set(single_spaced(text), words).alias("s")), "shingles")
+        both = (trials.join(unsent(sets.select(F.col("item").alias("u"), F.col("s").alias("su"))), "u")
+                .join(unsent(sets.select(F.col("item").alias("v"), F.col("s").alias("sv"))), "v"))
+        common = F.size(F.array_intersect("su", "sv"))
+        links = durable(both.filter(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v"), "links")
+        remove(items.sparkSession, path)
+        return links
+
+    some = durable(trials(members, marked.select("item", F.col("item").alias("head")), False), "trials")
+    links = similar(some)
+    heads = durable(smallest_reached(marked.select("item", "id"), links, "item", "id").select("item", "head"), "heads")
+    open_ = (members.join(unsent(heads), "item").groupBy("bucket").agg(F.min("head").alias("x"), F.max("head").alias("y"), F.count("*").alias("n"))
+             .filter("x <> y and n > 2").select("bucket"))
+    left = durable(members.join(unsent(open_), "bucket", "left_semi"), "open")
+    rest = durable(trials(left, heads, True).join(unsent(some), ["u", "v"], "left_anti"), "trials")
+    links = links.unionByName(similar(rest))
     copies = smallest_reached(marked.select("item", "id"), links, "item", "id").filter("head <> item").select("item")
     return items.join(copies, "item", "left_anti").select("row.*")
 
