@@ -15,6 +15,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +41,15 @@ _inline = re.compile(r"`([^`]*)`")
 _quoted = re.compile(r"^[ \t]*> *([^ \n][^\n]*)", re.M)
 
 
+SLICE = 64  # texts that a worker holds as Python strings at a time
+
+
+def in_slices(texts: pa.Array, of: Callable, kind: pa.DataType) -> pa.Array:
+    """of(text) for each text of an Arrow batch; Python objects are made for a few texts at a time, not for the batch."""
+    own = [pa.array([of(t) for t in texts.slice(k, SLICE).to_pylist()], kind) for k in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(own) if own else pa.array([], kind)
+
+
 def sanitize(text: str) -> str:
     """Without control characters but tab and line ends, and without what is no valid Unicode."""
     return _control.sub("", text.encode("utf-8", "ignore").decode())

@@ -20,11 +20,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonelake.functions.text import in_slices
+
 BUCKETS, SLICE = 1 << 14, 1 << 20
 _other = re.compile(r"[\W\d_]+")
 
@@ -48,7 +49,7 @@ def cells(text: str | None) -> np.ndarray:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for lang, text in ((x.as_py(), t.as_py()) for x, t in zip(batch.column(0), batch.column(1), strict=True)):  # one text at a time
             held.setdefault(lang, np.zeros(BUCKETS, np.int64))
             held[lang] += np.bincount(cells(text), minlength=BUCKETS)
     for lang, own in held.items():
@@ -105,10 +106,10 @@ def detect(spark: SparkSession, profiles: Profiles, text: Column, margin: float
     """struct(lang, reliable) of each whole text."""
     shared = spark.sparkContext.broadcast(profiles)  # BUCKETS numbers a language
 
-    @F.pandas_udf("struct<lang string, reliable boolean>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([verdict(shared.value, t, margin, least) for t in texts], columns=["lang", "reliable"])
+    @F.arrow_udf("struct<lang string, reliable boolean>")
+    def run(texts: pa.Array) -> pa.Array:
+        kind = pa.struct([("lang", pa.string()), ("reliable", pa.bool_())])
+        return in_slices(texts, lambda t: dict(zip(("lang", "reliable"), verdict(shared.value, t, margin, least), strict=True)), kind)
 
     return run(text)
 
@@ -117,9 +118,8 @@ def detect_mixed(spark: SparkSession, profiles: Profiles, text: Column, window:
     """map(language -> share of the text's trigrams in windows that it wins) of each whole text."""
     shared = spark.sparkContext.broadcast(profiles)
 
-    @F.pandas_udf("map<string, double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shares(shared.value, t, window, least) for t in texts], dtype=object)
+    @F.arrow_udf("map<string, double>")
+    def run(texts: pa.Array) -> pa.Array:
+        return in_slices(texts, lambda t: list(shares(shared.value, t, window, least).items()), pa.map_(pa.string(), pa.float64()))
 
     return run(text)
