@@ -14,13 +14,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from tonelake.functions.ids import hit_uuid_col
 from tonelake.functions.scalars import severity_of, stored_category
-from tonelake.functions.text import _byte_offsets, zones
+from tonelake.functions.text import _byte_offsets, in_slices, zones
 from tonelake.operators.aggregates import best_per_key
 from tonelake.sources.rulepack import Pack
 
@@ -153,12 +155,11 @@ def _built(key: str) -> Detector:
 
 def detect(text: Column, pack: Pack, options: Options = Options()) -> Column:
     """The array of hits of each normalized text."""
-    key = pickle.dumps((pack, options)).hex()
+    key, kind = pickle.dumps((pack, options)).hex(), to_arrow_type(DataType.fromDDL(f"array<{HIT}>"))
 
-    @F.pandas_udf(f"array<{HIT}>")
-    def run(texts: pd.Series) -> pd.Series:
-        detector = _built(key)
-        return texts.map(detector.scan)
+    @F.arrow_udf(f"array<{HIT}>")
+    def run(texts: pa.Array) -> pa.Array:
+        return in_slices(texts, _built(key).scan, kind)
 
     return run(text)
 
