@@ -31,7 +31,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tonelake.llm.common import ascii_lower, connected_components, durable, hook, in_blocks, remove, smallest_reached, stored, unsent
+from tonelake.llm.common import (
+    FEW_TEXTS, SHUFFLES_REMOVED, ascii_lower, bucketed, connected_components, durable, hook, in_blocks, remove, settings, smallest_reached, stored, unsent,
+)
 
 ALL = (1 << 64) - 1
 
@@ -193,6 +195,35 @@ def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if len(found) > 2 else found[-1]
 
 
+def wide_sketch(h: np.ndarray) -> np.ndarray:
+    """The parities of the shingles that fall on each of 2^k bits, two a shingle and 64 * SKETCH at least, as longs."""
+    bits = max(64 * SKETCH, 1 << (2 * len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def folded(sketch: np.ndarray, longs: int) -> np.ndarray:
+    """The sketch of the same set on fewer bits."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, longs), axis=0)
+
+
+def wide_apart(similarity: float):
+    """Whether two sets of n and m shingles can't be similar, since their wide sketches differ in more bits than such
+    sets do in shingles."""
+    differ = (1 - similarity) / (1 + similarity)
+
+    @F.pandas_udf("boolean")
+    def run(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        out = np.zeros(len(x), bool)
+        for k, (a, b) in enumerate(zip(x, y, strict=True)):
+            a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+            least = min(len(a), len(b))
+            out[k] = np.bitwise_count(folded(a, least) ^ folded(b, least)).sum() > differ * (n[k] + m[k]) + 1e-6
+        return pd.Series(out)
+
+    return run
+
+
 def _frequent(items: DataFrame, text: Column, size: int) -> np.ndarray:
     """Shingles that many texts have, rarest first: those of three or more of every eighth item, FREQUENT at most.  They
     only tell in which order shingles are looked at; what is found doesn't depend on them."""
@@ -208,30 +239,31 @@ def _frequent(items: DataFrame, text: Column, size: int) -> np.ndarray:
 
 
 def _marks(text: Column, size: int, similarity: float, frequent: np.ndarray) -> Column:
-    """Of each text's set of shingles the size n, a sketch, and its first shingles.
+    """Of each text's set of shingles the size n, a sketch, a wide sketch, and its first shingles.
 
     All sets are looked at in one order: by hash, the frequent shingles after all others.  Two sets of Jaccard similarity
     s have s * n shingles of either in common at least, so they share one of the first n - s * n + 1 of both.  A bit of
     the sketch is the parity of the shingles that fall on it, so two sketches differ in no more bits than the sets in
-    shingles.
+    shingles.  The wide one has two bits a shingle at least, so it also tells long texts apart; the other is its fold.
     """
     order = np.argsort(frequent)
     known, place = frequent[order], order + 1
 
-    @F.pandas_udf("struct<n long, sketch array<long>, first array<long>>")
+    @F.pandas_udf("struct<n long, sketch array<long>, wide binary, first array<long>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            n, sketches, first = [], [], []
+            n, sketches, wide, first = [], [], [], []
             for t in texts:
                 h = shingle_hashes(t, size)
                 n.append(len(h))
-                bits = np.bincount((h & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-                sketches.append(np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8"))
+                bits = wide_sketch(h)
+                wide.append(bits.tobytes())
+                sketches.append(folded(bits, SKETCH).view("<i8"))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[at] == h, place[at], 0), kind="stable")]
                 first.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
-            yield pd.DataFrame({"n": n, "sketch": sketches, "first": first})
+            yield pd.DataFrame({"n": n, "sketch": sketches, "wide": wide, "first": first})
 
     return run(text.cast("binary"))
 
@@ -310,17 +342,28 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, block:
     is older than its copies.  Then in buckets whose items are not all connected by what was found, every pair of items
     that are not is tried.  Of rows that are equal in id and text one stays; nulls come after all ids.
     """
+    with settings(docs.sparkSession, SHUFFLES_REMOVED):
+        items, copies = _items_and_copies(docs, words, similarity, block, id_col, text_col)
+    return items.join(copies.hint("shuffle_hash"), "digest", "left_anti").select("row.*")
+
+
+def _items_and_copies(docs: DataFrame, words: int, similarity: float, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Stored: the items, dealt by their digests, and the digests of those that are copies of others."""
+    spark = docs.sparkSession
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     digest = F.unhex(F.md5(single_spaced(F.col(text_col)).cast("binary")))
-    items = durable(docs.select(digest.alias("digest"), row.alias("least")).groupBy("digest").agg(F.min("least").alias("least"))
-                    .select(F.monotonically_increasing_id().alias("item"), "least.id", "least.row"), "items")
+    items = bucketed(docs.select(digest.alias("digest"), row.alias("least")).groupBy("digest").agg(F.min("least").alias("least"))
+                     .select(F.monotonically_increasing_id().alias("item"), "digest", "least.id", "least.row"), "digest", "items")
     text = F.col("row")[text_col]
     numeric = isinstance(items.schema["id"].dataType, IntegralType)
     rank = F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1)) if numeric else F.col("item")
-    mark = _marks(text, words, similarity, _frequent(items, text, words))
-    marked = durable(items.select("item", "id", rank.alias("rank"), mark.alias("m")).select("item", "id", "rank", "m.*"), "marks")
-    each = marked.select(F.explode("first").alias("bucket"), "item").withColumn("__n", F.count("*").over(Window.partitionBy("bucket")))
+    with settings(spark, FEW_TEXTS):
+        mark = _marks(text, words, similarity, _frequent(items, text, words))
+        whole, path = stored(items.select("item", "digest", "id", rank.alias("rank"), mark.alias("m")).select("item", "digest", "id", "rank", "m.*"), "marks")
+    each = whole.select(F.explode("first").alias("bucket"), "item").withColumn("__n", F.count("*").over(Window.partitionBy("bucket")))
     members = durable(each.filter("__n > 1").select("bucket", "item"), "members")
+    marked = durable(whole.drop("first"), "marks")
+    remove(spark, path)
     sketch = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
 
     def trials(members: DataFrame, heads: DataFrame, every: bool) -> DataFrame:
@@ -329,26 +372,31 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, block:
         ordered = units.join(unsent(known), "item").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
         return ordered.mapInArrow(_propose(similarity, every), "u long, v long").distinct()
 
+    def likely(trials: DataFrame) -> DataFrame:
+        """Without the pairs that wide sketches rule out.  Sets of up to 128 shingles have no wider one."""
+        wide = [unsent(marked.select(F.col("item").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))) for x in "uv"]
+        return trials.join(wide[0], "u").join(wide[1], "v").filter(~wide_apart(similarity)("wu", "wv", "nu", "nv")).select("u", "v")
+
     def similar(trials: DataFrame) -> DataFrame:
-        tried = trials.select(F.explode(F.array("u", "v")).alias("item")).distinct()
-        sets, path = stored(items.join(unsent(tried), "item", "left_semi").select("item", shingle_set(single_spaced(text), words).alias("s")), "shingles")
+        tried = trials.select(F.explode(F.array("u", "v")).alias("item")).distinct().join(unsent(marked.select("item", "digest")), "item").select("digest")
+        sets, path = stored(items.join(tried.hint("shuffle_hash"), "digest", "left_semi").select("item", shingle_set(single_spaced(text), words).alias("s")), "shingles")
         both = (trials.join(unsent(sets.select(F.col("item").alias("u"), F.col("s").alias("su"))), "u")
                 .join(unsent(sets.select(F.col("item").alias("v"), F.col("s").alias("sv"))), "v"))
         common = F.size(F.array_intersect("su", "sv"))
         links = durable(both.filter(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v"), "links")
-        remove(items.sparkSession, path)
+        remove(spark, path)
         return links
 
     some = durable(trials(members, marked.select("item", F.col("item").alias("head")), False), "trials")
-    links = similar(some)
+    links = similar(durable(likely(some), "likely"))
     heads = durable(smallest_reached(marked.select("item", "id"), links, "item", "id").select("item", "head"), "heads")
     open_ = (members.join(unsent(heads), "item").groupBy("bucket").agg(F.min("head").alias("x"), F.max("head").alias("y"), F.count("*").alias("n"))
              .filter("x <> y and n > 2").select("bucket"))
     left = durable(members.join(unsent(open_), "bucket", "left_semi"), "open")
     rest = durable(trials(left, heads, True).join(unsent(some), ["u", "v"], "left_anti"), "trials")
-    links = links.unionByName(similar(rest))
-    copies = smallest_reached(marked.select("item", "id"), links, "item", "id").filter("head <> item").select("item")
-    return items.join(copies, "item", "left_anti").select("row.*")
+    links = links.unionByName(similar(durable(likely(rest), "likely")))
+    found = smallest_reached(marked.select("item", "digest", "id"), links, "item", "id").filter("head <> item")
+    return items, durable(found.select("digest"), "copies")
 
 
 def hex_fingerprint(fp: Column) -> Column:
