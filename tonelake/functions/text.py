@@ -150,15 +150,14 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: then(x)), 1)
 
 
-def starts(parts: Column) -> Column:
-    """The byte offset at which each part of a text begins, and that of the end.
+def sums(sizes: Column) -> Column:
+    """The sum of all elements before each one of an array of numbers.
 
-    Lengths are summed up within chunks, the chunks' totals within chunks of their own, and so on, so the work is
-    parts * CHUNK + (parts / CHUNK^LEVELS)^2 additions and no array grows by one element at a time."""
+    They are summed up within chunks, the chunks' totals within chunks of their own, and so on, so the work is
+    elements * CHUNK + (elements / CHUNK^LEVELS)^2 additions and no array grows by one element at a time."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
     def before(sizes: Column, levels: int) -> Column:
-        """The sum of all elements before each one."""
         if not levels:
             return F.transform(sizes, lambda _, i: total(F.slice(sizes, F.lit(1), i)))
         firsts = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int"))
@@ -168,8 +167,13 @@ def starts(parts: Column) -> Column:
         inside = lambda c, base: F.transform(c, lambda _, i: base + total(F.slice(c, F.lit(1), i)))
         return let(F.transform(chunks, total), lambda sums: F.flatten(F.zip_with(chunks, before(sums, levels - 1), inside)))
 
+    return let(sizes, lambda sizes: before(sizes, LEVELS))
+
+
+def starts(parts: Column) -> Column:
+    """The byte offset at which each part of a text begins, and that of the end."""
     # one more part of no length, which begins at the end
-    return let(F.concat(F.transform(parts, lambda x: F.octet_length(x)), F.array(F.lit(0))), lambda sizes: before(sizes, LEVELS))
+    return sums(F.concat(F.transform(parts, lambda x: F.octet_length(x)), F.array(F.lit(0))))
 
 
 def zones_col(c: Column, inline_in_fence: bool = False) -> Column:
