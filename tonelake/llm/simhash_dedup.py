@@ -12,8 +12,9 @@ classes is dealt into n / `block` parts by hash and each pair of parts is one un
 large bucket; from a unit only a spanning forest of its links leaves, not its pairs, and of these only pairs that
 share no bucket of an earlier table.  Components come from rounds of star contraction over these links.
 
-`near_copies` is for pipelines: an exact join of sets of five-word shingles by Jaccard similarity.  Two sets that are
-similar enough share one of the first shingles of both, rare ones first, and only such pairs are tried.
+`near_copies` is for pipelines: what the method above links is a candidate, and an exact check by the Jaccard similarity
+of sets of five-word shingles follows.  An exact join of these sets finds what fingerprints can't tell: two sets that
+are similar enough share one of the first shingles of both, rare ones first, and such pairs are tried too.
 
 Defined results: null and empty texts have no words and so the zero fingerprint, which links like any other; fewer
 words than `width` are one shingle; repeated rows keep their own rows; ids may be repeated, and null ids come last.
@@ -238,8 +239,8 @@ def _frequent(items: DataFrame, text: Column, size: int) -> np.ndarray:
     return often.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toArrow().column(0).to_numpy()[::-1].view(np.uint64)
 
 
-def _marks(text: Column, size: int, similarity: float, frequent: np.ndarray) -> Column:
-    """Of each text's set of shingles the size n, a sketch, a wide sketch, and its first shingles.
+def _marks(text: Column, size: int, similarity: float, frequent: np.ndarray, width: int) -> Column:
+    """Of each text its fingerprint, and of its set of shingles the size n, a sketch, a wide sketch, and its first shingles.
 
     All sets are looked at in one order: by hash, the frequent shingles after all others.  Two sets of Jaccard similarity
     s have s * n shingles of either in common at least, so they share one of the first n - s * n + 1 of both.  A bit of
@@ -249,7 +250,7 @@ def _marks(text: Column, size: int, similarity: float, frequent: np.ndarray) ->
     order = np.argsort(frequent)
     known, place = frequent[order], order + 1
 
-    @F.pandas_udf("struct<n long, sketch array<long>, wide binary, first array<long>>")
+    @F.pandas_udf("struct<n long, fp long, sketch array<long>, wide binary, first array<long>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             n, sketches, wide, first = [], [], [], []
@@ -263,7 +264,8 @@ def _marks(text: Column, size: int, similarity: float, frequent: np.ndarray) ->
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[at] == h, place[at], 0), kind="stable")]
                 first.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
-            yield pd.DataFrame({"n": n, "sketch": sketches, "wide": wide, "first": first})
+            fp = np.array([fingerprint_of(t, width) for t in texts], np.uint64).view(np.int64)
+            yield pd.DataFrame({"n": n, "fp": fp, "sketch": sketches, "wide": wide, "first": first})
 
     return run(text.cast("binary"))
 
@@ -331,11 +333,25 @@ def shingle_set(words: Column, size: int) -> Column:
     return F.when(words == "", F.array().cast("array<long>")).otherwise(F.array_distinct(F.transform(rows, lambda shingle: F.xxhash64(shingle))))
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def alike(items: DataFrame, radius: int) -> DataFrame:
+    """Pairs (u, v), u < v, of items (item, fp) that connect what fingerprints connect: each item with the first one of its
+    fingerprint, and the first ones of fingerprints that are linked."""
+    classes = durable(items.groupBy("fp").agg(F.min("item").alias("first")), "classes")
+    links = durable(fingerprint_links(classes.select("fp"), radius), "links")
+    same = items.join(unsent(classes), "fp").filter("item > first").select(F.col("first").alias("u"), F.col("item").alias("v"))
+    ends = (links.join(unsent(classes.select(F.col("fp").alias("u"), F.col("first").alias("x"))), "u")
+            .join(unsent(classes.select(F.col("fp").alias("v"), F.col("first").alias("y"))), "v"))
+    return same.unionByName(ends.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 16_384, id_col: str = "doc_id", text_col: str = "text",
+                width: int = 4, radius: int = 4) -> DataFrame:
     """The rows of docs without exact and near copies: one row of each group stays, that of the smallest id.
 
     Texts that are equal but for ASCII case and white space are one item.  Items whose sets of `words`-word shingles are
     equal up to the similarity (Jaccard) are linked, and groups are what links connect; no link between groups is missed.
+    Tried are pairs that the fingerprints of `width`-word shingles connect within the radius, as in `near_duplicates`, which
+    by itself would also link texts that have little but one repeated line in common; and all others that may be similar.
     Every two items that may be similar share a bucket, which is one of their first shingles (`_marks`).  In each bucket
     every item is first tried with the nearest and the first of the items before it, so that a large group of copies
     gives a few trials an item; items come in the order of their ids where these are numbers, since what was copied often
@@ -343,11 +359,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, block:
     that are not is tried.  Of rows that are equal in id and text one stays; nulls come after all ids.
     """
     with settings(docs.sparkSession, SHUFFLES_REMOVED):
-        items, copies = _items_and_copies(docs, words, similarity, block, id_col, text_col)
+        items, copies = _items_and_copies(docs, words, similarity, block, id_col, text_col, width, radius)
     return items.join(copies.hint("shuffle_hash"), "digest", "left_anti").select("row.*")
 
 
-def _items_and_copies(docs: DataFrame, words: int, similarity: float, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _items_and_copies(docs: DataFrame, words: int, similarity: float, block: int, id_col: str, text_col: str, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
     """Stored: the items, dealt by their digests, and the digests of those that are copies of others."""
     spark = docs.sparkSession
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -358,7 +374,7 @@ def _items_and_copies(docs: DataFrame, words: int, similarity: float, block: int
     numeric = isinstance(items.schema["id"].dataType, IntegralType)
     rank = F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1)) if numeric else F.col("item")
     with settings(spark, FEW_TEXTS):
-        mark = _marks(text, words, similarity, _frequent(items, text, words))
+        mark = _marks(text, words, similarity, _frequent(items, text, words), width)
         whole, path = stored(items.select("item", "digest", "id", rank.alias("rank"), mark.alias("m")).select("item", "digest", "id", "rank", "m.*"), "marks")
     each = whole.select(F.explode("first").alias("bucket"), "item").withColumn("__n", F.count("*").over(Window.partitionBy("bucket")))
     members = durable(each.filter("__n > 1").select("bucket", "item"), "members")
@@ -387,7 +403,8 @@ def _items_and_copies(docs: DataFrame, words: int, similarity: float, block: int
         remove(spark, path)
         return links
 
-    some = durable(trials(members, marked.select("item", F.col("item").alias("head")), False), "trials")
+    near = alike(marked.select("item", "fp"), radius)
+    some = durable(trials(members, marked.select("item", F.col("item").alias("head")), False).unionByName(near).distinct(), "trials")
     links = similar(durable(likely(some), "likely"))
     heads = durable(smallest_reached(marked.select("item", "id"), links, "item", "id").select("item", "head"), "heads")
     open_ = (members.join(unsent(heads), "item").groupBy("bucket").agg(F.min("head").alias("x"), F.max("head").alias("y"), F.count("*").alias("n"))
